@@ -28,15 +28,15 @@ def _(v: Views):
 
 @query("bus_routes_only", "bus_routes", f"SELECT {K}, route_id, agency_id, route_type, row_ix FROM bus_routes")
 def _(v: Views):
-    return v.service.bus_routes
+    return v.plans.bus_routes
 
 
 @query("named_agencies_only", "agency_names bus_routes", f"""
 SELECT {K}, agency_id, agency_name FROM agency_names
 SEMI JOIN bus_routes USING ({K}, agency_id) WHERE trim(agency_name) <> ''""")
 def _(v: Views):
-    named = v.service.agency_names.where(F.trim("agency_name") != "")
-    return named.join(v.service.agencies(), AGENCY, "left_semi").select(*AGENCY, "agency_name")
+    named = v.plans.agency_names.where(F.trim("agency_name") != "")
+    return named.join(v.plans.agencies(), AGENCY, "left_semi").select(*AGENCY, "agency_name")
 
 
 @query("feed_outcome", "archives agency bus_routes routes", f"""
@@ -53,7 +53,7 @@ def _(v: Views):
 
 @query("join_trips_routes", "bus_trips", f"SELECT {K}, trip_id, route_id, service_id, agency_id FROM bus_trips")
 def _(v: Views):
-    return v.service.bus_trips.drop("row_ix")
+    return v.plans.bus_trips.drop("row_ix")
 
 
 @query("join_stoptimes_trips", "bus_stop_times", f"""
@@ -61,7 +61,7 @@ SELECT {K}, agency_id, service_id, route_id, count(*) AS stop_time_rows, count(D
        count(t) AS timed_rows
 FROM bus_stop_times GROUP BY ALL""")
 def _(v: Views):
-    joined = tr.join_stoptimes_trips(v.stop_times, v.service.trip_lookup)
+    joined = tr.join_stoptimes_trips(v.stop_times, v.plans.trip_lookup)
     per_trip = joined.groupBy(*AGENCY_SERVICE, "route_id", "trip_id").agg(
         F.count("*").alias("n"), F.count(F.coalesce("arrival_sec", "departure_sec")).alias("timed")
     )
@@ -103,13 +103,13 @@ def _(v: Views):
 SELECT {K}, agency_id, service_id, trips, {sql_rounded(6, 'hours', 'km')}, first_sec, last_sec
 FROM service_totals""")
 def _(v: Views):
-    return rounded(v.service.service_totals(), 6, "hours", "km")
+    return rounded(v.service.service_totals, 6, "hours", "km")
 
 
 @query("calendar_exception_valid", "valid_exceptions",
        f"SELECT {K}, service_id, date, exception_type, row_ix FROM valid_exceptions")
 def _(v: Views):
-    return v.service.exceptions
+    return v.plans.exceptions
 
 
 @query("join_service_calendar", "active service_totals", f"""
@@ -124,17 +124,17 @@ def _(v: Views):
 
 @query("schedule_window", "windows", f"SELECT {K}, window_start, window_end, has_calendar FROM windows")
 def _(v: Views):
-    return v.service.window
+    return v.plans.window
 
 
 @query("calendar_day_range_join", "regular", f"SELECT {K}, service_id, day FROM regular")
 def _(v: Views):
-    return cal.calendar_day_range_join(v.service.calendar, v.service.window)
+    return cal.calendar_day_range_join(v.plans.calendar, v.plans.window)
 
 
 @query("exception_overlay", "active", f"SELECT {K}, service_id, day FROM active")
 def _(v: Views):
-    s = v.service
+    s = v.plans
     return cal.exception_overlay(s.calendar, s.exceptions, s.window)
 
 
@@ -149,7 +149,7 @@ SELECT {K}, agency_id, window_start, window_end, has_calendar, operating_days_in
        weekday_operating_days_in_window, weekend_operating_days_in_window, {sql_rounded(6, *AVERAGES)}
 FROM averages""")
 def _(v: Views):
-    return rounded(v.service.weekday_weekend_avg(), 6, *AVERAGES)
+    return rounded(v.service.weekday_weekend_avg().drop("first_sec", "last_sec"), 6, *AVERAGES)
 
 
 @query("first_last_service_time", "first_last", f"SELECT {K}, agency_id, first_sec, last_sec FROM first_last")

@@ -10,10 +10,17 @@ from __future__ import annotations
 from functools import cached_property
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+from pyspark.sql.types import StructType
 
-from taktline.operators.service import ServiceModel, Timetable
+from taktline.operators.service import ServiceModel
+from taktline.workspace import Workspace
 
-DAY0 = F.lit("1998-01-01").cast("date")
+
+_SCHEMAS: dict[str, StructType] = {}
+
+
+def day0() -> Column:
+    return F.lit("1998-01-01").cast("date")
 
 
 def text(prefix: str, number: Column | str) -> Column:
@@ -26,8 +33,16 @@ class Views:
         self.spark = spark
         self.sf_dir = sf_dir
 
+    @cached_property
+    def workspace(self) -> Workspace:
+        return Workspace(self.spark)
+
     def table(self, name: str) -> DataFrame:
-        return self.spark.read.parquet(f"{self.sf_dir}/{name}.parquet")
+        """A given table; the footer is read once per folder for its schema."""
+        path = f"{self.sf_dir}/{name}.parquet"
+        if path not in _SCHEMAS:
+            _SCHEMAS[path] = self.spark.read.parquet(path).schema
+        return self.spark.read.schema(_SCHEMAS[path]).parquet(path)
 
     # -- archives -------------------------------------------------------------
 
@@ -169,8 +184,8 @@ class Views:
         ).select(
             "organization_id", "feed_id", "version_selector",
             text("s", k).alias("service_id"),
-            F.date_add(DAY0, k * 17).alias("start_date"),
-            F.date_add(DAY0, k * 27 + 200).alias("end_date"),
+            F.date_add(day0(), k * 17).alias("start_date"),
+            F.date_add(day0(), k * 27 + 200).alias("end_date"),
             F.array(*[week] * 5, *[end] * 2).alias("flags"),
             k.cast("bigint").alias("row_ix"),
         )
@@ -185,7 +200,7 @@ class Views:
             text("feed", "n_nationkey").alias("feed_id"),
             F.lit("current").alias("version_selector"),
             text("s", c % 14).alias("service_id"),
-            F.date_add(DAY0, (((c * 31) % 60) * 8).cast("int")).alias("date"),
+            F.date_add(day0(), (((c * 31) % 60) * 8).cast("int")).alias("date"),
             F.when(c % 11 == 0, 3).when(c % 13 < 7, 1).otherwise(2).alias("exception_type"),
             c.alias("row_ix"),
         )
@@ -203,15 +218,14 @@ class Views:
         )
 
     @cached_property
-    def timetable(self) -> Timetable:
-        return Timetable(
-            self.archives, self.agency, self.routes, self.trips, self.stops, self.stop_times,
-            self.calendar, self.calendar_dates, self.feed_info,
-        )
+    def service(self) -> ServiceModel:
+        """Metrics whose steps are kept as tables."""
+        return ServiceModel(self, self.workspace)
 
     @cached_property
-    def service(self) -> ServiceModel:
-        return ServiceModel(self.timetable)
+    def plans(self) -> ServiceModel:
+        """The same metrics as plans only, for queries that read one step."""
+        return ServiceModel(self)
 
     @cached_property
     def agency_metrics(self) -> DataFrame:

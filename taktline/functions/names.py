@@ -7,18 +7,19 @@ import unicodedata
 
 import pandas as pd
 from pyspark.sql import Column, functions as F
+from pyspark.sql.types import DoubleType, StringType
 
 from taktline.constants import LEGAL_FORMS
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def nfkc(names: pd.Series) -> pd.Series:
     """Unicode NFKC, once per distinct value of the Arrow batch."""
     distinct = names.dropna().unique()
     return names.map({n: unicodedata.normalize("NFKC", n) for n in distinct})
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(DoubleType())
 def seq_ratio(left: pd.Series, right: pd.Series) -> pd.Series:
     """Ratcliff/Obershelp similarity; the order of the arguments matters."""
     return pd.Series(

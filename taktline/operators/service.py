@@ -12,6 +12,7 @@ from taktline.functions import (
     canonical_operator, fmt_time, gtfs_seconds, operator_id, prefecture_name,
 )
 from taktline.operators import calendar as cal, routes as rt, trips as tr
+from taktline.workspace import Lazy, Workspace
 
 A = list(ARCHIVE_KEYS)
 AGENCY = [*A, "agency_id"]
@@ -20,7 +21,10 @@ AGENCY_SERVICE = [*AGENCY, "service_id"]
 
 @dataclass(frozen=True)
 class Timetable:
-    """Typed tables of any number of archives; see ``taktline.schemas``."""
+    """Typed tables of any number of archives; see ``taktline.schemas``.
+
+    Anything with these attributes will do.
+    """
 
     archives: DataFrame
     agency: DataFrame
@@ -36,12 +40,14 @@ class Timetable:
 class ServiceModel:
     """The steps of the service metrics, shared by all results built on them.
 
-    Only plans are kept here. Totals per agency and service come before days:
-    an archive has few services and up to 731 days.
+    Totals per agency and service come before days: an archive has few services
+    and up to 731 days. ``workspace`` keeps the tables that several steps read;
+    with the default every step is a plan of its own and no action runs.
     """
 
-    def __init__(self, timetable: Timetable, **block_args: int):
+    def __init__(self, timetable: Timetable, workspace: Workspace | Lazy = Lazy(), **block_args: int):
         self.timetable = timetable
+        self.workspace = workspace
         self._block_args = block_args
 
     @cached_property
@@ -58,7 +64,8 @@ class ServiceModel:
 
     @cached_property
     def bus_trips(self) -> DataFrame:
-        return rt.join_trips_routes(self.timetable.trips, self.bus_routes)
+        joined = rt.join_trips_routes(self.timetable.trips, self.bus_routes)
+        return self.workspace.keep(joined, "bus_trips")
 
     @cached_property
     def trip_lookup(self) -> DataFrame:
@@ -66,7 +73,10 @@ class ServiceModel:
 
     @cached_property
     def _trip_facts(self) -> tuple[DataFrame, DataFrame]:
-        return tr.trip_facts(self.timetable.stop_times, self.trip_lookup, **self._block_args)
+        spans, segments = tr.trip_facts(
+            self.timetable.stop_times, self.trip_lookup, **self._block_args
+        )
+        return self.workspace.keep(spans, "spans"), self.workspace.keep(segments, "segments")
 
     @property
     def spans(self) -> DataFrame:
@@ -78,7 +88,13 @@ class ServiceModel:
 
     @cached_property
     def used_services(self) -> DataFrame:
-        return self.bus_trips.select(*cal.SERVICE).distinct()
+        return self.agency_services.select(*cal.SERVICE).distinct()
+
+    @cached_property
+    def agency_services(self) -> DataFrame:
+        """Trip rows per agency and service."""
+        services = self.bus_trips.groupBy(*AGENCY_SERVICE).agg(F.count("*").alias("trips"))
+        return self.workspace.keep(services, "agency_services")
 
     @cached_property
     def exceptions(self) -> DataFrame:
@@ -97,7 +113,8 @@ class ServiceModel:
 
     @cached_property
     def service_days(self) -> DataFrame:
-        return cal.service_days(self.calendar, self.exceptions, self.window)
+        days = cal.service_days(self.calendar, self.exceptions, self.window)
+        return self.workspace.keep(days, "service_days")
 
     # -- totals ---------------------------------------------------------------
 
@@ -131,9 +148,9 @@ class ServiceModel:
         zero = ["trip_count", "service_id_count", "stop_count"]
         return counts.fillna(0, zero)
 
+    @cached_property
     def service_totals(self) -> DataFrame:
         """Trips, hours, kilometres, first and last time per agency and service."""
-        trips = self.bus_trips.groupBy(*AGENCY_SERVICE).agg(F.count("*").alias("trips"))
         hours = self.spans.groupBy(*AGENCY_SERVICE).agg(
             F.sum("hours").alias("hours"),
             F.min("first_sec").alias("first_sec"),
@@ -142,33 +159,43 @@ class ServiceModel:
         measured = tr.join_segment_coords(self.segments, self.timetable.stops)
         km = measured.groupBy(*AGENCY_SERVICE).agg(F.sum(F.col("km") * F.col("n")).alias("km"))
         # A service without timed trips adds nothing on a day it runs.
-        return (
-            trips.join(hours, AGENCY_SERVICE, "left")
+        totals = (
+            self.agency_services.join(hours, AGENCY_SERVICE, "left")
             .join(km, AGENCY_SERVICE, "left")
             .fillna(0.0, ["hours", "km"])
         )
+        return self.workspace.keep(totals, "service_totals")
+
+    def running_services(self) -> DataFrame:
+        """Services of an agency that run at all, with their active days."""
+        return self.agency_services.join(self.service_days, cal.SERVICE)
 
     def join_service_calendar(self) -> DataFrame:
         """Totals per agency and service next to the active days of the service."""
-        return self.service_totals().join(self.service_days, cal.SERVICE)
+        return self.service_totals.join(self.service_days, cal.SERVICE)
 
     # -- days -----------------------------------------------------------------
 
-    def day_totals(self, running: DataFrame) -> DataFrame:
+    @cached_property
+    def day_totals(self) -> DataFrame:
         """Totals per agency and day with service; other days have no row.
 
         ``n``, ``x1`` and ``x2`` name the set of active services: its size and
         two 64-bit hashes that do not depend on the order.
         """
         service = F.col("service_id")
-        return running.select("*", F.explode("days").alias("day")).groupBy(*AGENCY, "day").agg(
+        days = self.join_service_calendar().select("*", F.explode("days").alias("day"))
+        totals = days.groupBy(*AGENCY, "day").agg(
             F.sum("trips").alias("trips"),
             F.sum("hours").alias("hours"),
             F.sum("km").alias("km"),
+            F.min("first_sec").alias("first_sec"),
+            F.max("last_sec").alias("last_sec"),
             F.count("*").alias("n"),
             F.bit_xor(F.xxhash64(service)).alias("x1"),
             F.bit_xor(F.xxhash64(F.lit("second"), service)).alias("x2"),
         )
+        return self.workspace.keep(totals, "day_totals")
 
     def agencies(self) -> DataFrame:
         """Agencies with at least one bus route."""
@@ -179,23 +206,21 @@ class ServiceModel:
         spine = self.agencies().join(self.window, A).where("window_start IS NOT NULL").select(
             *AGENCY, F.explode(F.sequence("window_start", "window_end")).alias("day")
         )
-        totals = self.day_totals(self.join_service_calendar()).select(
-            *AGENCY, "day", "trips", "hours", "km"
-        )
+        totals = self.day_totals.select(*AGENCY, "day", "trips", "hours", "km")
         return (
             spine.join(totals, [*AGENCY, "day"], "left").fillna(0, ["trips"]).fillna(0.0, ["hours", "km"])
         )
 
-    def weekday_weekend_avg(self, totals: DataFrame | None = None) -> DataFrame:
+    def weekday_weekend_avg(self) -> DataFrame:
         """Averages over the weekdays and weekend days of the window.
 
         Zero days count in the divisor, which follows from the window alone,
         so the zero rows themselves are never made.
         """
-        if totals is None:
-            totals = self.day_totals(self.join_service_calendar())
         weekend = cal.is_weekend(F.col("day"))
-        sums = totals.groupBy(*AGENCY).agg(
+        sums = self.day_totals.groupBy(*AGENCY).agg(
+            F.min("first_sec").alias("first_sec"),
+            F.max("last_sec").alias("last_sec"),
             F.count("*").alias("operating_days_in_window"),
             F.count_if(~weekend).alias("weekday_operating_days_in_window"),
             F.count_if(weekend).alias("weekend_operating_days_in_window"),
@@ -219,7 +244,7 @@ class ServiceModel:
 
         op_days = [f"{k}operating_days_in_window" for k in ("", "weekday_", "weekend_")]
         return self.agencies().join(lengths, A).join(sums, AGENCY, "left").fillna(0, op_days).select(
-            *AGENCY, "window_start", "window_end", "has_calendar", *op_days,
+            *AGENCY, "window_start", "window_end", "has_calendar", "first_sec", "last_sec", *op_days,
             *[
                 average(kind, metric).alias(f"{kind}_{metric}_avg")
                 for kind in ("weekday", "weekend")
@@ -227,10 +252,9 @@ class ServiceModel:
             ],
         )
 
-    def first_last_service_time(self, running: DataFrame | None = None) -> DataFrame:
+    def first_last_service_time(self) -> DataFrame:
         """Earliest first and latest last time of services that run at all."""
-        running = self.join_service_calendar() if running is None else running
-        return running.groupBy(*AGENCY).agg(
+        return self.day_totals.groupBy(*AGENCY).agg(
             F.min("first_sec").alias("first_sec"), F.max("last_sec").alias("last_sec")
         )
 
@@ -245,20 +269,16 @@ class ServiceModel:
             times = times.unionByName(own.where("sec IS NOT NULL"))
         return times.distinct()
 
-    def route_headway(
-        self, running: DataFrame | None = None, totals: DataFrame | None = None
-    ) -> DataFrame:
+    def route_headway(self) -> DataFrame:
         """Mean gap in minutes over all route-days with at least two start times.
 
         Days with the same set of active services have the same gaps. Each such
         day type is computed on one of its days and weighted by its days.
         """
-        running = self.join_service_calendar() if running is None else running
-        totals = self.day_totals(running) if totals is None else totals
-        day_types = totals.groupBy(*AGENCY, "n", "x1", "x2").agg(
+        day_types = self.day_totals.groupBy(*AGENCY, "n", "x1", "x2").agg(
             F.min("day").alias("sample_day"), F.count("*").alias("n_days")
         ).select(*AGENCY, "sample_day", "n_days")
-        active = running.select(*AGENCY_SERVICE, "days").join(day_types, AGENCY).where(
+        active = self.running_services().drop("trips").join(day_types, AGENCY).where(
             F.expr("array_contains(days, sample_day)")
         ).select(*AGENCY_SERVICE, "sample_day", "n_days")
         # Mean of the gaps between distinct sorted times: (max - min) / (n - 1).
@@ -284,16 +304,13 @@ class ServiceModel:
         ``feeds`` is one row per feed: organization_id, feed_id, publisher_name,
         feed_name, feed_pref_id.
         """
-        running = self.join_service_calendar()
-        totals = self.day_totals(running)
         archives = self.timetable.archives
         extra = [c for c in archives.columns if c not in A]
         joined = (
             self.agency_static_counts()
             .join(self.agency_names.where(F.trim("agency_name") != ""), AGENCY)
-            .join(self.weekday_weekend_avg(totals), AGENCY)
-            .join(self.first_last_service_time(running), AGENCY, "left")
-            .join(self.route_headway(running, totals), AGENCY, "left")
+            .join(self.weekday_weekend_avg(), AGENCY)
+            .join(self.route_headway(), AGENCY, "left")
             .join(archives.select(*A, *extra), A)
             .join(feeds, ["organization_id", "feed_id"], "left")
         )

@@ -126,8 +126,8 @@ def stop_pairs(
 def stop_coordinates(stops: DataFrame) -> DataFrame:
     """Stops with both coordinates; the last source row of an id wins."""
     return stops.where("stop_lat IS NOT NULL AND stop_lon IS NOT NULL").groupBy(*A, "stop_id").agg(
-        F.max_by(F.struct("stop_lat", "stop_lon"), "row_ix").alias("_p")
-    ).select(*A, "stop_id", "_p.stop_lat", "_p.stop_lon")
+        F.max_by("stop_lat", "row_ix").alias("stop_lat"), F.max_by("stop_lon", "row_ix").alias("stop_lon")
+    )
 
 
 def join_segment_coords(pairs: DataFrame, stops: DataFrame) -> DataFrame:

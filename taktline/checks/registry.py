@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from taktline.checks.oracle_views import compose
-from taktline.checks.catalog_views import CatalogViews as Views
+from taktline.checks.links_views import LinksViews as Views
 from taktline.session import tune
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}

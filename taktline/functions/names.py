@@ -15,8 +15,8 @@ from taktline.constants import LEGAL_FORMS
 @F.pandas_udf(StringType())
 def nfkc(names: pd.Series) -> pd.Series:
     """Unicode NFKC, once per distinct value of the Arrow batch."""
-    distinct = names.dropna().unique()
-    return names.map({n: unicodedata.normalize("NFKC", n) for n in distinct})
+    forms = {n: unicodedata.normalize("NFKC", n) for n in names.dropna().unique()}
+    return pd.Series([forms.get(n) for n in names], dtype=object)
 
 
 @F.pandas_udf(DoubleType())

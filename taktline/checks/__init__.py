@@ -3,7 +3,7 @@
 import importlib
 from types import ModuleType
 
-MODULES = ("service_queries", "catalog_queries", "links_queries")
+MODULES = ("service_queries", "catalog_queries", "links_queries", "scalar_queries", "source_queries")
 
 
 def load() -> ModuleType:

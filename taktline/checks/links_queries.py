@@ -237,15 +237,17 @@ def _(v: Views):
     return funnel.funnel(v.flags, available=False)
 
 
+LISTED = f"(SELECT unnest({[*funnel.PREFECTURES]}) AS p)"
 PREFECTURE_SQL = f"""
-WITH listed AS (SELECT unnest({[*funnel.PREFECTURES]}) AS p),
-buckets AS (SELECT DISTINCT operator_id, coalesce(listed.p, '全国・都道府県不明') AS prefecture, matched, complete
-            FROM (SELECT *, unnest(string_split(prefectures, '|')) AS q FROM flags) LEFT JOIN listed ON listed.p = q)
 SELECT p AS prefecture, count(operator_id) AS gtfs_bus_operator_entities,
        count(*) FILTER (matched) AS links_matched_A_B_C, count(*) FILTER (complete) AS full_complete,
        coalesce(round(count(*) FILTER (complete) / nullif(count(operator_id), 0)::DOUBLE, 4), 0) AS coverage_rate,
        'measured' AS links_status
-FROM (SELECT p FROM listed UNION ALL SELECT '全国・都道府県不明') LEFT JOIN buckets ON prefecture = p GROUP BY p"""
+FROM (SELECT p FROM {LISTED} UNION ALL SELECT '全国・都道府県不明')
+LEFT JOIN (SELECT DISTINCT operator_id, coalesce(listed.p, '全国・都道府県不明') AS prefecture, matched, complete
+           FROM (SELECT *, unnest(string_split(prefectures, '|')) AS q FROM flags)
+           LEFT JOIN {LISTED} listed ON listed.p = q) ON prefecture = p
+GROUP BY p"""
 
 
 @query("prefecture_summary", "flags", PREFECTURE_SQL)

@@ -10,8 +10,12 @@ def view(name: str, needs: str, body: str) -> None:
     VIEWS[name] = (tuple(needs.split()), body.strip())
 
 
-def compose(needs: str, body: str) -> str:
-    """``body`` behind a WITH list of everything it needs."""
+def compose(needs: str, body: str, replaced: dict[str, str] | None = None) -> str:
+    """``body`` behind a WITH list of everything it needs.
+
+    ``replaced`` gives other texts for some of the views.
+    """
+    texts = {name: text for name, (_, text) in VIEWS.items()} | (replaced or {})
     ordered: list[str] = []
 
     def add(name: str) -> None:
@@ -22,7 +26,7 @@ def compose(needs: str, body: str) -> str:
 
     for name in needs.split():
         add(name)
-    parts = ",\n".join(f"{n} AS (\n{VIEWS[n][1]}\n)" for n in ordered)
+    parts = ",\n".join(f"{n} AS (\n{texts[n].strip()}\n)" for n in ordered)
     return f"WITH {parts}\n{body.strip()}"
 
 
@@ -174,8 +178,10 @@ SELECT p.*, 6371.0088 * 2 * asin(least(1.0, sqrt(
          + cos(radians(a.stop_lat)) * cos(radians(b.stop_lat))
          * power(sin((radians(b.stop_lon) - radians(a.stop_lon)) / 2), 2)))) AS km
 FROM pairs p
-JOIN stops a ON (a.organization_id, a.feed_id, a.stop_id) = (p.organization_id, p.feed_id, p.from_stop)
-JOIN stops b ON (b.organization_id, b.feed_id, b.stop_id) = (p.organization_id, p.feed_id, p.to_stop)
+JOIN stops a ON (a.organization_id, a.feed_id, a.version_selector, a.stop_id)
+  = (p.organization_id, p.feed_id, p.version_selector, p.from_stop)
+JOIN stops b ON (b.organization_id, b.feed_id, b.version_selector, b.stop_id)
+  = (p.organization_id, p.feed_id, p.version_selector, p.to_stop)
 WHERE a.stop_lat IS NOT NULL AND b.stop_lat IS NOT NULL
 """)
 view("trip_km", "pair_km", f"""
@@ -225,8 +231,8 @@ WHERE day BETWEEN start_date AND end_date
 view("last_exceptions", "valid_exceptions window_days", f"""
 SELECT {K}, service_id, date AS day, exception_type
 FROM valid_exceptions SEMI JOIN window_days
-  ON (valid_exceptions.organization_id, valid_exceptions.feed_id, valid_exceptions.date)
-   = (window_days.organization_id, window_days.feed_id, window_days.day)
+  ON (valid_exceptions.organization_id, valid_exceptions.feed_id, valid_exceptions.version_selector, valid_exceptions.date)
+   = (window_days.organization_id, window_days.feed_id, window_days.version_selector, window_days.day)
 QUALIFY row_number() OVER (PARTITION BY {K}, service_id, date ORDER BY row_ix DESC) = 1
 """)
 view("active", "regular last_exceptions", f"""

@@ -11,7 +11,7 @@ from taktline.functions.measures import (
 from taktline.functions.names import name_signals, nfkc, normalize_name, seq_ratio
 from taktline.functions.text import (
     classify_dataset, disposition_filename, effective_date, has_value, infer_year, parse_date2,
-    parse_date3, safe_slug, slug_pair, strip, truth, upload_datetime,
+    parse_date3, safe_slug, slug_pair, split_pairs, strip, truth, upload_datetime,
 )
 
 __all__ = [
@@ -19,5 +19,5 @@ __all__ = [
     "gtfs_seconds", "has_value", "haversine_km", "infer_year", "is_bus_route", "links_operator_id",
     "name_signals", "nfkc", "normalize_name", "num", "operator_id", "parse_date2", "parse_date3",
     "pct_change", "prefecture_name", "safe_rate", "safe_slug", "selector_no", "seq_ratio",
-    "short_hash", "slug_pair", "strip", "truth", "upload_datetime", "url_host",
+    "short_hash", "slug_pair", "split_pairs", "strip", "truth", "upload_datetime", "url_host",
 ]

@@ -93,3 +93,15 @@ def infer_year(c: Column) -> Column:
 def truth(c: Column) -> Column:
     """Text spelling of a boolean."""
     return F.coalesce(F.lower(strip(c.cast("string"))).isin("true", "1", "yes", "y"), F.lit(False))
+
+
+def split_pairs(c: Column) -> Column:
+    """``org/feed|org/feed`` as an array of pairs; cells without ``/`` are left out."""
+    cells = F.filter(F.split(F.coalesce(c, F.lit("")), "\\|"), lambda x: x.contains("/"))
+    return F.transform(
+        cells,
+        lambda x: F.struct(
+            F.get(F.split(x, "/", 2), F.lit(0)).alias("organization_id"),
+            F.get(F.split(x, "/", 2), F.lit(1)).alias("feed_id"),
+        ),
+    )

@@ -158,7 +158,7 @@ FROM stop_times JOIN bus_trips USING ({K}, trip_id)
 """)
 view("spans", "bus_stop_times", f"""
 SELECT {K}, trip_id, agency_id, service_id, route_id, first_sec, last_sec,
-       greatest(0, last_sec - first_sec) / 3600.0::DOUBLE AS hours
+       greatest(0, last_sec - first_sec) AS seconds
 FROM (SELECT {K}, trip_id, agency_id, service_id, route_id,
              first(t ORDER BY stop_sequence, row_ix) FILTER (WHERE t IS NOT NULL) AS first_sec,
              last(t ORDER BY stop_sequence, row_ix) FILTER (WHERE t IS NOT NULL) AS last_sec
@@ -188,10 +188,11 @@ view("trip_km", "pair_km", f"""
 SELECT {K}, trip_id, sum(km) AS km, count(*) AS valid_segments FROM pair_km GROUP BY ALL
 """)
 view("service_totals", "bus_trips spans trip_km", f"""
-SELECT {K}, agency_id, service_id, count(*) AS trips, coalesce(sum(hours), 0) AS hours,
+SELECT {K}, agency_id, service_id, count(*) AS trips, coalesce(sum(seconds), 0) AS seconds,
+       coalesce(sum(seconds), 0) / 3600.0::DOUBLE AS hours,
        coalesce(sum(km), 0) AS km, min(first_sec) AS first_sec, max(last_sec) AS last_sec
 FROM bus_trips
-LEFT JOIN (SELECT {K}, trip_id, hours, first_sec, last_sec FROM spans) USING ({K}, trip_id)
+LEFT JOIN (SELECT {K}, trip_id, seconds, first_sec, last_sec FROM spans) USING ({K}, trip_id)
 LEFT JOIN (SELECT {K}, trip_id, km FROM trip_km) USING ({K}, trip_id)
 GROUP BY {K}, agency_id, service_id
 """)
@@ -242,9 +243,10 @@ UNION
 SELECT {K}, service_id, day FROM last_exceptions WHERE exception_type = 1
 """)
 view("daily", "bus_routes window_days active service_totals", f"""
-SELECT {K}, agency_id, day, coalesce(trips, 0) AS trips, coalesce(hours, 0) AS hours, coalesce(km, 0) AS km
+SELECT {K}, agency_id, day, coalesce(trips, 0) AS trips, coalesce(seconds, 0) AS seconds,
+       coalesce(seconds, 0) / 3600.0::DOUBLE AS hours, coalesce(km, 0) AS km
 FROM (SELECT DISTINCT {K}, agency_id FROM bus_routes) JOIN window_days USING ({K})
-LEFT JOIN (SELECT {K}, agency_id, day, CAST(sum(trips) AS BIGINT) AS trips, sum(hours) AS hours, sum(km) AS km
+LEFT JOIN (SELECT {K}, agency_id, day, CAST(sum(trips) AS BIGINT) AS trips, sum(seconds) AS seconds, sum(km) AS km
            FROM active JOIN service_totals USING ({K}, service_id) GROUP BY ALL) USING ({K}, agency_id, day)
 """)
 view("averages", "bus_routes windows daily", f"""
@@ -253,10 +255,10 @@ SELECT {K}, agency_id, window_start, window_end, has_calendar,
        count(*) FILTER (trips > 0 AND isodow(day) < 6) AS weekday_operating_days_in_window,
        count(*) FILTER (trips > 0 AND isodow(day) >= 6) AS weekend_operating_days_in_window,
        avg(trips) FILTER (isodow(day) < 6) AS weekday_trips_avg,
-       avg(hours) FILTER (isodow(day) < 6) AS weekday_hours_avg,
+       sum(seconds) FILTER (isodow(day) < 6) / (count(*) FILTER (isodow(day) < 6) * 3600.0::DOUBLE) AS weekday_hours_avg,
        avg(km) FILTER (isodow(day) < 6) AS weekday_km_avg,
        avg(trips) FILTER (isodow(day) >= 6) AS weekend_trips_avg,
-       avg(hours) FILTER (isodow(day) >= 6) AS weekend_hours_avg,
+       sum(seconds) FILTER (isodow(day) >= 6) / (count(*) FILTER (isodow(day) >= 6) * 3600.0::DOUBLE) AS weekend_hours_avg,
        avg(km) FILTER (isodow(day) >= 6) AS weekend_km_avg
 FROM (SELECT DISTINCT {K}, agency_id FROM bus_routes) JOIN windows USING ({K})
 LEFT JOIN daily USING ({K}, agency_id)

@@ -17,6 +17,10 @@ def rounded(df, digits, *columns):
     return df.withColumns({c: F.round(c, digits) for c in columns})
 
 
+def hours(df):
+    return df.withColumn("hours", F.round(F.col("seconds") / 3600, 6)).drop("seconds")
+
+
 def sql_rounded(digits, *columns):
     return ", ".join(f"round({c}, {digits}) AS {c}" for c in columns)
 
@@ -85,7 +89,7 @@ FROM (SELECT {K}, trip_id,
       FROM stop_times GROUP BY ALL)
 WHERE first_sec IS NOT NULL""")
 def _(v: Views):
-    return rounded(tr.trip_span(v.stop_times), 6, "hours")
+    return hours(tr.trip_span(v.stop_times))
 
 
 @query("join_segment_coords", "pair_km", f"""
@@ -103,7 +107,7 @@ def _(v: Views):
 SELECT {K}, agency_id, service_id, trips, {sql_rounded(6, 'hours', 'km')}, first_sec, last_sec
 FROM service_totals""")
 def _(v: Views):
-    return rounded(v.service.service_totals, 6, "hours", "km")
+    return rounded(hours(v.service.service_totals), 6, "km")
 
 
 @query("calendar_exception_valid", "valid_exceptions",

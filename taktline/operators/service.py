@@ -150,9 +150,12 @@ class ServiceModel:
 
     @cached_property
     def service_totals(self) -> DataFrame:
-        """Trips, hours, kilometres, first and last time per agency and service."""
+        """Trips, seconds, kilometres, first and last time per agency and service.
+
+        Time is added up in whole seconds, so that its sums are exact.
+        """
         hours = self.spans.groupBy(*AGENCY_SERVICE).agg(
-            F.sum("hours").alias("hours"),
+            F.sum("seconds").alias("seconds"),
             F.min("first_sec").alias("first_sec"),
             F.max("last_sec").alias("last_sec"),
         )
@@ -162,7 +165,8 @@ class ServiceModel:
         totals = (
             self.agency_services.join(hours, AGENCY_SERVICE, "left")
             .join(km, AGENCY_SERVICE, "left")
-            .fillna(0.0, ["hours", "km"])
+            .fillna(0, ["seconds"])
+            .fillna(0.0, ["km"])
         )
         return self.workspace.keep(totals, "service_totals")
 
@@ -187,7 +191,7 @@ class ServiceModel:
         days = self.join_service_calendar().select("*", F.explode("days").alias("day"))
         totals = days.groupBy(*AGENCY, "day").agg(
             F.sum("trips").alias("trips"),
-            F.sum("hours").alias("hours"),
+            F.sum("seconds").alias("seconds"),
             F.sum("km").alias("km"),
             F.min("first_sec").alias("first_sec"),
             F.max("last_sec").alias("last_sec"),
@@ -206,10 +210,9 @@ class ServiceModel:
         spine = self.agencies().join(self.window, A).where("window_start IS NOT NULL").select(
             *AGENCY, F.explode(F.sequence("window_start", "window_end")).alias("day")
         )
-        totals = self.day_totals.select(*AGENCY, "day", "trips", "hours", "km")
-        return (
-            spine.join(totals, [*AGENCY, "day"], "left").fillna(0, ["trips"]).fillna(0.0, ["hours", "km"])
-        )
+        totals = self.day_totals.select(*AGENCY, "day", "trips", "seconds", "km")
+        filled = spine.join(totals, [*AGENCY, "day"], "left").fillna(0, ["trips", "seconds"])
+        return filled.fillna(0.0, ["km"]).withColumn("hours", F.col("seconds") / 3600).drop("seconds")
 
     def weekday_weekend_avg(self) -> DataFrame:
         """Averages over the weekdays and weekend days of the window.
@@ -227,7 +230,7 @@ class ServiceModel:
             *[
                 F.sum(F.when(weekend == flag, F.col(m))).alias(f"{kind}_{m}")
                 for kind, flag in (("weekday", False), ("weekend", True))
-                for m in ("trips", "hours", "km")
+                for m in ("trips", "seconds", "km")
             ],
         )
         days = F.sequence("window_start", "window_end")
@@ -238,17 +241,17 @@ class ServiceModel:
         )
         known = F.col("window_start").isNotNull()
 
-        def average(kind: str, metric: str) -> Column:
+        def average(kind: str, metric: str, unit: int = 1) -> Column:
             total = F.coalesce(F.col(f"{kind}_{metric}").cast("double"), F.lit(0.0))
-            return F.when(known, F.try_divide(total, F.col(f"{kind}_days").cast("double")))
+            return F.when(known, F.try_divide(total, (F.col(f"{kind}_days") * unit).cast("double")))
 
         op_days = [f"{k}operating_days_in_window" for k in ("", "weekday_", "weekend_")]
         return self.agencies().join(lengths, A).join(sums, AGENCY, "left").fillna(0, op_days).select(
             *AGENCY, "window_start", "window_end", "has_calendar", "first_sec", "last_sec", *op_days,
             *[
-                average(kind, metric).alias(f"{kind}_{metric}_avg")
+                average(kind, metric, unit).alias(f"{kind}_{name}_avg")
                 for kind in ("weekday", "weekend")
-                for metric in ("trips", "hours", "km")
+                for name, metric, unit in (("trips", "trips", 1), ("hours", "seconds", 3600), ("km", "km", 1))
             ],
         )
 

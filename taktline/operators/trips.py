@@ -56,12 +56,12 @@ def _first_last(rows: DataFrame, keys: list[str]) -> DataFrame:
 
 
 def trip_span(stop_times: DataFrame) -> DataFrame:
-    """First and last known time of a trip and the hours between them."""
+    """First and last known time of a trip and the seconds between them."""
     timed = F.when(F.col("t").isNotNull(), _order())
     return _rows(stop_times).groupBy(*TRIP).agg(
         F.min_by("t", timed).alias("first_sec"), F.max_by("t", timed).alias("last_sec")
     ).where("first_sec IS NOT NULL").withColumn(
-        "hours", F.greatest(F.lit(0), F.col("last_sec") - F.col("first_sec")) / 3600
+        "seconds", F.greatest(F.lit(0), F.col("last_sec") - F.col("first_sec"))
     )
 
 
@@ -91,7 +91,7 @@ def _span_of_parts(parts: DataFrame) -> DataFrame:
         F.min_by("first_sec", timed).alias("first_sec"),
         F.max_by("last_sec", timed).alias("last_sec"),
     ).where("first_sec IS NOT NULL").withColumn(
-        "hours", F.greatest(F.lit(0), F.col("last_sec") - F.col("first_sec")) / 3600
+        "seconds", F.greatest(F.lit(0), F.col("last_sec") - F.col("first_sec"))
     )
 
 

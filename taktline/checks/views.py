@@ -163,7 +163,7 @@ class Views:
     def stops(self) -> DataFrame:
         n = F.substring("stop_id", 3, 18).cast("bigint")
         known = n % 97 != 0
-        return self.stop_times.select(
+        stops = self.stop_times.select(
             "organization_id", "feed_id", "version_selector", "stop_id"
         ).distinct().select(
             "*",
@@ -171,6 +171,7 @@ class Views:
             F.when(known, F.lit(132.0) + ((n * 104729) % 10000).cast("double") / 10000).alias("stop_lon"),
             n.alias("row_ix"),
         )
+        return self.workspace.keep(stops, "stops")
 
     @cached_property
     def calendar(self) -> DataFrame:

@@ -73,18 +73,17 @@ class ServiceModel:
 
     @cached_property
     def _trip_facts(self) -> tuple[DataFrame, DataFrame]:
-        spans, segments = tr.trip_facts(
-            self.timetable.stop_times, self.trip_lookup, **self._block_args
+        return tr.trip_facts(
+            self.timetable.stop_times, self.trip_lookup, workspace=self.workspace, **self._block_args
         )
-        return self.workspace.keep(spans, "spans"), self.workspace.keep(segments, "segments")
 
-    @property
+    @cached_property
     def spans(self) -> DataFrame:
-        return self._trip_facts[0]
+        return self.workspace.keep(self._trip_facts[0], "spans")
 
-    @property
+    @cached_property
     def segments(self) -> DataFrame:
-        return self._trip_facts[1]
+        return self.workspace.keep(self._trip_facts[1], "segments")
 
     @cached_property
     def used_services(self) -> DataFrame:

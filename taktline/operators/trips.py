@@ -18,6 +18,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from taktline.constants import ARCHIVE_KEYS
 from taktline.functions import haversine_km
+from taktline.workspace import Lazy, Workspace
 
 A = list(ARCHIVE_KEYS)
 TRIP = [*A, "trip_id"]
@@ -66,11 +67,11 @@ def trip_span(stop_times: DataFrame) -> DataFrame:
 
 
 def _blocks(
-    rows: DataFrame, width: int, hot_rows: int, piece_rows: int
+    rows: DataFrame, width: int, hot_rows: int, piece_rows: int, workspace: Workspace | Lazy = Lazy()
 ) -> tuple[DataFrame, DataFrame]:
     """The rows with their part of the trip, and one summary row per part."""
     rows = rows.withColumn("blk", F.expr(f"stop_sequence div {width}"))
-    per_block = _first_last(rows, BLOCK)
+    per_block = workspace.keep(_first_last(rows, BLOCK), "trip_blocks")
     hot = F.broadcast(per_block.where(F.col("n_rows") > hot_rows).select(*BLOCK, F.lit(True).alias("hot")))
     pieces = {
         "sub_seq": F.when(F.col("hot"), F.col("stop_sequence")).otherwise(0),
@@ -160,6 +161,7 @@ def trip_facts(
     width: int = BLOCK_WIDTH,
     hot_rows: int = HOT_BLOCK_ROWS,
     piece_rows: int = PIECE_ROWS,
+    workspace: Workspace | Lazy = Lazy(),
 ) -> tuple[DataFrame, DataFrame]:
     """Both views of the stop times that the service metrics need.
 
@@ -168,7 +170,7 @@ def trip_facts(
     first stop of a part), so that coordinates are looked up once per distinct
     pair and not once per stop time. The stop times are shuffled once.
     """
-    parted, parts = _blocks(_rows(stop_times), width, hot_rows, piece_rows)
+    parted, parts = _blocks(_rows(stop_times), width, hot_rows, piece_rows, workspace)
     owned = parts.join(lookup, TRIP)
     owner = ["agency_id", "service_id"]
     spans = _span_of_parts(parts).join(lookup, TRIP)

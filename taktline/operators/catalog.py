@@ -123,20 +123,18 @@ def worklist_skip_existing(
     listing: DataFrame | None = None,
 ) -> DataFrame:
     """Versions still to fetch: not there yet and before the first known 404."""
-    current = F.array(F.struct(F.lit(0).alias("n"), F.lit("current").alias("version_selector")))
-    older = F.transform(
-        F.sequence(F.lit(1), F.lit(depth)) if depth > 0 else F.array().cast("array<int>"),
-        lambda i: F.struct(i.alias("n"), F.concat(F.lit("prev_"), i.cast("string")).alias("version_selector")),
-    )
-    wanted = {"current": current, "history": older, "both": F.concat(current, older)}[mode]
     done = successful_archives(manifest, listing).select(*A).distinct()
     gone = manifest.where((F.col("status") == GONE) & F.col("version_selector").startswith("prev_")).groupBy(
         *FEED
     ).agg(F.min(selector_no(F.col("version_selector"))).alias("first_gone"))
-    todo = feeds.select(*FEED).join(gone, FEED, "left").select(*FEED, "first_gone", F.explode(wanted).alias("w"))
-    return todo.select(*FEED, "w.version_selector", "w.n", "first_gone").where(
-        (F.col("n") == 0) | F.col("first_gone").isNull() | (F.col("n") < F.col("first_gone"))
-    ).join(done, A, "left_anti").select(*A)
+    # The search depth is cut before it is expanded.
+    last = F.least(F.lit(depth), F.col("first_gone") - 1)
+    none = F.array().cast("array<int>")
+    older = F.when(last >= 1, F.sequence(F.lit(1), last)).otherwise(none)
+    numbers = {"current": F.array(F.lit(0)), "history": older, "both": F.concat(F.array(F.lit(0)), older)}[mode]
+    todo = feeds.select(*FEED).join(gone, FEED, "left").select(*FEED, F.explode(numbers).alias("n"))
+    selector = F.when(F.col("n") == 0, "current").otherwise(F.concat(F.lit("prev_"), F.col("n").cast("string")))
+    return todo.select(*FEED, selector.alias("version_selector")).join(done, A, "left_anti")
 
 
 def manifest_upsert(existing: DataFrame, fetched: DataFrame) -> DataFrame:

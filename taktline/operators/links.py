@@ -138,7 +138,6 @@ def field_completeness(records: DataFrame) -> DataFrame:
     typed = records.select(
         "source_file", classify_dataset(F.col("source_file")).alias("dataset"), "row",
         infer_year(_cell(row, picked["year"])).alias("year"),
-        F.create_map(*[x for f, c in fields.items() for x in (F.lit(f), F.array_join(c, "|"))]).alias("names"),
         F.filter(
             F.array(*[
                 F.when(F.exists(c, lambda n: has_value(row[n])), F.lit(f)) for f, c in fields.items()
@@ -148,13 +147,19 @@ def field_completeness(records: DataFrame) -> DataFrame:
         F.when(has_value(name), oid).alias("oid"),
     )
     group = ["source_file", "dataset", "year"]
-    totals = typed.groupBy(*group).agg(F.count("row").alias("rows_total"), F.max_by("names", F.size("names")).alias("names"))
+    totals = typed.groupBy(*group).agg(F.count("row").alias("rows_total"))
+    headers = records.select("source_file", "columns").distinct().groupBy("source_file").agg(
+        F.max("columns").alias("columns")
+    ).select(
+        "source_file",
+        F.create_map(*[x for f, c in fields.items() for x in (F.lit(f), F.array_join(c, "|"))]).alias("names"),
+    )
     # A file with any year is reported by year, and its rows without one are
     # left out; a file without years is reported as a whole.
     dated = totals.groupBy("source_file").agg(F.max("year").alias("_last_year"))
-    grid = totals.join(dated, "source_file").where((F.col("year") != "") | (F.col("_last_year") == "")).select(
-        *group, "rows_total", F.explode("names").alias("field", "columns")
-    )
+    grid = totals.join(dated, "source_file").where((F.col("year") != "") | (F.col("_last_year") == "")).join(
+        headers, "source_file"
+    ).select(*group, "rows_total", F.explode("names").alias("field", "columns"))
     counted = (
         typed.where("row IS NOT NULL").select(*group, "oid", F.explode("valued").alias("field"))
         .groupBy(*group, "field", "oid").agg(F.count("*").alias("n"))

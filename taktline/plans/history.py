@@ -33,7 +33,8 @@ def version_metrics(
     archives = classified.where(
         "distinct_generation_number IS NOT NULL AND effective_start IS NOT NULL"
     ).select(*A, F.col("effective_start").alias("anchor_date"), "timetable_signature")
-    model = ServiceModel(restrict(timetable, workspace.keep(archives, "generations")), workspace)
+    generations = workspace.keep(archives, "generations")
+    model = ServiceModel(restrict(timetable, generations, workspace), workspace)
     return model.agency_metrics(feeds).withColumnRenamed("anchor_date", "generation_effective_start")
 
 

@@ -98,8 +98,10 @@ def similar_keys(left: DataFrame, right: DataFrame, threshold: float = FUZZY_THR
     reach = F.least(F.col("la") - F.col("l_pos"), F.col("lb") - F.col("r_pos"))
     pairs = a.join(b, ["token", "la", "lb"]).where(reach >= need).select("l", "r", need.alias("need")).distinct()
     shared = F.size(F.array_intersect(name_tokens(F.col("l")), name_tokens(F.col("r"))))
+    # Declared non-deterministic, or the filter would compute the ratio again.
+    ratio = seq_ratio.asNondeterministic()
     return pairs.where(shared >= F.col("need")).select(
-        "l", "r", seq_ratio(F.col("l"), F.col("r")).alias("score")
+        "l", "r", ratio(F.col("l"), F.col("r")).alias("score")
     ).where(F.col("score") >= threshold)
 
 
@@ -137,12 +139,21 @@ class Matching:
     ):
         self.available = links is not None
         self.workspace = workspace
-        self.operators = _with_key(
-            operators.select("operator_id", "agency_name", "agency_url", "prefectures"), "agency_name"
-        )
-        self.links = None if links is None else _with_key(links, "operator_name")
+        self._operators = operators
+        self._links = links
         self.aliases = aliases
 
+    @cached_property
+    def operators(self) -> DataFrame:
+        """Operators with trimmed name and normal form."""
+        columns = self._operators.select("operator_id", "agency_name", "agency_url", "prefectures")
+        return self.workspace.keep(_with_key(columns, "agency_name"), "operator_names")
+
+    @cached_property
+    def links(self) -> DataFrame:
+        """Companies with trimmed name and normal form."""
+        return self.workspace.keep(_with_key(self._links, "operator_name"), "company_names")
+
     @cached_property
     def by_name(self) -> DataFrame:
         """Operators with what exact and normalised equality say."""

@@ -38,6 +38,13 @@ def _(v: Views):
     return rows.select("*", F.col("fields")["field_事業区分"].alias("field_permit")).drop("fields")
 
 
+@query("normalized_operators", "operators", f"""
+SELECT operator_id, {sql_norm('agency_name')} AS agency_name_key,
+       regexp_replace(publisher_names, '\\s+', '', 'g') AS publisher_name_key FROM operators""")
+def _(v: Views):
+    return links.normalized_operators(v.operators).select("operator_id", "agency_name_key", "publisher_name_key")
+
+
 @query("links_operator_rollup", "links", "SELECT * FROM links")
 def _(v: Views):
     return v.links.drop("row_ix")

@@ -129,6 +129,19 @@ def _(v: Views):
                           F.col("row")["事業者名"].alias("name"), F.col("row")["年度"].alias("year"))
 
 
+@query("src_links_files", "", """
+SELECT c_name AS name, CAST(c_custkey AS VARCHAR) AS number, c_mktsegment AS permit FROM customer""")
+def _(v: Views):
+    path = f"{v.workspace.folder}/links_files"
+    v.table("customer").select(
+        F.col("c_name").alias("事業者名"), F.col("c_custkey").alias("事業者番号"), F.col("c_mktsegment").alias("事業区分")
+    ).write.csv(path, header=True)
+    row = F.col("row")
+    return src.links_records(src.links_files(v.spark, path)).where("row IS NOT NULL").select(
+        row["事業者名"].alias("name"), row["事業者番号"].alias("number"), row["事業区分"].alias("permit")
+    )
+
+
 @query("src_csv_table", "", """
 SELECT CAST(c_custkey AS VARCHAR) AS c_custkey, 'a, "b" ' || c_name AS c_name,
        CASE WHEN c_custkey % 3 = 0 THEN '' ELSE c_mktsegment END AS c_mktsegment FROM customer""")

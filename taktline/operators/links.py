@@ -98,6 +98,14 @@ def row_normalization(records: DataFrame) -> DataFrame:
     )
 
 
+def normalized_operators(operators: DataFrame) -> DataFrame:
+    """Operators with the keys their names are compared by."""
+    return operators.withColumns({
+        "agency_name_key": normalize_name(F.col("agency_name")),
+        "publisher_name_key": normalize_name(F.col("publisher_names")),
+    })
+
+
 def prefixed_passthrough(row: Column) -> Column:
     return F.transform_keys(row, lambda k, _: F.concat(F.lit("field_"), k))
 

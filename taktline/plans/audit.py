@@ -55,6 +55,8 @@ def audit_run(
         "indicator_feasibility": funnel.indicator_feasibility(flags, supply, available),
         "verdict": funnel.verdict(flags, available),
     }
+    results["normalized_gtfs_operators"] = links.normalized_operators(operators)
     if available:
+        results["normalized_links_rows"] = links.row_normalization(records)
         results["fuzzy_candidates"] = matching.fuzzy_candidates()
     return results

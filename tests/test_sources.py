@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from taktline.operators import links
 from taktline.plans.audit import audit_run
+from taktline.plans.catalog import fetch_plan, record_fetch
 from taktline.plans.current import current_service
 from taktline.plans.history import history_run
 from taktline.sources import archives as src, lists, registry as reg, tables
@@ -76,6 +77,22 @@ def test_registry(spark, folder):
         reg.parse_registry(bad).collect()
 
 
+def test_fetch_books(spark, folder):
+    feeds, log = registry(spark, folder), manifest(spark, folder)
+    plan = fetch_plan(feeds, log, dt.date(2026, 9, 29), depth=5, mode="both")
+    assert plan["worklist"].count() == 0 and plan["gtfs_excluded_registry_feeds"].count() == 0
+    fresh = log.where("version_selector = 'prev_1'")
+    deeper = fetch_plan(feeds, fresh, dt.date(2026, 9, 29), depth=3, mode="both")
+    assert sorted(r.version_selector for r in deeper["worklist"].collect()) == ["current", "prev_2", "prev_3"]
+    late = fetch_plan(feeds, log, dt.date(2027, 1, 1))
+    assert late["gtfs_excluded_registry_feeds"].first().reason == "outside_anchor_date"
+    coverage = spark.createDataFrame([("o", "f", 2)], "organization_id STRING, feed_id STRING, requested_history_depth INT")
+    books = record_fetch(log, fresh.withColumn("sha256", F.lit("new")), coverage, deeper["requested_feeds"],
+                         late["gtfs_excluded_registry_feeds"], 3)
+    assert books["manifest"].count() == 3 and books["manifest"].where("sha256 = 'new'").count() == 1
+    assert books["gtfs_history_fetch_coverage"].first().requested_history_depth == 3
+
+
 def test_members(spark, folder):
     files = src.read_binary(spark, f"file:{folder}/gtfs", "*.zip")
     members = src.unzip_members(files)

@@ -205,7 +205,8 @@ view("windows", "archives calendar valid_exceptions feed_info used_services", f"
 SELECT {K}, CASE WHEN ws <= we THEN ws END AS window_start, CASE WHEN ws <= we THEN we END AS window_end,
        has_calendar
 FROM (
-  SELECT {K}, greatest(anchor_date - 365, min(d)) AS ws, least(anchor_date + 365, max(d)) AS we,
+  SELECT {K}, CASE WHEN min(d) IS NOT NULL THEN greatest(anchor_date - 365, min(d)) END AS ws,
+         CASE WHEN max(d) IS NOT NULL THEN least(anchor_date + 365, max(d)) END AS we,
          coalesce(bool_or(dated), false) AS has_calendar
   FROM archives LEFT JOIN (
     SELECT {K}, start_date AS d, true AS dated FROM calendar SEMI JOIN used_services USING ({K}, service_id)
@@ -215,7 +216,6 @@ FROM (
     UNION ALL SELECT {K}, feed_start_date, false FROM feed_info
     UNION ALL SELECT {K}, feed_end_date, false FROM feed_info
   ) USING ({K})
-  WHERE d IS NOT NULL OR dated IS NULL
   GROUP BY {K}, anchor_date)
 """)
 view("window_days", "windows", f"""

@@ -34,10 +34,12 @@ class Workspace:
     def __init__(self, spark: SparkSession):
         self.spark = spark
         self.folder = f"{shared_dir(spark).rstrip('/')}/run-{uuid.uuid4().hex}"
+        self.kept = 0
 
     def keep(self, df: DataFrame, name: str) -> DataFrame:
         """Write ``df`` and read it back, with the schema it has now."""
-        path = f"{self.folder}/{name}"
+        self.kept += 1  # two models may use one name
+        path = f"{self.folder}/{self.kept:03d}-{name}"
         df.write.parquet(path)
         return self.spark.read.schema(df.schema).parquet(path)
 

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-MODULES = ("quality", "lines")
+MODULES = ("quality", "lines", "warc")
 
 QUERIES: dict = {}
 ORACLES: dict = {}

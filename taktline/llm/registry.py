@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-MODULES = ("quality", "lines", "warc", "html", "bpe")
+MODULES = ("quality", "lines", "warc", "html", "bpe", "packing")
 
 QUERIES: dict = {}
 ORACLES: dict = {}

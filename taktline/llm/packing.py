@@ -7,7 +7,7 @@ parent into a copy of the other, removes every bin of the copy that shares a pie
 pieces by best fit, largest first. Pieces are dealt to islands of a bounded size; each island evolves a small population.
 Then bins that are full enough are final, and all other pieces are dealt anew to fewer islands, together with the elite
 of the neighbour island: its best bins as lists of lengths, which the island fills with pieces of its own and injects
-like a parent. The rounds end with one island. Islands hold a bounded number of pieces, whatever the corpus.
+like a parent. The rounds end with one island, or when every bin is final. Islands hold a bounded number of pieces, whatever the corpus.
 
 Defined cases: a null or empty text is the end id alone; a null doc_id is passed on; equal rows are packed each on its
 own; an empty table gives no rows; other columns don't matter.
@@ -34,8 +34,7 @@ ISLAND = 8192  # pieces on one island
 POPULATION = 4
 GENERATIONS = 8
 ELITE = 32  # bins that an island sends to its neighbour
-FULL = 0.995  # share of a sequence from which a bin is final before the last round
-ROUNDS = 12
+FULL = (0.995, 0.98, 0.95, 0.9, 0.8, 0.6, 0.0)  # per round: share of a sequence from which a bin is final
 CACHED = 300_000  # words kept with their ids in one Python worker
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 PACKED = PIECES + ", sequence_id long, offset long"
@@ -225,7 +224,7 @@ def _island(turn: int, last: bool, capacity: int):
         for k, (items, fill) in enumerate(zip(best.items, best.fill)):
             at = 0
             for i in items:
-                sequence[i], offset[i], final[i] = (turn << 56) + (at_home << 28) + k, at, last or fill >= FULL * capacity
+                sequence[i], offset[i], final[i] = (turn << 56) + (at_home << 28) + k, at, last or fill >= FULL[turn - 1] * capacity
                 at += lengths[i]
         rows = mine.select(names)
         more = {"sequence_id": pa.array(sequence), "offset": pa.array(offset), "final": pa.array(final),
@@ -247,15 +246,12 @@ def pack_islands(pieces: DataFrame, store: Workspace, capacity: int = CAPACITY,
     names = [f.name for f in C.arrow_schema(PIECES)]
     elite: DataFrame | None = None
     done = [whole.select(*(x.strip().split()[0] for x in PACKED.split(",")))]
-    n_before = None
-    for turn in range(1, ROUNDS + 1):
+    for turn in range(1, len(FULL) + 1):
         n = left.count()
         if not n:
             break
         islands = -(-n // island)
-        # Pieces of which hardly any bin gets full would stay on as many islands: they are final as they are.
-        last = islands == 1 or turn == ROUNDS or n_before is not None and 2 * n > n_before
-        n_before = n
+        last = islands == 1 or turn == len(FULL)
         dealt = left.withColumn("island", (F.monotonically_increasing_id() % islands).cast("int")).withColumn("pattern", F.lit(None).cast("array<long>"))
         if elite is not None:
             guests = elite.select(*(F.lit(None).cast(k).alias(c) for c, k in (x.strip().split() for x in PIECES.split(","))), (F.col("island") % islands).cast("int").alias("island"), "pattern")

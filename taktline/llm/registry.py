@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-MODULES = ("quality", "lines", "warc", "html", "bpe", "packing")
+MODULES = ("quality", "lines", "warc", "html", "bpe", "packing", "simhash")
 
 QUERIES: dict = {}
 ORACLES: dict = {}

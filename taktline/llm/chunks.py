@@ -23,6 +23,7 @@ from taktline.workspace import Workspace
 
 CHUNK_BYTES = 2 << 20  # text of one chunk; a longer row is a chunk by itself
 SHARD_BYTES = 32 << 20  # raw keys that one shard sees, about
+MAX_ROWS = 1 << 15  # rows of a chunk from which it is closed
 BATCH_ROWS = 512  # rows per Arrow batch, for bounded memory with long texts
 
 CHUNK_SCHEMA = "chunk long, n_bytes long, n_rows long, body binary"
@@ -125,7 +126,7 @@ def make_chunks(df: DataFrame, store: Workspace, text: str = "text", chunk_bytes
                 size += n
             if start < batch.num_rows:
                 held.append(batch.slice(start))
-            if sum(b.num_rows for b in held) >= 1 << 15:
+            if sum(b.num_rows for b in held) >= MAX_ROWS:
                 yield flush()
         if held:
             yield flush()
@@ -200,10 +201,10 @@ def answer(asked: DataFrame, reply: Callable[[np.ndarray, np.ndarray, list[np.nd
     return asked.groupBy("shard").applyInArrow(run, BLOCK_SCHEMA)
 
 
-def meet(chunks: DataFrame, answers: DataFrame, use: Callable[[pa.Table, list[np.ndarray] | None], pa.Table], schema: str) -> DataFrame:
-    """``use(rows of the chunk, keys and results in key order or None)`` for every chunk."""
+def meet(chunks: DataFrame, answers: DataFrame, use: Callable[..., pa.Table], schema, with_chunk: bool = False) -> DataFrame:
+    """``use(rows of the chunk, keys and results in key order or None)`` for every chunk; its number in front on demand."""
 
-    def run(left: pa.Table, right: pa.Table) -> Iterator[pa.RecordBatch] | pa.Table:
+    def run(key, left, right):
         made = []
         for body in left.column("body"):
             found = None
@@ -211,8 +212,8 @@ def meet(chunks: DataFrame, answers: DataFrame, use: Callable[[pa.Table, list[np
                 order = np.argsort(right.column("shard").to_numpy())
                 got = [unpack_keys(right.column("block")[int(i)].as_buffer()) for i in order]
                 found = [np.concatenate(x) for x in zip(*got)]
-            made.append(use(rows_of(body.as_buffer()), found))
-        return pa.concat_tables(made) if made else pa.Table.from_pylist([], schema=arrow_schema(schema))
+            made.append(use(*([key[0].as_py()] if with_chunk else []), rows_of(body.as_buffer()), found))
+        return pa.concat_tables(made)
 
     return chunks.select("chunk", "body").groupBy("chunk").cogroup(answers.groupBy("chunk")).applyInArrow(run, schema)
 

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-MODULES = ("quality", "lines", "warc", "html", "bpe", "packing", "simhash", "jaccard")
+MODULES = ("quality", "lines", "warc", "html", "bpe", "packing", "simhash", "jaccard", "scoring")
 
 QUERIES: dict = {}
 ORACLES: dict = {}

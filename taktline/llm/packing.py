@@ -19,9 +19,11 @@ import re
 import zlib
 from collections.abc import Iterator
 from functools import lru_cache
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
+import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -35,13 +37,15 @@ POPULATION = 4
 GENERATIONS = 8
 ELITE = 32  # bins that an island sends to its neighbour
 FULL = (0.995, 0.98, 0.95, 0.9, 0.8, 0.6, 0.0)  # per round: share of a sequence from which a bin is final
-CACHED = 300_000  # words kept with their ids in one Python worker
+CACHED = 300_000  # words of one generation kept with their ids in one Python worker; there are two
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 PACKED = PIECES + ", sequence_id long, offset long"
 
 # Beyond these, case mapping, composition and white space are left to the tokenizer.
 _ODD = re.compile("[^\\x00-\\x1b\\x20-\\x84\\x86-\\x9f\\xa1-\\u012f\\u0131-\\u017f\\u2010-\\u2027\\u2030-\\u205e]")
 
+_PRETOKEN = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+")  # of the tokenizer file
+
 
 class WordEncoder:
     """Packed ids per text. The tokenizer drops white space, so that words can be encoded one by one and remembered."""
@@ -51,22 +55,44 @@ class WordEncoder:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
+        vocabulary = self.tokenizer.get_vocab()
+        # Each pre-token ends with just one id of a word end.
+        self.is_end = np.zeros(max(vocabulary.values()) + 1, bool)
+        self.is_end[[i for t, i in vocabulary.items() if t.endswith("</w>")]] = True
         self.known: dict[str, bytes] = {}
-
-    def _ids(self, texts: list[str]) -> list[bytes]:
-        return [np.array(x.ids, "<u4").tobytes() for x in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
-
-    def encode(self, text: str) -> bytes:
-        if _ODD.search(text):
-            return self._ids([text])[0]
-        words = text.lower().split()
-        missing = list({w for w in words if w not in self.known})
+        self.older: dict[str, bytes] = {}
+
+    def _ids(self, text: str) -> np.ndarray:
+        return np.array(self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids, "<u4")
+
+    def _remember(self, missing: list[str]) -> None:
+        """Ids of new words, all in one text; by the number of pre-tokens of each, the ids fall apart again."""
+        counts = np.array([len(_PRETOKEN.findall(w)) for w in missing])
+        ids = self._ids(" ".join(missing))
+        ends = np.append(0, np.flatnonzero(self.is_end[ids]) + 1)
+        if len(ends) - 1 != counts.sum():
+            raise ValueError("words and their ids don't match")
+        cuts = (4 * ends[np.append(0, np.cumsum(counts))]).tolist()
+        packed = ids.tobytes()
+        self.known.update((w, packed[a:b]) for w, a, b in zip(missing, cuts, cuts[1:]))
+
+    def encode_all(self, texts: list[str]) -> list[bytes]:
+        words = [None if _ODD.search(t) else t.lower().split() for t in texts]
+        missing = set(chain.from_iterable(w for w in words if w)) - self.known.keys()
         if missing:
             if len(self.known) + len(missing) > CACHED:
-                self.known = {}
-                missing = list(set(words))
-            self.known.update(zip(missing, self._ids(missing)))
-        return b"".join(map(self.known.__getitem__, words))
+                # The words of before are an older generation, from which those in use come back.
+                used = set(chain.from_iterable(w for w in words if w))
+                self.older, self.known = self.known, {w: self.known[w] for w in used & self.known.keys()}
+            back = missing & self.older.keys()
+            self.known.update((w, self.older[w]) for w in back)
+            if missing := list(missing - back):
+                self._remember(missing)
+        get = self.known.__getitem__
+        return [self._ids(t).tobytes() if w is None else b"".join(map(get, w)) for t, w in zip(texts, words)]
+
+    def encode(self, text: str) -> bytes:
+        return self.encode_all([text])[0]
 
 
 @lru_cache(2)
@@ -88,8 +114,8 @@ def cut_pieces(docs: DataFrame, vocabulary: str | None = None, capacity: int = C
         end = np.array([END_ID], "<u4").tobytes()
         for batch in batches:
             rows = []
-            for doc, text in zip(batch.column("doc_id").to_pylist(), batch.column("text").to_pylist()):
-                ids = make.encode(text or "") + end
+            for doc, ids in zip(batch.column("doc_id").to_pylist(), make.encode_all([t or "" for t in batch.column("text").to_pylist()])):
+                ids += end
                 for k, at in enumerate(range(0, len(ids), 4 * capacity)):
                     part = ids[at : at + 4 * capacity]
                     rows.append((doc, k, at // 4, len(part) // 4, zlib.crc32(part)))

@@ -22,7 +22,7 @@ from taktline.session import tune
 from taktline.workspace import Workspace
 
 CHUNK_BYTES = 2 << 20  # text of one chunk; a longer row is a chunk by itself
-SHARD_BYTES = 32 << 20  # raw keys that one shard sees, about
+SHARD_BYTES = 12 << 20  # raw keys that one shard sees, about
 MAX_ROWS = 1 << 15  # rows of a chunk from which it is closed
 BATCH_ROWS = 512  # rows per Arrow batch, for bounded memory with long texts
 
@@ -179,6 +179,7 @@ def gather(group: pa.Table) -> tuple[np.ndarray, np.ndarray, list[np.ndarray], l
     found = [unpack_keys(b.as_buffer()) for b in group.column("block")]
     of = np.repeat(np.arange(len(found), dtype=np.int32), [len(x[0]) for x in found])
     columns = [np.concatenate(x) for x in zip(*found)]
+    del found
     return of, columns[0], columns[1:], group.column("chunk").to_pylist()
 
 

@@ -19,6 +19,7 @@ import hashlib
 import heapq
 from collections.abc import Iterator
 from functools import lru_cache
+from struct import pack
 
 import numpy as np
 import pyarrow as pa
@@ -33,7 +34,7 @@ from taktline.workspace import Workspace
 CHUNK_CHARS = 1 << 16
 OVERLAP = 1 << 10
 UNSURE = 4  # code points at the cut end of a chunk whose boundaries may move with the text behind
-CACHED = 1 << 18  # pieces kept with their ids in one Python worker
+CACHED = 200_000  # pieces of one generation kept with their ids in one Python worker; there are two
 LONG_PIECE = 48  # bytes from which merges go through a heap
 DIGEST = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string"
 
@@ -41,11 +42,16 @@ DIGEST = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string"
 def merge_short(piece: bytes, ranks: dict[bytes, int]) -> list[bytes]:
     """Merge the neighbours of lowest rank, leftmost first, until none can be merged."""
     parts = [piece[i : i + 1] for i in range(len(piece))]
-    while len(parts) > 1:
-        best, at = min((ranks.get(a + b, 1 << 40), i) for i, (a, b) in enumerate(zip(parts, parts[1:])))
-        if best == 1 << 40:
-            break
-        parts[at : at + 2] = [parts[at] + parts[at + 1]]
+    rank_of, never = ranks.get, len(ranks) + 1
+    pairs = [rank_of(a + b, never) for a, b in zip(parts, parts[1:])]
+    while pairs and (best := min(pairs)) < never:
+        i = pairs.index(best)
+        parts[i : i + 2] = [parts[i] + parts[i + 1]]
+        del pairs[i]
+        if i:
+            pairs[i - 1] = rank_of(parts[i - 1] + parts[i], never)
+        if i < len(pairs):
+            pairs[i] = rank_of(parts[i] + parts[i + 1], never)
     return parts
 
 
@@ -89,20 +95,26 @@ class Encoder(dict):
             self.ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, lines)}
         self.bytes_of = {rank: token for token, rank in self.ranks.items()}
         self.pattern = regex.compile(pattern)
+        self.older: dict[str, bytes] = {}
 
     def __missing__(self, piece: str) -> bytes:
-        raw = piece.encode()
+        packed = self.older.get(piece)
+        if packed is None:
+            packed = self.packed(piece.encode())
+        if len(piece) < 4 * LONG_PIECE:
+            if len(self) >= CACHED:
+                self.older = dict(self)
+                self.clear()
+            self[piece] = packed
+        return packed
+
+    def packed(self, raw: bytes) -> bytes:
         whole = self.ranks.get(raw)
         if whole is not None:
             ids = [whole]
         else:
             ids = [self.ranks[p] for p in (merge_short if len(raw) < LONG_PIECE else merge_long)(raw, self.ranks)]
-        packed = np.array(ids, "<u4").tobytes()
-        if len(raw) < 4 * LONG_PIECE:
-            if len(self) >= CACHED:
-                self.clear()
-            self[piece] = packed
-        return packed
+        return pack(f"<{len(ids)}I", *ids)
 
     def encode_pieces(self, pieces: list[str]) -> bytes:
         """Little-endian 32-bit ids."""

@@ -58,8 +58,8 @@ _TRIM = re.compile(r"^\W+|\W+$")
 _NAMED = re.compile(r"class|id|role|hidden|style|aria", re.I)
 
 
-def _zone(tag: str, attributes: str, parent: str, parent_tag: str) -> str:
-    """Zone inside an element."""
+def _zone(tag: str, attributes: str, parent: str, cause: str) -> str:
+    """Zone inside an element; ``cause``: the element that made the zone around it."""
     if attributes and _NAMED.search(attributes):
         named = {a.lower(): b or c or d for a, b, c, d in _ATTRIBUTE.findall(attributes)}
         role = named.get("role", "").lower()
@@ -75,14 +75,14 @@ def _zone(tag: str, attributes: str, parent: str, parent_tag: str) -> str:
         return "bad"
     if tag in ("article", "main"):
         # An article inside a menu, header or footer means that their end tag is missing.
-        return "main" if parent != "bad" or parent_tag in ("nav", "header", "footer") else "bad"
+        return "main" if parent != "bad" or cause in ("nav", "header", "footer") else "bad"
     return parent
 
 
 def blocks_of(page: str) -> list[tuple[str, str, int]]:
     """(zone, text, characters in links) of each block with text, in page order."""
     out: list[tuple[str, str, int]] = []
-    stack: list[tuple[str, str]] = [("", "open")]
+    stack: list[tuple[str, str, str]] = [("", "open", "")]  # element, zone, element that made the zone
     parts: list[str] = []
     linked = 0
     in_link = False
@@ -136,17 +136,17 @@ def blocks_of(page: str) -> list[tuple[str, str, int]]:
                     if tag in VOID and stack[i][0] not in VOID:
                         break
             else:
-                zone = _zone(tag, attributes, stack[-1][1], stack[-1][0])
+                zone = _zone(tag, attributes, stack[-1][1], stack[-1][2])
                 if tag in VOID:
                     if tag != "span":  # they close one another
                         while stack[-1][0] == tag:
                             stack.pop()
-                        zone = _zone(tag, attributes, stack[-1][1], stack[-1][0])
+                        zone = _zone(tag, attributes, stack[-1][1], stack[-1][2])
                     if zone == stack[-1][1] and tag != "span":
                         continue
                     if tag == "span" and zone != stack[-1][1]:
                         close()
-                stack.append((tag, zone))
+                stack.append((tag, zone, stack[-1][2] if zone == stack[-1][1] else tag))
     add(page[at:])
     close()
     return out

@@ -7,8 +7,9 @@ Each line that has a word is held against three kinds of rules:
 * navigation: two stand-alone separators at least, one per three words;
 * boilerplate: at most 30 words with a phrase of the fixed list below.
 
-Lines that fail are removed. A document is rejected if it fails the base rules, or if more than ``MAX_LOST`` percent of
-its word characters stood in removed lines.
+Lines that fail are removed. A document is rejected if it fails the base rules, if more than ``MAX_LOST`` percent of its
+word characters stood in lines that failed for punctuation or navigation, or if nothing is left. Boilerplate lines don't
+count in that share, so that a short text under a licence stays.
 
 Defined cases: a null or empty text has no words, fails the base (fewer than 10 words) and is not kept; a null doc_id is
 passed on; equal rows are judged alike, each on its own; other columns don't matter.
@@ -50,6 +51,15 @@ _UPPER = bytes(range(65, 91))
 
 def line_fails(line: bytes) -> bool:
     """Verdict on a line with a word."""
+    return bad_marks(line) or boilerplate(line)
+
+
+def boilerplate(line: bytes) -> bool:
+    return len(line.split()) <= 30 and _PHRASES.search(line.lower().decode()) is not None
+
+
+def bad_marks(line: bytes) -> bool:
+    """Whether a line fails for punctuation or navigation."""
     words = line.split()
     n = len(words)
     text = line.decode()
@@ -63,9 +73,7 @@ def line_fails(line: bytes) -> bool:
     if n >= 60 and not _SENTENCE.search(text) or n <= 2 and not _MARKS.search(text):
         return True
     separators = sum(w in _SEPARATORS for w in words)
-    if separators >= 2 and 3 * separators >= n:
-        return True
-    return n <= 30 and _PHRASES.search(line.lower().decode()) is not None
+    return separators >= 2 and 3 * separators >= n
 
 
 def repeat_words(words: list[bytes]) -> int:
@@ -91,7 +99,7 @@ def judge(text: bytes) -> tuple:
     symbols = len(_SYMBOLS.findall(text.decode()))
     lines = text.split(b"\n")
     seen: set[bytes] = set()
-    keep, dup, lost = [], 0, 0
+    keep, dup, lost, stock = [], 0, 0, 0
     for line in lines:
         own = line.split()
         if not own:
@@ -99,15 +107,19 @@ def judge(text: bytes) -> tuple:
             continue
         dup += line in seen
         seen.add(line)
-        fails = line_fails(line)
-        keep.append(not fails)
-        if fails:
+        if bad_marks(line):
             lost += len(b"".join(own).decode())
+            keep.append(False)
+        elif boilerplate(line):
+            stock += len(b"".join(own).decode())
+            keep.append(False)
+        else:
+            keep.append(True)
     repeats = repeat_words(words)
     base = n < MIN_WORDS or 100 * repeats > MAX_REPEAT * n
-    kept = not base and 100 * lost <= MAX_LOST * chars
+    kept = not base and 100 * lost <= MAX_LOST * (chars - stock) and chars > stock
     removed = len(keep) - sum(keep)
-    return n, chars, symbols, dup, repeats, base, kept, removed, lost, b"\n".join(compress(lines, keep)) if removed else text
+    return n, chars, symbols, dup, repeats, base, kept, removed, lost + stock, b"\n".join(compress(lines, keep)) if removed else text
 
 
 FIELDS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "n_lines_removed", "lost_chars")
@@ -179,21 +191,24 @@ lines AS (
   FROM l WHERE len(lw) > 0),
 judged AS (
   SELECT *, 10 * symbols > chars OR (marks >= 3 AND marks >= n) OR (n >= 60 AND NOT sentence) OR (n <= 2 AND NOT mark)
-    OR (seps >= 2 AND 3 * seps >= n) OR (n <= 30 AND phrase) AS fails
+    OR (seps >= 2 AND 3 * seps >= n) AS bad, NOT bad AND n <= 30 AND phrase AS stock, bad OR stock AS fails
   FROM lines),
 per AS (
   SELECT r, sum(chars)::BIGINT AS word_chars, count_if(copy > 1)::BIGINT AS n_dup_lines,
-    count_if(fails)::BIGINT AS n_lines_removed, sum(CASE WHEN fails THEN chars ELSE 0 END)::BIGINT AS lost_chars
+    count_if(fails)::BIGINT AS n_lines_removed, sum(CASE WHEN fails THEN chars ELSE 0 END)::BIGINT AS lost_chars,
+    sum(CASE WHEN stock THEN chars ELSE 0 END)::BIGINT AS stock_chars
   FROM judged GROUP BY r),
 c AS (
   SELECT w.doc_id, len(w.ws)::BIGINT AS n_words, coalesce(p.word_chars, 0)::BIGINT AS word_chars,
     (length(w.t) - length(regexp_replace(w.t, '[#*$%&|<>]', '', 'g')))::BIGINT AS n_symbols,
     coalesce(p.n_dup_lines, 0)::BIGINT AS n_dup_lines, coalesce(v.n_repeat_words, 0)::BIGINT AS n_repeat_words,
-    coalesce(p.n_lines_removed, 0)::BIGINT AS n_lines_removed, coalesce(p.lost_chars, 0)::BIGINT AS lost_chars
+    coalesce(p.n_lines_removed, 0)::BIGINT AS n_lines_removed, coalesce(p.lost_chars, 0)::BIGINT AS lost_chars,
+    coalesce(p.stock_chars, 0)::BIGINT AS stock_chars
   FROM w LEFT JOIN per p USING (r) LEFT JOIN covered v USING (r)),
 b AS (SELECT *, n_words < {MIN_WORDS} OR 100 * n_repeat_words > {MAX_REPEAT} * n_words AS base_failed FROM c)
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
-  NOT base_failed AND 100 * lost_chars <= {MAX_LOST} * word_chars AS kept, n_lines_removed, lost_chars
+  NOT base_failed AND 100 * (lost_chars - stock_chars) <= {MAX_LOST} * (word_chars - stock_chars)
+    AND word_chars > stock_chars AS kept, n_lines_removed, lost_chars
 FROM b
 """
 

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from taktline.checks.links_views import LinksViews as Views, permit_sql, rollup_sql, sql_norm, sql_valued
 from taktline.checks.registry import query
+from taktline.checks.views import text
 from taktline.constants import FIELD_TERMS
 from taktline.functions import prefecture_name, url_host, normalize_name
 from taktline.operators import funnel, links
@@ -26,7 +27,7 @@ def _(v: Views):
 
 @query("map_fields", "links_rows", f"SELECT {ROW} FROM links_rows")
 def _(v: Views):
-    return v.links_rows.drop("driver_valued")
+    return v.links_rows.drop("driver_valued", "path")
 
 
 @query("row_normalization", "links_rows", f"""
@@ -47,7 +48,7 @@ def _(v: Views):
 
 @query("links_operator_rollup", "links", "SELECT * FROM links")
 def _(v: Views):
-    return v.links.drop("row_ix")
+    return v.links.drop("row_ix", "first_path")
 
 
 def completeness_sql() -> str:
@@ -79,7 +80,7 @@ FROM ({' UNION ALL '.join(parts)})"""
 
 @query("field_completeness", "links_rows", completeness_sql())
 def _(v: Views):
-    return links.field_completeness(v.records)
+    return links.field_completeness(v.records).drop("path")
 
 
 @query("transport_complete", "per_permit", "SELECT * FROM per_permit")
@@ -187,7 +188,7 @@ def _(v: Views):
 SELECT links.*, 'not confirmed as a GTFS bus agency match' AS reason FROM links
 ANTI JOIN (SELECT link_id AS links_operator_id FROM name_classes WHERE link_id IS NOT NULL) USING (links_operator_id)""")
 def _(v: Views):
-    return v.matching.unmatched_right().drop("row_ix")
+    return v.matching.unmatched_right().drop("row_ix", "first_path")
 
 
 NOTES = {"A": "raw exact name", "B": "normalized exact name", "C": "manual approved alias",
@@ -357,3 +358,54 @@ SELECT count(*) FILTER (complete) AS full_complete,
        CASE WHEN count(*) FILTER (complete) >= 20 THEN 'CONDITIONAL PASS' ELSE 'FAIL' END AS verdict FROM flags""")
 def _(v: Views):
     return funnel.verdict(v.flags)
+
+
+# -- files that share a member name, odd white space, blank prefectures --------
+
+
+@query("field_completeness_by_file", "", """
+SELECT path, 'report.csv' AS source_file, field, columns, rows_total, rows_nonblank FROM (
+  SELECT 'z' || n_nationkey % 2 || '.zip' AS path, count(*) AS rows_total,
+         count(*) FILTER (n_nationkey % 3 <> 0) AS named, count(*) FILTER (n_nationkey % 2 = 0 AND n_nationkey % 5 <> 0) AS driven
+  FROM nation GROUP BY 1)
+CROSS JOIN LATERAL (VALUES ('operator_name', CASE path WHEN 'z0.zip' THEN '事業者名' ELSE '会社名' END, named),
+  ('driver_count', CASE path WHEN 'z0.zip' THEN '運転者数' ELSE '' END, driven)) AS f(field, columns, rows_nonblank)""")
+def _(v: Views):
+    n = F.col("n_nationkey")
+    even = n % 2 == 0
+    name = F.when(n % 3 != 0, F.col("n_name")).otherwise("")
+    one = F.create_map(F.lit("事業者名"), name, F.lit("運転者数"), F.when(n % 5 != 0, "4").otherwise("-"))
+    records = v.table("nation").select(
+        F.concat(F.lit("z"), (n % 2).cast("string"), F.lit(".zip")).alias("path"), F.lit("report.csv").alias("source_file"),
+        n.alias("source_row"), F.when(even, F.array(F.lit("事業者名"), F.lit("運転者数"))).otherwise(F.array(F.lit("会社名"))).alias("columns"),
+        F.when(even, one).otherwise(F.create_map(F.lit("会社名"), name)).alias("row"),
+    )
+    return links.field_completeness(records).where(F.col("field").isin("operator_name", "driver_count")).select(
+        "path", "source_file", "field", "columns", "rows_total", "rows_nonblank")
+
+
+@query("common_permit_white_space", "", """
+SELECT 'L' || c_custkey AS links_operator_id, '2024' AS common_links_year, 'P' || c_nationkey AS common_permit_type,
+       true AS transport_complete, c_custkey % 2 = 0 AS driver_complete FROM customer""")
+def _(v: Views):
+    c = F.col("c_custkey")
+    permit = text("P", "c_nationkey")
+    rows = v.table("customer").select(
+        text("L", c).alias("links_operator_id"), F.lit("2024").alias("year"), F.lit("1").alias("passenger_count"),
+        F.lit("2").alias("vehicle_count"), F.lit("3").alias("revenue"), F.when(c % 2 == 0, "4").otherwise("").alias("driver_count"),
+        F.explode(F.array(F.struct(F.lit("transport_performance").alias("d"), F.concat(permit, F.lit("　")).alias("p")),
+                          F.struct(F.lit("business_overview").alias("d"), F.concat(F.lit("\t"), permit).alias("p")))).alias("x"),
+    ).select("*", F.col("x.d").alias("dataset"), F.col("x.p").alias("permit_type")).drop("x")
+    return links.common_year_permit(links.transport_complete(rows))
+
+
+@query("prefecture_blanks", "", """
+SELECT CASE WHEN c_custkey % 4 = 2 THEN '愛媛県' ELSE '全国・都道府県不明' END AS prefecture, count(*) AS gtfs_bus_operator_entities
+FROM customer WHERE c_custkey % 4 >= 2 GROUP BY 1""")
+def _(v: Views):
+    c = F.col("c_custkey")
+    flags = v.table("customer").select(
+        c.cast("string").alias("operator_id"),
+        F.when(c % 4 == 1, "").when(c % 4 == 2, "愛媛県|").when(c % 4 == 3, "不明").alias("prefectures"),
+        *[F.lit(False).alias(n) for n in ("matched", "transport_complete", "overview_present", "driver_complete", "history_2plus", "history_3plus")])
+    return funnel.prefecture_summary(flags).where("gtfs_bus_operator_entities > 0").select("prefecture", "gtfs_bus_operator_entities")

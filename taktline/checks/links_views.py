@@ -61,7 +61,7 @@ class LinksViews(CatalogViews):
     @cached_property
     def links(self) -> DataFrame:
         return links.links_operator_rollup(self.links_rows).withColumn(
-            "row_ix", F.struct("first_file", "first_row")
+            "row_ix", F.struct("first_path", "first_file", "first_row")
         )
 
     @cached_property

@@ -257,3 +257,84 @@ def _(v: Views):
 
 
 ORACLES["version_metrics"] = VERSION_SQL
+
+
+# -- archives that fail --------------------------------------------------------
+
+
+@F.pandas_udf(BinaryType())
+def feeds_zipped(orders: pd.Series) -> pd.Series:
+    """Archives with several members and rows; some damaged in the middle, some with a member twice."""
+    import zlib
+
+    def one(key: int) -> bytes:
+        out = io.BytesIO()
+        with zipfile.ZipFile(out, "w", zipfile.ZIP_DEFLATED) as archive:
+            archive.writestr("Routes.TXT", "route_id,route_type\n" + "".join(f"r{i},3\n" for i in range(key % 4)))
+            if key % 5 == 0:
+                archive.writestr("routes.txt", "route_id,route_type\nother,3\n")
+            archive.writestr("stop_times.txt", "trip_id,stop_sequence\n" + "".join(f"t{i},{zlib.crc32(bytes([i % 256]))}\n" for i in range(3000)))
+            archive.writestr("notes.csv", "x\n1\n")
+        data = bytearray(out.getvalue())
+        if key % 7 == 0:  # the last third of the stop times does not unpack
+            at = data.rindex(b"notes.csv", 0, data.rindex(b"PK\x01\x02")) - 200
+            data[at : at + 60] = bytes(60)
+        return bytes(data[: len(data) // 2] if key % 11 == 0 else data)
+
+    return pd.Series([one(k) for k in orders], dtype=object)
+
+
+def _feeds(v: Views):
+    key = F.col("o_orderkey")
+    return v.table("orders").where("o_orderkey % 97 = 0").select(
+        F.lit("o").alias("organization_id"), text("f", key).alias("feed_id"), F.lit("current").alias("version_selector"),
+        F.concat(F.lit("file:///data/"), text("f", key), F.lit(".zip")).alias("path"), feeds_zipped(key).alias("content"))
+
+
+@query("archive_errors", "", """
+SELECT 'f' || o_orderkey AS feed_id, o_orderkey % 7 = 0 OR o_orderkey % 11 = 0 AS failed FROM orders
+WHERE o_orderkey % 97 = 0 AND (o_orderkey % 7 = 0 OR o_orderkey % 11 = 0)""")
+def _(v: Views):
+    _, errors = src.split_errors(src.unzip_members(_feeds(v)))
+    return errors.select("feed_id", F.col("error").isNotNull().alias("failed"))
+
+
+@query("archive_rows_complete", "", """
+SELECT 'f' || o_orderkey AS feed_id, o_orderkey % 4 AS routes, CAST(3000 AS BIGINT) AS stop_times FROM orders
+WHERE o_orderkey % 97 = 0 AND o_orderkey % 7 <> 0 AND o_orderkey % 11 <> 0""")
+def _(v: Views):
+    path = f"{v.workspace.folder}/members"
+    src.write_members(src.unzip_members(_feeds(v)), path)
+    rows, _ = src.split_errors(v.spark.read.parquet(path))
+    given = rows.where("row IS NOT NULL")
+    return rows.select("feed_id").distinct().join(given.groupBy("feed_id").agg(
+        F.count_if(F.col("member") == "routes.txt").alias("routes"), F.count_if(F.col("member") == "stop_times.txt").alias("stop_times")), "feed_id")
+
+
+@query("archive_keys_by_path", "", """
+SELECT 'f' || o_orderkey AS feed_id, 'k' || o_orderkey AS key FROM orders WHERE o_orderkey % 97 = 0 AND o_orderkey % 3 <> 0
+UNION ALL SELECT 'f' || o_orderkey, NULL FROM orders WHERE o_orderkey % 97 = 0 AND o_orderkey % 3 = 0""")
+def _(v: Views):
+    key = F.col("o_orderkey")
+    orders = v.table("orders").where("o_orderkey % 97 = 0")
+    name = F.concat(text("f", key), F.lit(".zip"))
+    files = orders.select(F.concat(F.lit("file:///srv/data/"), name).alias("path"))
+    listed = orders.where("o_orderkey % 3 <> 0").select(
+        F.lit("o").alias("organization_id"), text("k", key).alias("feed_id"), F.lit("current").alias("version_selector"),
+        F.concat(F.when(key % 2 == 0, "data\\").otherwise("./data//"), name).alias("path"))
+    feed = F.regexp_extract("path", "(f[0-9]+)[.]zip", 1)
+    return src.keyed_files(files, listed).select(feed.alias("feed_id"), F.col("feed_id").alias("key")).unionByName(
+        src.unlisted_files(files, listed).select(feed.alias("feed_id"), F.lit(None).cast("string").alias("key")))
+
+
+@query("links_file_status", "", """
+SELECT 'f' || c_custkey AS name, CASE c_custkey % 5 WHEN 0 THEN 'spreadsheet_not_decoded' WHEN 1 THEN 'unreadable'
+  WHEN 2 THEN 'no_csv_member' ELSE 'read' END AS status, CASE WHEN c_custkey % 5 >= 3 THEN CAST(1 AS BIGINT) END AS rows FROM customer""")
+def _(v: Views):
+    c = F.col("c_custkey")
+    body = F.concat(F.lit("事業者名\n"), F.col("c_name"), F.lit("\n"))
+    files = v.table("customer").select(
+        F.concat(F.lit("/in/"), text("f", c), F.when(c % 5 == 0, ".XLSX").when(c % 5 == 4, ".csv").otherwise(".zip")).alias("path"),
+        F.when(c % 5 == 1, F.encode(F.lit("PK no archive"), "UTF-8")).when(c % 5 == 2, zipped(F.lit("readme.txt"), body))
+        .when(c % 5 == 3, zipped(F.lit("report.csv"), body)).otherwise(F.encode(body, "UTF-8")).alias("content"))
+    return src.links_status(files).select(F.regexp_extract("path", "(f[0-9]+)[.]", 1).alias("name"), "status", "rows")

@@ -101,12 +101,12 @@ def funnel(flags: DataFrame, available: bool = True) -> DataFrame:
 def prefecture_summary(flags: DataFrame, available: bool = True) -> DataFrame:
     """All 47 prefectures and one bucket for the rest, also those without operators.
 
-    An operator counts once in each prefecture it serves.
+    An operator counts once in each prefecture it serves, and nowhere without any.
     """
     listed = F.array(*[F.lit(p) for p in PREFECTURES])
     buckets = F.array_distinct(
         F.transform(
-            F.split("prefectures", "\\|"),
+            F.filter(F.split("prefectures", "\\|"), lambda p: p != ""),
             lambda p: F.when(F.array_contains(listed, p), p).otherwise(F.lit(PREFECTURE_UNKNOWN_BUCKET)),
         )
     )

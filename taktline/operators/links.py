@@ -1,9 +1,10 @@
 """Operator statistics: field mapping, companies, completeness.
 
 Raw records carry the header in file order and the row as a map, because the
-columns differ from file to file: source_file, source_row, columns
+columns differ from file to file: path, source_file, source_row, columns
 ARRAY<STRING>, row MAP<STRING, STRING>. A record with a NULL row only says that
-the file exists.
+the file exists. ``path`` tells files with one member name apart; records of a
+single file may leave it out.
 """
 
 from __future__ import annotations
@@ -12,7 +13,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from taktline.constants import FIELD_TERMS, VEHICLE_COUNT_EXCLUDED_MARKS
 from taktline.functions import (
-    classify_dataset, has_value, infer_year, links_operator_id, normalize_name,
+    classify_dataset, has_value, infer_year, links_operator_id, normalize_name, strip,
 )
 
 COUNTED = ("passenger_count", "vehicle_count", "revenue", "driver_count")
@@ -63,14 +64,19 @@ def multi_value_cell(columns: Column, row: Column) -> Column:
     return F.array_join(F.transform(columns, lambda c: F.coalesce(row[c], F.lit(""))), "|")
 
 
+def _with_path(records: DataFrame) -> DataFrame:
+    return records if "path" in records.columns else records.withColumn("path", F.lit(""))
+
+
 def links_rows(records: DataFrame) -> DataFrame:
     """One row per source row; nothing is merged or dropped."""
+    records = _with_path(records)
     columns, row = F.col("columns"), F.col("row")
     fields, picked = map_fields(columns), pick_column(columns)
     cells = {name: _cell(row, column) for name, column in picked.items()}
     cells["year"] = infer_year(cells["year"])
     base = records.where("row IS NOT NULL").select(
-        "source_file", "source_row",
+        "path", "source_file", "source_row",
         classify_dataset(F.col("source_file")).alias("dataset"),
         *[c.alias(name) for name, c in cells.items()],
         *[multi_value_cell(fields[f], row).alias(f) for f in COUNTED],
@@ -91,7 +97,7 @@ def row_normalization(records: DataFrame) -> DataFrame:
     name_column = pick_column(F.col("columns"))["operator_name"]
     raw = _cell(F.col("row"), name_column)
     return records.where("row IS NOT NULL").select(
-        "source_file", "source_row",
+        *[c for c in ("path",) if c in records.columns], "source_file", "source_row",
         F.coalesce(name_column, F.lit("")).alias("links_name_column"),
         raw.alias("links_name_raw"), normalize_name(raw).alias("links_name_key"),
         prefixed_passthrough(F.col("row")).alias("fields"),
@@ -116,7 +122,7 @@ def links_operator_rollup(rows: DataFrame) -> DataFrame:
     Years are four digits of 1900-2099 and there are four datasets, so both
     sets are small whatever the number of rows.
     """
-    order = F.struct("source_file", "source_row")
+    order = F.struct("path", "source_file", "source_row")
     return rows.where("links_operator_id IS NOT NULL").groupBy("links_operator_id").agg(
         F.min_by(F.struct("operator_name", "operator_number", "prefecture_address"), order).alias("_f"),
         F.min(order).alias("_o"),
@@ -128,7 +134,8 @@ def links_operator_rollup(rows: DataFrame) -> DataFrame:
         F.bool_or(F.col("dataset") == "business_overview").alias("has_business_overview"),
     ).select("links_operator_id", "_f.*", "years", "datasets", "source_rows", "has_driver_count",
              "has_transport_performance", "has_business_overview",
-             F.col("_o.source_file").alias("first_file"), F.col("_o.source_row").alias("first_row"))
+             F.col("_o.path").alias("first_path"), F.col("_o.source_file").alias("first_file"),
+             F.col("_o.source_row").alias("first_row"))
 
 
 def field_completeness(records: DataFrame) -> DataFrame:
@@ -137,6 +144,8 @@ def field_completeness(records: DataFrame) -> DataFrame:
     Only fields with a value are expanded, and they are counted per company
     first, so that a very large file is not counted by one task.
     """
+    records = _with_path(records)
+    file = ["path", "source_file"]
     columns, row = F.col("columns"), F.col("row")
     fields, picked = map_fields(columns), pick_column(columns)
     name = _cell(row, picked["operator_name"])
@@ -144,7 +153,7 @@ def field_completeness(records: DataFrame) -> DataFrame:
         name, _cell(row, picked["operator_number"]), _cell(row, picked["prefecture_address"])
     )
     typed = records.select(
-        "source_file", classify_dataset(F.col("source_file")).alias("dataset"), "row",
+        *file, classify_dataset(F.col("source_file")).alias("dataset"), "row",
         infer_year(_cell(row, picked["year"])).alias("year"),
         F.filter(
             F.array(*[
@@ -154,19 +163,19 @@ def field_completeness(records: DataFrame) -> DataFrame:
         ).alias("valued"),
         F.when(has_value(name), oid).alias("oid"),
     )
-    group = ["source_file", "dataset", "year"]
+    group = [*file, "dataset", "year"]
     totals = typed.groupBy(*group).agg(F.count("row").alias("rows_total"))
-    headers = records.select("source_file", "columns").distinct().groupBy("source_file").agg(
+    headers = records.select(*file, "columns").distinct().groupBy(*file).agg(
         F.max("columns").alias("columns")
     ).select(
-        "source_file",
+        *file,
         F.create_map(*[x for f, c in fields.items() for x in (F.lit(f), F.array_join(c, "|"))]).alias("names"),
     )
     # A file with any year is reported by year, and its rows without one are
     # left out; a file without years is reported as a whole.
-    dated = totals.groupBy("source_file").agg(F.max("year").alias("_last_year"))
-    grid = totals.join(dated, "source_file").where((F.col("year") != "") | (F.col("_last_year") == "")).join(
-        headers, "source_file"
+    dated = totals.groupBy(*file).agg(F.max("year").alias("_last_year"))
+    grid = totals.join(dated, file).where((F.col("year") != "") | (F.col("_last_year") == "")).join(
+        headers, file
     ).select(*group, "rows_total", F.explode("names").alias("field", "columns"))
     counted = (
         typed.where("row IS NOT NULL").select(*group, "oid", F.explode("valued").alias("field"))
@@ -174,7 +183,7 @@ def field_completeness(records: DataFrame) -> DataFrame:
         .groupBy(*group, "field").agg(F.sum("n").alias("n"), F.count("oid").alias("ids"))
     )
     return grid.join(counted, [*group, "field"], "left").select(
-        "dataset", "source_file", "year", "field", "columns", "rows_total",
+        "path", "dataset", "source_file", "year", "field", "columns", "rows_total",
         F.coalesce("n", F.lit(0)).alias("rows_nonblank"),
         F.coalesce("ids", F.lit(0)).alias("unique_operator_ids_nonblank"),
         F.when(F.col("columns") != "", "measured_from_csv").otherwise("column_not_present").alias("status"),
@@ -199,7 +208,7 @@ def transport_complete(rows: DataFrame, blank_rule: str = "strict") -> DataFrame
     p, v, r, d = (_valued(c, blank_rule) for c in COUNTED)
     transport = F.col("dataset") == "transport_performance"
     return rows.where("links_operator_id IS NOT NULL AND year <> ''").groupBy(
-        "links_operator_id", "year", F.trim("permit_type").alias("permit_type")
+        "links_operator_id", "year", strip(F.col("permit_type")).alias("permit_type")
     ).agg(
         F.bool_or(transport).alias("in_transport"),
         F.bool_or(F.col("dataset") == "business_overview").alias("in_overview"),

@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from taktline.constants import ARCHIVE_KEYS
 from taktline.functions import (
-    canonical_operator, fmt_time, gtfs_seconds, operator_id, prefecture_name,
+    canonical_operator, fmt_time, gtfs_seconds, operator_id, prefecture_name, strip,
 )
 from taktline.operators import calendar as cal, routes as rt, trips as tr
 from taktline.workspace import Lazy, Workspace
@@ -310,7 +310,7 @@ class ServiceModel:
         extra = [c for c in archives.columns if c not in A]
         joined = (
             self.agency_static_counts()
-            .join(self.agency_names.where(F.trim("agency_name") != ""), AGENCY)
+            .join(self.agency_names.where(strip(F.col("agency_name")) != ""), AGENCY)
             .join(self.weekday_weekend_avg(), AGENCY)
             .join(self.route_headway(), AGENCY, "left")
             .join(archives.select(*A, *extra), A)
@@ -387,8 +387,8 @@ def operator_rollup(agency_metrics: DataFrame) -> DataFrame:
         joined("feed_id").alias("feed_ids"),
         joined(pair).alias("organization_feed_pairs"),
         joined("agency_id").alias("agency_ids"),
-        F.size(F.collect_set("feed_id")).cast("bigint").alias("feed_count"),
-        F.size(F.collect_set(pair)).cast("bigint").alias("feed_pair_count"),
+        F.count_distinct("feed_id").alias("feed_count"),
+        F.count_distinct(pair).alias("feed_pair_count"),
         F.count("*").alias("agency_record_count"),
         F.sum("route_count").alias("routes_sum_across_feeds"),
         F.sum("trip_count").alias("trips_sum_across_feeds"),

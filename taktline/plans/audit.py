@@ -21,17 +21,17 @@ NO_MATCH = "operator_id STRING, match_class STRING, links_operator_id STRING, li
 def audit_run(
     spark: SparkSession, operators: DataFrame, history: DataFrame, supply: DataFrame | None,
     records: DataFrame | None, registry: DataFrame, aliases: DataFrame | None = None,
-    workspace: Workspace | Lazy = Lazy(),
+    workspace: Workspace | Lazy = Lazy(), blank_rule: str = "strict",
 ) -> dict[str, DataFrame]:
-    """``records`` is None when the statistics were not obtained."""
+    """``records`` is None when the statistics were not obtained; ``blank_rule``: see ``transport_complete``."""
     available = records is not None
     if available:
         rows = workspace.keep(links.links_rows(records), "links_rows")
         companies = workspace.keep(links.links_operator_rollup(rows), "links_operators").withColumn(
-            "row_ix", F.struct("first_file", "first_row")
+            "row_ix", F.struct("first_path", "first_file", "first_row")
         )
         completeness = links.field_completeness(records)
-        common = links.common_year_permit(links.transport_complete(rows))
+        common = links.common_year_permit(links.transport_complete(rows, blank_rule))
         matching = Matching(operators, companies, approved_aliases(aliases, spark), workspace)
         matched = matching.matched_operators()
     else:

@@ -9,16 +9,17 @@ from taktline.functions import disposition_filename, effective_date, upload_date
 from taktline.operators import catalog, digest, history
 from taktline.operators.service import ServiceModel, Timetable, operator_component_feeds
 from taktline.plans.current import feed_dimension, restrict, typed_timetable
+from taktline.sources.archives import split_errors
 from taktline.workspace import Lazy, Workspace
 
 A = list(ARCHIVE_KEYS)
 
 
-def signed_versions(manifest: DataFrame, members: DataFrame) -> DataFrame:
+def signed_versions(manifest: DataFrame, members: DataFrame, listing: DataFrame | None = None) -> DataFrame:
     """Successful archives with signatures and the dates in their file names."""
     signatures = digest.timetable_signature(digest.member_digests(members))
     name = disposition_filename(F.col("content_disposition"), F.col("path"))
-    return catalog.successful_archives(manifest).join(signatures, A, "left").withColumns(
+    return catalog.successful_archives(manifest, listing).join(signatures, A, "left").withColumns(
         {"upload_utc": upload_datetime(name), "effective_start": effective_date(name)}
     )
 
@@ -40,10 +41,17 @@ def version_metrics(
 
 def history_run(
     registry: DataFrame, manifest: DataFrame, coverage: DataFrame, members: DataFrame,
-    agency_metrics: DataFrame, workspace: Workspace | Lazy = Lazy(),
+    agency_metrics: DataFrame, workspace: Workspace | Lazy = Lazy(), listing: DataFrame | None = None,
 ) -> dict[str, DataFrame]:
-    """All history results; ``agency_metrics`` are those of the current run."""
-    classified = workspace.keep(history.version_classify(signed_versions(manifest, members)), "versions")
+    """All history results; ``agency_metrics`` are those of the current run.
+
+    An archive that could not be read is a version with ``analysis_error`` and
+    is left out of everything else.
+    """
+    members, errors = split_errors(members)
+    errors = workspace.keep(errors.select(*A, "path", "error"), "version_errors")
+    signed = signed_versions(manifest, members, listing).join(errors.select(*A, "error"), A, "left")
+    classified = workspace.keep(history.version_classify(signed), "versions")
     timetable = typed_timetable(members, classified)
     metrics = workspace.keep(
         version_metrics(classified, timetable, feed_dimension(registry), workspace), "version_metrics"

@@ -3,6 +3,9 @@
 An archive cannot be split, so that one task opens one archive. Its members are
 read as streams and handed on in batches; a member is never held whole. Save
 the result once (``write_members``) and read typed tables from it.
+
+A file that fails while it is read gives an error row after the rows it gave
+before. ``split_errors`` keeps rows of whole archives only and reports the rest.
 """
 
 from __future__ import annotations
@@ -14,6 +17,7 @@ from collections.abc import Iterable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+from pyspark.sql.types import StringType, StructField, StructType
 
 from taktline.constants import ARCHIVE_KEYS, WEEKDAY_COLUMNS
 from taktline.functions import classify_dataset, gtfs_seconds, num, parse_date2
@@ -89,57 +93,102 @@ def _records(path: str, content: bytes, wanted: frozenset[str] | None) -> Iterat
                 yield path, member, header, row_ix, [(k, v) for k, v in row.items() if k is not None], None
 
 
-def _batches(records: Iterable[tuple]) -> Iterator[pa.RecordBatch]:
+def _batches(records: Iterable[tuple], schema: pa.Schema = ARROW_MEMBER) -> Iterator[pa.RecordBatch]:
     held: list[tuple] = []
     for record in records:
         held.append(record)
         if len(held) == BATCH_ROWS:
-            yield _to_arrow(held)
+            yield _to_arrow(held, schema)
             held = []
     if held:
-        yield _to_arrow(held)
+        yield _to_arrow(held, schema)
 
 
-def _to_arrow(rows: list[tuple]) -> pa.RecordBatch:
-    columns = [pa.array(c, type=f.type) for c, f in zip(zip(*rows), ARROW_MEMBER)]
-    return pa.RecordBatch.from_arrays(columns, schema=ARROW_MEMBER)
+def _to_arrow(rows: list[tuple], schema: pa.Schema) -> pa.RecordBatch:
+    columns = [pa.array(c, type=f.type) for c, f in zip(zip(*rows), schema)]
+    return pa.RecordBatch.from_arrays(columns, schema=schema)
 
 
 def unzip_members(files: DataFrame, members: tuple[str, ...] | None = TABLES) -> DataFrame:
     """CSV records of the wanted members (None: every CSV file of the archive).
 
     Member names match without regard to case. A file that cannot be read gives
-    one row with ``error`` and does not stop the others.
+    one row with ``error`` and does not stop the others. Archive keys of the
+    files go along with every row.
     """
     wanted = None if members is None else frozenset(m.lower() for m in members)
+    keys = [k for k in A if k in files.columns]
+    schema = StructType([StructField(k, StringType()) for k in keys] + MEMBER.fields)
+    arrow = pa.schema([(k, pa.string()) for k in keys] + list(ARROW_MEMBER))
 
     def records(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
         for batch in batches:
-            for path, content in zip(batch.column("path"), batch.column("content")):
+            for path, content, *own in zip(batch.column("path"), batch.column("content"), *(batch.column(k) for k in keys)):
+                own = tuple(k.as_py() for k in own)
                 try:
-                    yield from _records(path.as_py(), content.as_py(), wanted)
+                    for record in _records(path.as_py(), content.as_py(), wanted):
+                        yield own + record
                 except Exception as error:
-                    yield path.as_py(), None, None, None, None, repr(error)
+                    yield *own, path.as_py(), None, None, None, None, repr(error)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        return _batches(records(batches))
+        return _batches(records(batches), arrow)
 
-    return files.select("path", "content").mapInArrow(run, MEMBER)
+    return files.select("path", "content", *keys).mapInArrow(run, schema)
 
 
 def archive_errors(members: DataFrame) -> DataFrame:
-    """Archives that could not be read."""
-    return members.where("error IS NOT NULL").select("path", "error")
+    """Archives that could not be read, with their keys as far as they are known."""
+    return members.where("error IS NOT NULL").select(*[k for k in A if k in members.columns], "path", "error")
+
+
+def split_errors(members: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Rows of archives that were read to their end, and the errors of all others."""
+    errors = archive_errors(members)
+    rows = members.where("error IS NULL").join(errors.select("path").distinct(), "path", "left_anti")
+    return rows, errors
+
+
+def path_key(path: Column) -> Column:
+    """A path without scheme, authority, repeated or leading separators."""
+    plain = F.regexp_replace(F.replace(path, F.lit("\\"), F.lit("/")), r"^[A-Za-z][A-Za-z0-9+.\-]+:(//[^/]*)?", "")
+    return F.regexp_replace(F.regexp_replace(plain, r"/(\./)*/*", "/"), r"^(\./|/)+", "")
+
+
+def _keyed(df: DataFrame, manifest: DataFrame, how: str) -> DataFrame:
+    """Rows with the keys of the manifest row of their file.
+
+    Readers give absolute paths; a manifest may have relative ones. They name
+    one file if one ends with the other, whole components only.
+    """
+    last = F.element_at(F.split(F.col("_key"), "/"), -1)
+    own = df.drop(*A).withColumn("_key", path_key(F.col("path"))).withColumn("_name", last)
+    listed = (
+        manifest.where("path <> ''").select(*A, path_key(F.col("path")).alias("_listed"))
+        .withColumn("_listed_name", F.element_at(F.split("_listed", "/"), -1)))
+    same = (F.col("_key") == F.col("_listed")) | F.endswith(F.concat(F.lit("/"), "_key"), F.concat(F.lit("/"), "_listed")) \
+        | F.endswith(F.concat(F.lit("/"), "_listed"), F.concat(F.lit("/"), "_key"))
+    return own.join(listed, (F.col("_name") == F.col("_listed_name")) & same, how).drop("_key", "_name", "_listed", "_listed_name")
+
+
+def keyed_files(files: DataFrame, manifest: DataFrame) -> DataFrame:
+    """Files with archive keys; attach them before unzipping, to join files and not rows."""
+    return _keyed(files, manifest, "inner")
+
+
+def unlisted_files(files: DataFrame, manifest: DataFrame) -> DataFrame:
+    """Files that no manifest row names."""
+    return _keyed(files.select("path"), manifest, "left").where(F.col(A[0]).isNull()).select("path")
 
 
 def with_archive_keys(members: DataFrame, manifest: DataFrame) -> DataFrame:
     """Attach the archive keys of the manifest to the rows of its files."""
-    return members.join(manifest.select(*A, "path"), "path")
+    return _keyed(members, manifest, "inner")
 
 
 def write_members(members: DataFrame, path: str) -> None:
-    """Save the rows once, a folder per member: readers then see one table only."""
-    members.where("error IS NULL").write.mode("overwrite").partitionBy("member").parquet(path)
+    """Save rows and errors once, a folder per member: readers then see one table only."""
+    members.write.mode("overwrite").partitionBy("member").parquet(path)
 
 
 # -- typed tables -------------------------------------------------------------
@@ -222,9 +271,36 @@ def links_files(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+def _is_spreadsheet(path: Column) -> Column:
+    lower = F.lower(path)
+    return F.endswith(lower, F.lit(".xls")) | F.endswith(lower, F.lit(".xlsx"))
+
+
 def links_records(files: DataFrame) -> DataFrame:
-    """Records of CSV files and of CSV files inside ZIP files."""
-    return unzip_members(files, None).where("error IS NULL").select(
-        F.col("member").alias("source_file"), classify_dataset(F.col("member")).alias("dataset"),
+    """Records of CSV files and of CSV files inside ZIP files, with the path of the file they come from.
+
+    Files that fail give no rows at all; ``links_status`` says so.
+    """
+    rows, _ = split_errors(unzip_members(files.where(~_is_spreadsheet(F.col("path"))), None))
+    return rows.select(
+        "path", F.col("member").alias("source_file"), classify_dataset(F.col("member")).alias("dataset"),
         F.col("row_ix").alias("source_row"), F.col("header").alias("columns"), "row",
     )
+
+
+def links_status(files: DataFrame) -> DataFrame:
+    """One row per file: read, unreadable, without CSV members, or a spreadsheet that is not decoded."""
+    csv_files = files.where(~_is_spreadsheet(F.col("path")))
+    seen = unzip_members(csv_files, None).groupBy("path").agg(
+        F.max("error").alias("error"), F.count("row").alias("rows"), F.count_if(F.col("member").isNotNull() & F.col("row").isNull()).alias("members")
+    )
+    status = (
+        F.when(_is_spreadsheet(F.col("path")), "spreadsheet_not_decoded")
+        .when(F.col("error").isNotNull(), "unreadable")
+        .when(F.coalesce("members", F.lit(0)) == 0, "no_csv_member")
+        .otherwise("read")
+    )
+    return files.select("path").join(seen, "path", "left").select(
+        "path", status.alias("status"),
+        F.when(status == "read", F.col("rows")).alias("rows"), "error",
+    )

@@ -148,7 +148,7 @@ def _(v: Views):
     return v.matching.match_alias().select("operator_id", "alias.links_operator_id")
 
 
-@query("match_ambiguous", "name_classes named_links", """
+AMBIGUOUS_SQL = """
 SELECT operator_id, o.name AS agency_name, l.links_operator_id AS candidate_links_operator_id,
        l.operator_name AS candidate_links_name, 1.0::DOUBLE AS score,
        'exact_name_ambiguous_multiple_LINKS_entities' AS candidate_type, false AS auto_accepted
@@ -156,7 +156,10 @@ FROM name_classes o JOIN named_links l ON o.name = l.name WHERE NOT exact_single
 UNION ALL
 SELECT operator_id, o.name, l.links_operator_id, l.operator_name, 1.0::DOUBLE,
        'normalized_name_ambiguous_multiple_LINKS_entities', false
-FROM name_classes o JOIN named_links l ON o.key = l.key WHERE exact_id IS NULL AND NOT normal_single""")
+FROM name_classes o JOIN named_links l ON o.key = l.key WHERE exact_id IS NULL AND NOT normal_single"""
+
+
+@query("match_ambiguous", "name_classes named_links", AMBIGUOUS_SQL)
 def _(v: Views):
     return v.matching.match_ambiguous()
 
@@ -174,12 +177,19 @@ def _(v: Views):
     return v.matching.matched_operators()
 
 
-@query("match_fuzzy")
+@query("match_fuzzy", "similar_names name_classes named_links", f"""
+SELECT operator_id, agency_name, agency_url, prefectures, candidate_links_operator_id, candidate_links_name, candidate_location,
+       score, 'fuzzy_review_required' AS candidate_type, false AS auto_accepted FROM similar_names
+UNION ALL BY NAME ({AMBIGUOUS_SQL})""")
 def _(v: Views):
     return v.matching.fuzzy_candidates()
 
 
-@query("unmatched_left")
+@query("unmatched_left", "all_classes", """
+SELECT operator_id, name AS agency_name, agency_url, prefectures, match_class,
+       CASE match_class WHEN 'D' THEN 'fuzzy candidate(s) exist; no automatic acceptance'
+            ELSE 'no exact, normalized, approved-alias, or fuzzy candidate' END AS reason
+FROM all_classes WHERE match_class IN ('D', 'E')""")
 def _(v: Views):
     return v.matching.unmatched_left()
 
@@ -198,7 +208,9 @@ TOTAL = """SELECT 'GTFS_total' AS match_class, count(*) AS confirmed_or_candidat
   'Canonical entities across current GTFS feeds, not feed count' AS note FROM operators"""
 
 
-@query("match_summary")
+@query("match_summary", "all_classes operators", " UNION ALL ".join(
+    f"SELECT '{c}' AS match_class, count(*) FILTER (match_class = '{c}') AS confirmed_or_candidate_count, "
+    f"'measured' AS status, '{n}' AS note FROM all_classes" for c, n in NOTES.items()) + " UNION ALL " + TOTAL)
 def _(v: Views):
     return v.matching.match_summary()
 

@@ -299,6 +299,48 @@ FROM op_names o LEFT JOIN exact_names USING (name) LEFT JOIN normal_names USING
 LEFT JOIN (SELECT operator_id, first(links_operator_id ORDER BY row_ix) AS alias_id
            FROM approved SEMI JOIN links USING (links_operator_id) GROUP BY operator_id) USING (operator_id)
 """)
+# Ratcliff/Obershelp by recursion over all pairs: the longest common block (earliest in the left name, then in the
+# right one), then what is left and right of it.
+view("open_names", "name_classes", "SELECT * FROM name_classes WHERE name_class IS NULL AND key <> ''")
+view("ratio_pairs", "open_names named_links", """
+SELECT l, r, row_number() OVER () AS p FROM (SELECT DISTINCT key AS l FROM open_names), (SELECT DISTINCT key AS r FROM named_links WHERE key <> '')
+""")
+view("common_blocks", "ratio_pairs", """
+SELECT p, i, j, max(k) AS k FROM ratio_pairs, range(1, length(l) + 1) AS a(i), range(1, length(r) + 1) AS b(j),
+  range(1, least(length(l) - i, length(r) - j) + 2) AS c(k)
+WHERE substr(l, i::INTEGER, k::INTEGER) = substr(r, j::INTEGER, k::INTEGER) GROUP BY p, i, j
+""")
+view("segments", "ratio_pairs common_blocks", """
+SELECT p, 1::BIGINT AS alo, length(l) + 1 AS ahi, 1::BIGINT AS blo, length(r) + 1 AS bhi FROM ratio_pairs
+UNION ALL
+SELECT p, CASE side WHEN 0 THEN alo ELSE i + n END, CASE side WHEN 0 THEN i ELSE ahi END,
+       CASE side WHEN 0 THEN blo ELSE j + n END, CASE side WHEN 0 THEN j ELSE bhi END
+FROM (SELECT s.p, alo, ahi, blo, bhi, i, j, least(k, ahi - i, bhi - j) AS n,
+             row_number() OVER (PARTITION BY s.p, alo, ahi, blo, bhi ORDER BY least(k, ahi - i, bhi - j) DESC, i, j) AS no
+      FROM segments s JOIN common_blocks b ON b.p = s.p AND i >= alo AND i < ahi AND j >= blo AND j < bhi),
+     (VALUES (0), (1)) AS sides(side) WHERE no = 1
+""")
+view("ratios", "segments common_blocks ratio_pairs", """
+SELECT l, r, 2.0::DOUBLE * coalesce(m, 0) / (length(l) + length(r)) AS score
+FROM ratio_pairs LEFT JOIN (
+  SELECT p, sum(n) AS m FROM (
+    SELECT s.p, least(k, ahi - i, bhi - j) AS n,
+           row_number() OVER (PARTITION BY s.p, alo, ahi, blo, bhi ORDER BY least(k, ahi - i, bhi - j) DESC, i, j) AS no
+    FROM segments s JOIN common_blocks b ON b.p = s.p AND i >= alo AND i < ahi AND j >= blo AND j < bhi)
+  WHERE no = 1 GROUP BY p) USING (p)
+""")
+view("similar_names", "ratios open_names named_links", """
+SELECT o.operator_id, o.name AS agency_name, o.agency_url, o.prefectures, t.links_operator_id AS candidate_links_operator_id,
+       t.operator_name AS candidate_links_name, t.prefecture_address AS candidate_location, round(score, 4) AS score
+FROM open_names o JOIN (
+  SELECT *, row_number() OVER (PARTITION BY l ORDER BY score DESC, operator_name, first_file, first_row) AS rank
+  FROM ratios JOIN named_links n ON n.key = r WHERE score >= 0.55) t ON o.key = t.l
+WHERE rank <= 3
+""")
+view("all_classes", "name_classes similar_names", """
+SELECT c.*, coalesce(name_class, CASE WHEN operator_id IN (SELECT operator_id FROM similar_names) THEN 'D' ELSE 'E' END) AS match_class
+FROM name_classes c
+""")
 view("flags", "operators name_classes links common history_summary", """
 SELECT o.operator_id, o.agency_name, o.prefectures, name_class, c.link_id AS links_operator_id,
        l.operator_name AS links_operator_name, common_links_year, common_permit_type,

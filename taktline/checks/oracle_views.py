@@ -27,7 +27,8 @@ def compose(needs: str, body: str, replaced: dict[str, str] | None = None) -> st
     for name in needs.split():
         add(name)
     parts = ",\n".join(f"{n} AS (\n{texts[n].strip()}\n)" for n in ordered)
-    return f"WITH {parts}\n{body.strip()}"
+    kind = "WITH RECURSIVE" if "segments" in ordered else "WITH"
+    return f"{kind} {parts}\n{body.strip()}"
 
 
 K = "organization_id, feed_id, version_selector"

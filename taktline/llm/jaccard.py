@@ -7,11 +7,13 @@ share of common shingles reaches ``percent``.
 2. A document's prefix is its first n - ceil(percent * n) + 1 shingles. Two documents that link share one of these, so
    that shingles found in one document only drop out; most documents drop out with them.
 3. Documents with equal sets are one; those with equal prefixes and sizes are one group.
-4. Groups that share a prefix shingle are candidates. Each first meets the least group of each shingle only, and each
-   member the least of its group; verified links give components. Then groups of different components that share
-   shingles meet, filtered by sizes and by the number of common prefix shingles, which bounds the overlap from above.
-   Last, these are expanded: members of different components are verified pair by pair. No pair that could join two
-   components is left out, and no group of copies is compared with itself.
+4. Groups that share a prefix shingle are candidates. In a few rounds each first meets one group of the least and one of
+   the largest component of each shingle, and each member the least of its group; verified links give components. Then
+   groups of different components that share
+   shingles meet, filtered by sizes and by the places of the shared shingle, and before texts are read by the number of
+   common prefix shingles, which bounds the overlap from above. Last, these are expanded: members of different
+   components are verified pair by pair. No pair that could join two components is left out, and no group of copies is
+   compared with itself.
 
 Shingles are 64-bit hashes; the chance that any two of a pair of documents collide is below n^2 / 2^64.
 
@@ -37,9 +39,10 @@ from taktline.workspace import Workspace
 
 WIDTH = 4
 PERCENT = 85
+STAR_ROUNDS = 2  # more of these leave fewer components for the last steps; the result is the same
 COUNT_BITS = 9  # bits of a counting key beyond those of the corpus size
 KEY_BYTES = 1.4  # bytes of counting keys per byte of text, about
-FOUND = "rid long, doc_id long, n long, h1 long, h2 long, p int, tokens array<long>, body binary"
+FOUND = "rid long, doc_id long, n long, h1 long, h2 long, p int, tokens array<long>, places array<long>, body binary"
 
 
 def shingles(text: bytes, width: int) -> np.ndarray:
@@ -86,15 +89,15 @@ def prefixes(chunks: DataFrame, width: int, percent: int) -> DataFrame:
         for i, (doc, text) in enumerate(zip(rows.column("doc_id").cast(pa.int64()).to_pylist(), C.texts_of(rows))):
             own = shingles(text, width)
             n = len(own)
-            row = [base | i, doc, n, 0, 0, 0, None, None]
+            row = [base | i, doc, n, 0, 0, 0, None, None, None]
             if n and len(known):
                 at = np.minimum(np.searchsorted(known, own & mask), len(known) - 1)
                 times = np.where(known[at] == own & mask, total_of[at], np.uint64(1))
                 p = prefix_size(n, percent)
                 first = np.lexsort((own, times))[:p]
-                joint = own[first[times[first] > 1]]
-                if len(joint):
-                    row[3:] = [int(np.add.reduce(mix(own)).view(np.int64)), int(np.bitwise_xor.reduce(mix(own ^ SEED)).view(np.int64)), p, np.sort(joint).view(np.int64), C.squeeze(text)]
+                places = np.flatnonzero(times[first] > 1)
+                if len(places):
+                    row[3:] = [int(np.add.reduce(mix(own)).view(np.int64)), int(np.bitwise_xor.reduce(mix(own ^ SEED)).view(np.int64)), p, own[first[places]].view(np.int64), places + 1, C.squeeze(text)]
             out.append(row)
         schema = C.arrow_schema(FOUND)
         return pa.table([pa.array(c, f.type) for c, f in zip(list(zip(*out)) or [()] * len(schema), schema)], schema=schema)
@@ -130,57 +133,97 @@ def _near(n: str, m: str, percent: int):
     return (F.lit(100) * F.least(n, m) >= F.lit(percent) * F.greatest(n, m))
 
 
+def _stars(rows: DataFrame, percent: int) -> DataFrame:
+    """A few pairs (a, b) of rows (node, comp, n, tokens) that probably link, for a start.
+
+    Per shingle, rows meet one row of the least and one of the largest component, and each keeps the two it shares most
+    with. There are no more than two pairs per row.
+    """
+    spread = rows.select("node", "comp", "n", F.explode("tokens").alias("token"))
+    key = F.struct("comp", "node")
+    ends = spread.groupBy("token").agg(F.min_by(F.struct("node", "comp", "n"), key).alias("low"), F.max_by(F.struct("node", "comp", "n"), key).alias("high"))
+    ends = ends.filter("low.comp <> high.comp").select("token", F.explode(F.array("low", "high")).alias("hub"))
+    met = spread.join(ends, "token").filter((F.col("comp") != F.col("hub.comp")) & _near("n", "hub.n", percent))
+    counted = met.groupBy(F.col("node").alias("a"), F.col("hub.node").alias("b")).agg(F.count(F.lit(1)).alias("shared"))
+    rank = F.struct("shared", F.negative("b"))
+    best = counted.groupBy("a").agg(F.max_by("b", rank).alias("first"), F.max(rank).alias("top"))
+    second = counted.join(best, "a").filter("b <> first").groupBy("a").agg(F.max_by("b", rank).alias("b"))
+    return best.select("a", F.col("first").alias("b")).unionByName(second.select("a", "b"))
+
+
 def _across(rows: DataFrame, percent: int) -> DataFrame:
-    """Pairs (a, b) of rows (node, comp, n, p, tokens) of different components that may link."""
-    spread = rows.select("node", "comp", "n", "p", F.explode("tokens").alias("token"))
+    """Pairs (a, b) of rows (node, comp, n, tokens, places) of different components that may link.
+
+    A pair that links has ``least`` shingles in common at least, so that already the first n - least + 1 of either side
+    share one.
+    """
+    spread = rows.select("node", "comp", "n", F.explode(F.arrays_zip("tokens", "places")).alias("t")).select("node", "comp", "n", F.col("t.tokens").alias("token"), F.col("t.places").alias("place"))
     mixed = spread.groupBy("token").agg(F.min("comp").alias("low"), F.max("comp").alias("high")).filter("low <> high").select("token")
     spread = spread.join(mixed, "token", "left_semi")
-    left, right = (spread.select("token", *(F.col(c).alias(f"{c}_{k}") for c in ("node", "comp", "n", "p"))) for k in ("a", "b"))
-    met = left.join(right, "token").filter((F.col("comp_a") < F.col("comp_b")) & _near("n_a", "n_b", percent))
-    bound = F.col("shared") + F.greatest(F.col("n_a") - F.col("p_a"), F.col("n_b") - F.col("p_b"))
-    counted = met.groupBy("node_a", "node_b", "n_a", "n_b", "p_a", "p_b").agg(F.count(F.lit(1)).alias("shared"))
-    return counted.filter(F.lit(100) * bound >= F.lit(percent) * (F.col("n_a") + F.col("n_b") - bound)).select(F.col("node_a").alias("a"), F.col("node_b").alias("b"))
+    left, right = (spread.select("token", *(F.col(c).alias(f"{c}_{k}") for c in ("node", "comp", "n", "place"))) for k in ("a", "b"))
+    least = F.expr(f"({percent} * (n_a + n_b) + {99 + percent}) DIV {100 + percent}")
+    early = (F.col("place_a") <= F.col("n_a") - least + 1) & (F.col("place_b") <= F.col("n_b") - least + 1)
+    met = left.join(right, "token").filter((F.col("comp_a") < F.col("comp_b")) & _near("n_a", "n_b", percent) & early)
+    return met.select(F.col("node_a").alias("a"), F.col("node_b").alias("b")).distinct()
 
 
-def similar_components(docs: DataFrame, store: Workspace, width: int = WIDTH, percent: int = PERCENT) -> DataFrame:
-    """(doc_id, n_shingles, component_id) per row of (doc_id, text)."""
-    chunks = C.make_chunks(docs.selectExpr("cast(doc_id AS long) AS doc_id", "cast(text AS string) AS text"), store)
+def _linked(chunks: DataFrame, store: Workspace, width: int, percent: int) -> tuple[DataFrame, DataFrame]:
+    """All rows with their sizes, and those that share a prefix shingle with others: (rid, doc_id, n, comp)."""
     found = store.keep(prefixes(chunks, width, percent), "prefixes")
     joint = found.filter("tokens IS NOT NULL")
     sets = store.keep(joint.groupBy("n", "h1", "h2").agg(F.min("rid").alias("rid")), "sets")
     one = store.keep(found.join(sets.select("rid"), "rid", "left_semi"), "distinct-sets")
     # Groups: equal prefixes and sizes. A group is named by its least member.
-    keyed = one.select("rid", "n", "p", "tokens", F.xxhash64("tokens").alias("g1"), F.hash("tokens").alias("g2"))
+    keyed = one.select("rid", "n", "tokens", "places", F.xxhash64("tokens", "places").alias("g1"), F.hash("tokens", "places").alias("g2"))
     groups = keyed.groupBy("n", "g1", "g2").agg(F.min("rid").alias("gid"))
-    member = store.keep(keyed.join(groups, ["n", "g1", "g2"]).select("rid", "gid", "n", "p", "tokens"), "members")
-    heads = member.filter("rid = gid")
-    spread = heads.select("gid", "n", F.explode("tokens").alias("token"))
-    hubs = spread.groupBy("token").agg(F.min_by(F.struct("gid", "n"), "gid").alias("hub"), F.count(F.lit(1)).alias("df")).filter("df > 1")
-    star = (
-        spread.join(hubs, "token").filter(F.col("gid") != F.col("hub.gid")).filter(_near("n", "hub.n", percent))
-        .groupBy(F.col("gid").alias("a"), F.col("hub.gid").alias("b")).agg(F.count(F.lit(1)).alias("shared")))
-    best = star.groupBy("a").agg(F.max_by("b", "shared").alias("b"))  # one hub each is enough to begin with
-    first = best.unionByName(member.filter("rid <> gid").select(F.col("rid").alias("a"), F.col("gid").alias("b")))
-    edges = store.keep(verify(first, one, width, percent), "links")
-    node_of = lambda comp: member.join(comp, member.rid == comp.node, "left").select("rid", "gid", "n", "p", "tokens", F.coalesce("component", "rid").alias("comp"))
-    for level in ("groups", "members"):
-        rows = store.keep(node_of(components(edges, store)), "nodes")
-        if level == "groups":
-            # Members of a group that are in one component stand together.
-            rows = rows.groupBy("gid", "comp").agg(F.min("rid").alias("node"), F.first("n").alias("n"), F.first("p").alias("p"), F.first("tokens").alias("tokens"))
-        else:
+    member = store.keep(keyed.join(groups, ["n", "g1", "g2"]).select("rid", "gid", "n", "tokens", "places"), "members")
+    heads = member.filter("rid = gid").select(F.col("rid").alias("node"), F.col("rid").alias("comp"), "n", "tokens")
+    inside = member.filter("rid <> gid").select(F.col("rid").alias("a"), F.col("gid").alias("b"))
+    edges = store.keep(verify(_stars(heads, percent).unionByName(inside), one, width, percent), "links")
+    for level in (*["stars"] * STAR_ROUNDS, "groups", "members"):
+        comp = components(edges, store)
+        rows = store.keep(member.join(comp, member.rid == comp.node, "left").select("rid", "gid", "n", "tokens", "places", F.coalesce("component", "rid").alias("comp")), "nodes")
+        if level == "members":
             rows = rows.withColumnRenamed("rid", "node")
-        more = store.keep(verify(_across(rows, percent), one, width, percent), "links")
-        edges = edges.unionByName(more)
+        else:
+            # Members of a group that are in one component stand together.
+            rows = rows.groupBy("gid", "comp").agg(F.min("rid").alias("node"), *(F.min_by(c, "rid").alias(c) for c in ("n", "tokens", "places")))
+        pairs = _stars(rows, percent) if level == "stars" else _across(rows, percent)
+        edges = edges.unionByName(store.keep(verify(pairs, one, width, percent), "links"))
     comp = components(edges, store)
     of_set = sets.join(comp, sets.rid == comp.node, "left").select("n", "h1", "h2", F.coalesce("component", "rid").alias("comp"))
-    placed = store.keep(joint.select("rid", "doc_id", "n", "h1", "h2").join(of_set, ["n", "h1", "h2"]).select("rid", "doc_id", "n", "comp"), "components")
+    return found, store.keep(joint.select("rid", "doc_id", "n", "h1", "h2").join(of_set, ["n", "h1", "h2"]).select("rid", "doc_id", "n", "comp"), "components")
+
+
+def similar_components(docs: DataFrame, store: Workspace, width: int = WIDTH, percent: int = PERCENT) -> DataFrame:
+    """(doc_id, n_shingles, component_id) per row of (doc_id, text)."""
+    chunks = C.make_chunks(docs.selectExpr("cast(doc_id AS long) AS doc_id", "cast(text AS string) AS text"), store)
+    found, placed = _linked(chunks, store, width, percent)
     least = placed.groupBy("comp").agg(F.min("doc_id").alias("component_id"))
     linked = placed.join(least, "comp").select("doc_id", F.col("n").alias("n_shingles"), "component_id")
     alone = found.filter("tokens IS NULL").select("doc_id", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id"))
     return linked.unionByName(alone)
 
 
+def one_of_each(docs: DataFrame, store: Workspace, width: int = WIDTH, percent: int = PERCENT) -> DataFrame:
+    """The rows without those that are similar to a row with a smaller doc_id; all columns. Rows without words stay."""
+    chunks = C.make_chunks(docs, store)
+    _, placed = _linked(chunks, store, width, percent)
+    stays = placed.groupBy("comp").agg(F.min_by("rid", F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "rid")).alias("rid"))
+    gone = placed.join(stays, ["comp", "rid"], "left_anti").select(F.expr("shiftleft(shiftright(rid, 40), 32) + (shiftright(rid, 16) & 16777215)").alias("chunk"), (F.col("rid").bitwiseAND(F.lit(65535))).alias("row"))
+    lists = gone.groupBy("chunk").agg(F.collect_list("row").alias("gone"))  # rows of one chunk at most
+
+    def drop(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for body, out in zip(batch.column("body"), batch.column("gone").to_pylist()):
+                rows = C.rows_of(body.as_buffer())
+                stay = np.ones(rows.num_rows, bool)
+                stay[out or []] = False
+                yield from rows.filter(pa.array(stay)).to_batches()
+
+    return chunks.join(lists, "chunk", "left").select("body", "gone").mapInArrow(drop, docs.schema)
+
+
 def op4_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Components of all documents."""
     return similar_components(C.table(spark, sf_dir, "documents"), Workspace(spark))

@@ -17,8 +17,8 @@ def shingle_set(text, width=4):
     return frozenset(tuple(words[i : i + width]) for i in range(len(words) - width + 1)) or frozenset([tuple(words)] if words else [])
 
 
-def expected(docs, percent=85):
-    sets = [shingle_set(t) for _, t in docs]
+def expected(docs, percent=85, width=4):
+    sets = [shingle_set(t, width) for _, t in docs]
     top = list(range(len(docs)))
 
     def find(i):
@@ -70,6 +70,19 @@ def test_all_pairs(spark, seed):
     assert got == sorted(expected(docs), key=key)
 
 
+def test_one_of_each(spark):
+    docs = made_up(3)
+    df = chunks.prepare(spark).createDataFrame([(d, t, "x") for d, t in docs], SCHEMA).repartition(3)
+    got = jaccard.one_of_each(df, Workspace(spark), 5, 80).collect()
+    want = {}
+    for i, (doc, _, comp) in enumerate(expected(docs, 80, 5)):
+        text = (docs[i][1] or "").split()
+        want.setdefault((comp is None and i, comp) if text else ("empty", i), []).append(doc)
+    assert len(got) == len(want)
+    ids = sorted(r.doc_id for r in got if r.doc_id is not None and (r.text or "").split())
+    assert ids == sorted(min(d for d in v if d is not None) for k, v in want.items() if k[0] != "empty" and k[1] is not None)
+
+
 def test_empty(spark):
     assert jaccard.similar_components(spark.createDataFrame([], SCHEMA), Workspace(spark)).count() == 0
 

@@ -1,4 +1,67 @@
-STAGES = []
+"""From documents to training sequences: quality rules, line dedup, near copies, repeated passages, packing.
+
+Every stage takes the rows that the one before it left, and all but the last return the columns of ``documents``. A
+stage's text is the next one's: removed lines and passages are gone, and ``n_chars`` is counted anew. The stages keep the
+defined results of their operators for nulls, empty texts, equal rows and empty tables. Near copies are documents that
+share 80 percent of their runs of five words; the one with the least doc_id stays.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+
+from taktline.llm import chunks, jaccard, lines, packing, quality, repeats
+from taktline.workspace import Workspace
+
+SHINGLE_WORDS = 5
+SIMILAR_PERCENT = 80
+
+
+def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the rules keep, without the lines that fail."""
+    chunks.prepare(spark)
+    return quality.keep_good(docs)
+
+
+def line_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Lines that five documents share stay in the last of them."""
+    chunks.prepare(spark)
+    return lines.LineIndex.create(docs, Workspace(spark)).cleaned(docs.schema)
+
+
+def near_copy_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near copies."""
+    chunks.prepare(spark)
+    return jaccard.one_of_each(docs, Workspace(spark), SHINGLE_WORDS, SIMILAR_PERCENT)
+
+
+def repeat_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Passages of 50 bytes that a smaller doc_id has are cut out."""
+    chunks.prepare(spark)
+    return repeats.without_repeats(docs, Workspace(spark))
+
+
+def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Pieces of what is left, packed in sequences."""
+    chunks.prepare(spark)
+    return packing.pack_documents(docs, Workspace(spark))
+
+
+STAGES = [
+    ("quality rules", quality_stage),
+    ("line dedup", line_stage),
+    ("n-gram jaccard join", near_copy_stage),
+    ("suffix-array dedup", repeat_stage),
+    ("best-fit packing", packing_stage),
+]
+
+#: SQL has no tokenizer and no genetic algorithm; tests compare every stage with brute force.
 ORACLE_SQL = None
-def run(spark, sf_dir):
-    raise NotImplementedError
+
+
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages over all documents; each result is written and read again."""
+    docs, store = chunks.table(spark, sf_dir, "documents"), Workspace(spark)
+    for name, stage in STAGES[:-1]:
+        docs = store.keep(stage(spark, docs, sf_dir), name.replace(" ", "-"))
+    return STAGES[-1][1](spark, docs, sf_dir)

@@ -17,6 +17,7 @@ from taktline.checks.registry import ORACLES, query
 from taktline.checks.views import text
 from taktline.constants import ARCHIVE_KEYS
 from taktline.plans.history import version_metrics
+from taktline.schemas import LINKS_OPERATORS, LINKS_ROWS
 from taktline.sources import archives as src, lists, registry as reg, tables
 
 A = list(ARCHIVE_KEYS)
@@ -338,3 +339,38 @@ def _(v: Views):
         F.when(c % 5 == 1, F.encode(F.lit("PK no archive"), "UTF-8")).when(c % 5 == 2, zipped(F.lit("readme.txt"), body))
         .when(c % 5 == 3, zipped(F.lit("report.csv"), body)).otherwise(F.encode(body, "UTF-8")).alias("content"))
     return src.links_status(files).select(F.regexp_extract("path", "(f[0-9]+)[.]", 1).alias("name"), "status", "rows")
+
+
+# -- tables of text with an order, and tables without rows ---------------------
+
+
+@query("src_manifest", "", """
+SELECT 'org' || o_custkey AS organization_id, 'f' || o_orderkey AS feed_id, '' AS version_selector,
+       'a, "b"' || chr(10) || o_orderpriority AS source_url, CASE WHEN o_orderkey % 3 = 0 THEN NULL ELSE o_custkey END AS bytes,
+       row_number() OVER (ORDER BY o_orderkey) - 1 AS row_ix FROM orders""")
+def _(v: Views):
+    key = F.col("o_orderkey")
+    path = f"{v.workspace.folder}/manifest"
+    v.table("orders").repartition(1).sortWithinPartitions("o_orderkey").select(
+        text("org", "o_custkey").alias("organization_id"), text("f", key).alias("feed_id"), F.lit("").alias("version_selector"),
+        F.concat(F.lit('a, "b"\n'), "o_orderpriority").alias("source_url"),
+        F.when(key % 3 == 0, "none").otherwise(F.col("o_custkey").cast("string")).alias("bytes"),
+    ).write.option("escape", '"').csv(path, header=True)
+    return lists.read_manifest(v.spark, path).select("organization_id", "feed_id", "version_selector", "source_url", "bytes", "row_ix")
+
+
+@query("sink_empty_schema", "links_rows links", """
+SELECT 'links_rows' AS name, count(*) AS rows, 'bigint' AS number, 'boolean' AS flag, sum(source_row)::BIGINT AS total FROM links_rows
+UNION ALL SELECT 'links_operators', count(*), 'bigint', 'boolean', sum(source_rows)::BIGINT FROM links""")
+def _(v: Views):
+    parts = []
+    for name, measured, schema, number, flag in (
+        ("links_rows", v.links_rows, LINKS_ROWS, "source_row", "driver_valued"),
+        ("links_operators", v.links.drop("row_ix"), LINKS_OPERATORS, "source_rows", "has_driver_count"),
+    ):
+        if [(f.name, f.dataType) for f in measured.schema] != [(f.name, f.dataType) for f in schema]:
+            raise ValueError(f"{name}: empty and measured tables differ")
+        both = tables.empty_table(v.spark, schema).unionByName(measured)
+        parts.append(both.groupBy(F.lit(name).alias("name"), F.typeof(number).alias("number"), F.typeof(flag).alias("flag")).agg(
+            F.count("*").alias("rows"), F.sum(number).alias("total")))
+    return tables.union_tables(parts)

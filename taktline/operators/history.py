@@ -92,12 +92,20 @@ def version_representative(classified: DataFrame) -> DataFrame:
     ).select(*SIGNED, "_v.version_selector", "_v.effective_start")
 
 
-def history_exhaustion(manifest: DataFrame, coverage: DataFrame) -> DataFrame:
-    """Did the search for old versions reach the end, a cap or an error."""
+def history_exhaustion(manifest: DataFrame, coverage: DataFrame, listing: DataFrame | None = None) -> DataFrame:
+    """Did the search for old versions reach the end, a cap or an error.
+
+    With a ``listing`` of paths only versions whose file is there count as deep.
+    """
     status = F.col("status")
+    if listing is None:
+        manifest = manifest.withColumn("_there", F.lit(True))
+    else:
+        there = listing.select("path").distinct().withColumn("_there", F.lit(True))
+        manifest = manifest.join(there, "path", "left")
     older = manifest.where(F.col("version_selector").startswith("prev_")).groupBy(*FEED).agg(
         F.bool_or(status == "404").alias("terminal_404"),
-        F.max(F.when(status == "200", selector_no(F.col("version_selector")))).alias("deepest_version"),
+        F.max(F.when((status == "200") & F.col("_there"), selector_no(F.col("version_selector")))).alias("deepest_version"),
         F.bool_or(~status.isin("200", "404")).alias("api_error"),
     )
     depth = F.coalesce("requested_history_depth", F.lit(0))

@@ -60,7 +60,7 @@ def history_run(
     feed_states = workspace.keep(history.feed_history(classified), "feed_states")
     summary = history.operator_history(
         components, metrics, history.version_representative(classified), feed_states,
-        history.history_exhaustion(manifest, coverage),
+        history.history_exhaustion(manifest, coverage, listing),
     )
     return {
         "gtfs_history_versions": classified,

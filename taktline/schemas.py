@@ -6,8 +6,6 @@ from pyspark.sql.types import (
     ArrayType, BooleanType, IntegerType, LongType, MapType, StringType, StructField, StructType,
 )
 
-from taktline.constants import ARCHIVE_KEYS
-
 
 def strings(*names: str) -> list[StructField]:
     return [StructField(n, StringType()) for n in names]
@@ -41,17 +39,29 @@ MEMBER = StructType(
     ]
 )
 
+# Types of the measured tables, so that a run without the source writes tables of one type with all others.
 LINKS_ROWS = StructType(
-    strings(
-        "source_file", "source_row", "dataset", "operator_name", "operator_number", "year", "permit_type",
-        "prefecture_address", "passenger_count", "vehicle_count", "revenue", "driver_count",
-    )
+    [
+        *strings("path", "source_file"),
+        StructField("source_row", LongType()),
+        *strings(
+            "dataset", "operator_name", "operator_number", "year", "permit_type", "prefecture_address",
+            "passenger_count", "vehicle_count", "revenue", "driver_count",
+        ),
+        StructField("driver_valued", BooleanType()),
+        *strings("links_operator_id"),
+    ]
 )
 LINKS_OPERATORS = StructType(
-    strings(
-        "links_operator_id", "operator_name", "operator_number", "prefecture_address", "years",
-        "has_transport_performance", "has_business_overview", "has_driver_count", "source_rows",
-    )
+    [
+        *strings("links_operator_id", "operator_name", "operator_number", "prefecture_address", "years", "datasets"),
+        StructField("source_rows", LongType()),
+        StructField("has_driver_count", BooleanType()),
+        StructField("has_transport_performance", BooleanType()),
+        StructField("has_business_overview", BooleanType()),
+        *strings("first_path", "first_file"),
+        StructField("first_row", LongType()),
+    ]
 )
 FETCH_STATUS = StructType(
     strings("source", "url", "method", "status", "retrieved_utc", "bytes", "sha256", "reason")
@@ -63,4 +73,4 @@ MANIFEST = StructType(
         *strings("sha256", "content_disposition", "retrieved_utc", "error"),
     ]
 )
-ARCHIVE = StructType(strings(*ARCHIVE_KEYS))
+COVERAGE = StructType([*strings("organization_id", "feed_id"), StructField("requested_history_depth", IntegerType())])

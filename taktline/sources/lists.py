@@ -6,6 +6,8 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.types import LongType, StringType, StructField, StructType
 
 from taktline.functions import strip
+from taktline.schemas import COVERAGE, MANIFEST
+from taktline.sources.tables import conform, read_csv
 
 ALIAS_SCHEMA = StructType(
     [
@@ -51,3 +53,27 @@ def feed_pair_lines(agency_metrics: DataFrame) -> DataFrame:
 
 def write_feed_pairs(agency_metrics: DataFrame, path: str) -> None:
     feed_pair_lines(agency_metrics).write.mode("overwrite").text(path)
+
+
+def read_numbered(spark: SparkSession, path: str) -> DataFrame:
+    """A CSV table with ``row_ix``, the order of its rows.
+
+    Cells may hold line feeds, so that one task reads one file; numbers ascend
+    within a file and differ between files.
+    """
+    return read_csv(spark, path).withColumn("row_ix", F.monotonically_increasing_id())
+
+
+def read_manifest(spark: SparkSession, path: str) -> DataFrame:
+    """The manifest of fetched archives, in its order."""
+    return conform(read_numbered(spark, path), StructType([*MANIFEST.fields, StructField("row_ix", LongType())]))
+
+
+def read_aliases(spark: SparkSession, path: str) -> DataFrame:
+    """Reviewed aliases, in their order."""
+    return conform(read_numbered(spark, path), ALIAS_SCHEMA)
+
+
+def read_coverage(spark: SparkSession, path: str) -> DataFrame:
+    """How many old versions were asked for, per feed."""
+    return conform(read_csv(spark, path), COVERAGE)

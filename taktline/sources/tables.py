@@ -5,7 +5,7 @@ from __future__ import annotations
 from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
-from pyspark.sql.types import StructType
+from pyspark.sql.types import StructField, StructType
 
 from taktline.constants import FIELD_TERMS
 from taktline.schemas import FETCH_STATUS
@@ -24,12 +24,18 @@ def union_tables(tables: list[DataFrame]) -> DataFrame:
     return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), tables)
 
 
+def _parsed(df: DataFrame, field: StructField):
+    """A column in the type of the field; text that isn't such a value is NULL."""
+    same = isinstance(df.schema[field.name].dataType, type(field.dataType))
+    return F.col(field.name) if same else F.col(field.name).try_cast(field.dataType)
+
+
 def conform(df: DataFrame, schema: StructType | None) -> DataFrame:
     """Columns of a fixed schema: others are dropped, missing ones are blank."""
     if schema is None:
         return df
     return df.select(
-        *[(F.col(f.name) if f.name in df.columns else F.lit(None)).cast(f.dataType).alias(f.name) for f in schema]
+        *[(_parsed(df, f) if f.name in df.columns else F.lit(None).cast(f.dataType)).alias(f.name) for f in schema]
     )
 
 

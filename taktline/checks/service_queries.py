@@ -8,7 +8,7 @@ from taktline.checks.oracle_views import K
 from taktline.checks.registry import query
 from taktline.checks.views import Views
 from taktline.operators import calendar as cal, routes as rt, trips as tr
-from taktline.operators.service import A, AGENCY, AGENCY_SERVICE, operator_rollup
+from taktline.operators.service import A, AGENCY, AGENCY_SERVICE, feed_metrics, operator_rollup
 
 AVERAGES = [f"{k}_{m}_avg" for k in ("weekday", "weekend") for m in ("trips", "hours", "km")]
 
@@ -184,3 +184,13 @@ LEFT JOIN (SELECT {K}, count(DISTINCT route_id) AS bus_route_count FROM routes
 LEFT JOIN (SELECT {K}, count(*) AS bus_agency_count FROM agency_metrics GROUP BY ALL) USING ({K})""")
 def _(v: Views):
     return v.service.feed_summary(v.agency_metrics)
+
+
+@query("feed_metrics", "archives agency feeds", f"""
+SELECT {K}, source_zip, source_zip_sha256, publisher_name, feed_name, CASE feed_pref_id WHEN 1 THEN '北海道' WHEN 13 THEN '東京都' ELSE '' END AS known
+FROM archives LEFT JOIN feeds USING (organization_id, feed_id)""")
+def _(v: Views):
+    summary = rt.feed_outcome(v.archives, v.agency, v.routes)
+    rows = feed_metrics(summary, v.archives, v.feeds)
+    known = F.when(F.col("prefecture").isin("北海道", "東京都"), F.col("prefecture")).otherwise("")
+    return rows.select("organization_id", "feed_id", "version_selector", "source_zip", "source_zip_sha256", "publisher_name", "feed_name", known.alias("known"))

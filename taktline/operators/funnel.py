@@ -47,8 +47,11 @@ def full() -> Column:
     return stage_conditions()[-1]
 
 
-def operator_detail(flags: DataFrame, available: bool = True) -> DataFrame:
-    """Operators with match, completeness and history; unknown stays unknown."""
+def operator_detail(flags: DataFrame, available: bool = True, metrics: tuple[str, ...] = ()) -> DataFrame:
+    """Operators with match, completeness and history; unknown stays unknown.
+
+    ``metrics``: more columns of the operators to carry along.
+    """
     def known(name: str, kind: str = "boolean") -> Column:
         return F.col(name) if available else _null(kind)
 
@@ -64,6 +67,7 @@ def operator_detail(flags: DataFrame, available: bool = True) -> DataFrame:
         F.col("years_2plus_all_feeds").alias("gtfs_2plus_year_history"),
         F.col("years_3plus_all_feeds").alias("gtfs_3plus_year_history"),
         F.lit("" if available else "LINKS source unavailable; match and LINKS field status unknown").alias("drop_reason"),
+        *[m for m in metrics if m not in ("operator_id", "agency_name", "prefectures")],
     )
 
 
@@ -130,10 +134,11 @@ def prefecture_summary(flags: DataFrame, available: bool = True) -> DataFrame:
 
 
 def region_detail(
-    flags: DataFrame, registry: DataFrame, prefecture: str = "愛媛県", code: int = 38, available: bool = True
+    flags: DataFrame, registry: DataFrame, prefecture: str = "愛媛県", code: int = 38, available: bool = True,
+    metrics: tuple[str, ...] = (),
 ) -> DataFrame:
     """Operators of one prefecture, or one row that says none was found."""
-    detail = operator_detail(flags, available).where(F.col("prefectures").contains(prefecture)).withColumn(
+    detail = operator_detail(flags, available, metrics).where(F.col("prefectures").contains(prefecture)).withColumn(
         "name_check", name_signals(F.col("agency_name"))["iyo_rail_check"]
     )
     # One row with the number of catalogue rows and of operators found.

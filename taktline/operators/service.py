@@ -356,6 +356,13 @@ class ServiceModel:
         )
 
 
+def feed_metrics(summary: DataFrame, archives: DataFrame, feeds: DataFrame) -> DataFrame:
+    """Outcome per archive with the feed's names and the file it was read from."""
+    named = feeds.select(
+        "organization_id", "feed_id", "publisher_name", "feed_name", prefecture_name(F.col("feed_pref_id")).alias("prefecture"))
+    return summary.join(archives.select(*A, "source_zip", "source_zip_sha256"), A).join(named, ["organization_id", "feed_id"], "left")
+
+
 def operator_rollup(agency_metrics: DataFrame) -> DataFrame:
     """Agency records that share an identity key, over all feeds.
 
@@ -408,5 +415,5 @@ def operator_component_feeds(agency_metrics: DataFrame) -> DataFrame:
 
 
 __all__ = [
-    "ServiceModel", "Timetable", "operator_component_feeds", "operator_rollup",
+    "ServiceModel", "Timetable", "feed_metrics", "operator_component_feeds", "operator_rollup",
 ]

@@ -48,10 +48,11 @@ def audit_run(
         "unmatched_gtfs": matching.unmatched_left(),
         "unmatched_links": matching.unmatched_right(),
         "match_summary": matching.match_summary(),
-        "operator_funnel_detail": funnel.operator_detail(flags, available),
+        "operator_funnel_detail": funnel.operator_detail(flags, available, tuple(operators.columns)),
         "funnel_summary": funnel.funnel(flags, available),
-        "prefecture_summary": funnel.prefecture_summary(flags, available),
-        "region_detail": funnel.region_detail(flags, registry, available=available),
+        "prefecture_summary": funnel.prefecture_summary(flags, available).withColumnRenamed(
+            "full_complete", "full_complete_supply_stress_test"),
+        "region_detail": funnel.region_detail(flags, registry, available=available, metrics=tuple(operators.columns)),
         "indicator_feasibility": funnel.indicator_feasibility(flags, supply, available),
         "verdict": funnel.verdict(flags, available),
     }

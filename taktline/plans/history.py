@@ -42,10 +42,12 @@ def version_metrics(
 def history_run(
     registry: DataFrame, manifest: DataFrame, coverage: DataFrame, members: DataFrame,
     agency_metrics: DataFrame, workspace: Workspace | Lazy = Lazy(), listing: DataFrame | None = None,
+    operators: DataFrame | None = None,
 ) -> dict[str, DataFrame]:
     """All history results; ``agency_metrics`` are those of the current run.
 
-    An archive that could not be read is a version with ``analysis_error`` and
+    ``operators`` (those of the current run) give names, prefectures and feeds
+    to the operator tables. An archive that could not be read is a version with ``analysis_error`` and
     is left out of everything else.
     """
     members, errors = split_errors(members)
@@ -62,11 +64,16 @@ def history_run(
         components, metrics, history.version_representative(classified), feed_states,
         history.history_exhaustion(manifest, coverage, listing),
     )
+    supply = history.supply_yoy(components, history.yoy_interval_pair(metrics))
+    if operators is not None:
+        names = operators.select("operator_id", "agency_name", "prefectures", "feed_ids")
+        summary = names.join(summary, "operator_id", "right")
+        supply = names.drop("feed_ids").join(supply, "operator_id", "right")
     return {
         "gtfs_history_versions": classified,
         "gtfs_history_feeds": feed_states,
         "gtfs_version_metrics": metrics,
         "gtfs_history_summary": summary,
-        "gtfs_supply_yoy": history.supply_yoy(components, history.yoy_interval_pair(metrics)),
+        "gtfs_supply_yoy": supply,
         "metadata_recovery_worklist": catalog.metadata_recovery_worklist(manifest, classified),
     }

@@ -135,7 +135,10 @@ def test_three_runs_from_end_to_end(spark, folder):
     meta = now["run_metadata"].first()
     assert (meta.selected_anchor_feed_archives, meta.excluded_feeds, dict(meta.selected_archive_versions)) == (1, 0, {"current": 1})
     coverage = spark.createDataFrame([("o", "f", 12)], "organization_id STRING, feed_id STRING, requested_history_depth INT")
-    past = history_run(feeds, log, coverage, members, now["gtfs_agency_metrics"], Workspace(spark))
+    past = history_run(feeds, log, coverage, members, now["gtfs_agency_metrics"], Workspace(spark), operators=now["gtfs_operator_metrics"])
+    assert past["gtfs_history_summary"].first().agency_name == past["gtfs_supply_yoy"].first().agency_name == "伊予バス"
+    feed = now["gtfs_feed_metrics"].first()
+    assert (feed.feed_name, feed.publisher_name, feed.prefecture) == ("Feed", "Town", "愛媛県") and feed.source_zip.endswith("current.zip")
     assert {r.version_selector: r.classification for r in past["gtfs_history_versions"].collect()} == {
         "current": "latest_distinct_generation", "prev_1": "timetable_content_changed"}
     summary = past["gtfs_history_summary"].first()
@@ -158,7 +161,8 @@ def test_three_runs_from_end_to_end(spark, folder):
         src.links_records(files), feeds, None, Workspace(spark))
     assert [r.operator_count for r in audit["funnel_summary"].collect()] == [1, 1, 1, 1, 1, 0, 0]
     assert audit["matched_operators"].first().match_class == "B"
-    assert audit["region_detail"].count() == 1
+    assert audit["region_detail"].count() == 1 and "weekday_km_sum_approx" in audit["region_detail"].columns
+    assert {"full_complete_supply_stress_test"} <= set(audit["prefecture_summary"].columns)
     full = {(r.source_file, r.field): r for r in audit["field_completeness"].collect()}
     row = full["yusoujisseki.csv", "passenger_count"]
     assert (row.rows_total, row.rows_nonblank, row.unique_operator_ids_nonblank) == (3, 2, 1)
@@ -197,3 +201,30 @@ def test_lists_and_tables(spark, tmp_path):
     log = tables.fetch_status_log(spark, f"file:{tmp_path}/log.csv", f"file:{tmp_path}/log.json")
     assert {r.status: r.attempts for r in tables.status_counts(log).collect()} == {"403": 2, "200": 1}
     assert log.columns[0] == "status"
+
+
+def test_damaged_archive_is_an_error_and_in_no_metric(spark, folder):
+    """An archive that fails half way is selected, reported and not counted."""
+    data = bytearray(archive({**FEED, "trips.txt": FEED["trips.txt"] + "".join(f"x{i},r1,s\n" for i in range(9))}))
+    at = data.index(b"STOP_TIMES.TXT") + 40
+    data[at : at + 30] = bytes(30)
+    (folder / "gtfs" / "o__f__current.zip").write_bytes(data)
+    listed = manifest(spark, folder).withColumn("path", F.regexp_replace("path", "^file:.*/gtfs/", "gtfs/"))
+    files = src.read_binary(spark, f"file:{folder}/gtfs", "*.zip")
+    assert [r.path.rsplit("/", 1)[-1] for r in src.unlisted_files(files, listed).collect()] == ["broken.zip"]
+    target = f"file:{folder}/members"
+    src.write_members(src.unzip_members(src.keyed_files(files, listed)), target)
+    members = spark.read.parquet(target)
+    rows, errors = src.split_errors(members)
+    assert [r.version_selector for r in errors.collect()] == ["current"]
+    assert {r.version_selector for r in rows.select("version_selector").distinct().collect()} == {"prev_1"}
+    feeds = registry(spark, folder)
+    now = current_service(feeds, listed, members, dt.date(2026, 9, 29), Workspace(spark))
+    assert now["gtfs_agency_metrics"].count() == 0 and now["gtfs_analysis_errors"].count() == 1
+    meta = now["run_metadata"].first()
+    assert (meta.errors, meta.selected_anchor_feed_archives, meta.excluded_feeds) == (1, 1, 1)
+    coverage = spark.createDataFrame([("o", "f", 12)], "organization_id STRING, feed_id STRING, requested_history_depth INT")
+    past = history_run(feeds, listed, coverage, members, now["gtfs_agency_metrics"], Workspace(spark))
+    versions = {r.version_selector: r for r in past["gtfs_history_versions"].collect()}
+    assert versions["current"].classification == "analysis_error" and versions["current"].error
+    assert versions["prev_1"].classification == "latest_distinct_generation" and versions["prev_1"].error is None

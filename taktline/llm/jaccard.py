@@ -229,5 +229,22 @@ def op4_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return similar_components(C.table(spark, sf_dir, "documents"), Workspace(spark))
 
 
+SQL = rf"""
+WITH RECURSIVE d AS (
+  SELECT row_number() OVER () AS r, doc_id,
+    regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w
+  FROM documents),
+s AS (
+  SELECT DISTINCT r, array_to_string(w[i:i+{WIDTH - 1}], ' ') AS g
+  FROM (SELECT r, w, unnest(range(1, greatest(len(w) - {WIDTH - 1}, 1) + 1)) AS i FROM d WHERE len(w) > 0)),
+n AS (SELECT r, count(*) AS n FROM s GROUP BY r),
+p AS (SELECT a.r AS a, b.r AS b, count(*) AS c FROM s a JOIN s b ON a.g = b.g AND a.r < b.r GROUP BY a.r, b.r),
+e AS (SELECT a, b FROM p JOIN n x ON x.r = a JOIN n y ON y.r = b WHERE 100 * c >= {PERCENT} * (x.n + y.n - c)),
+u AS (SELECT a, b FROM e UNION SELECT b, a FROM e),
+reach AS (SELECT r, r AS t FROM d UNION SELECT reach.r, u.b FROM reach JOIN u ON u.a = reach.t)
+SELECT d.doc_id, coalesce(any_value(n.n), 0)::BIGINT AS n_shingles, min(o.doc_id) AS component_id
+FROM d JOIN reach ON reach.r = d.r JOIN d o ON o.r = reach.t LEFT JOIN n ON n.r = d.r GROUP BY d.r, d.doc_id
+"""
+
 QUERIES = {"op4_ngram_jaccard_join": op4_ngram_jaccard_join}
-ORACLES: dict[str, str] = {}
+ORACLES = {"op4_ngram_jaccard_join": SQL}

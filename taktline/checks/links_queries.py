@@ -115,11 +115,14 @@ def _(v: Views):
 
 
 @query("pref_name", "registry", """
-SELECT feed_id, CASE WHEN feed_pref_id BETWEEN 1 AND 47 THEN '県' WHEN feed_pref_id = 99 THEN '全国' ELSE '不明' END AS kind
+SELECT feed_id, CASE feed_pref_id WHEN 1 THEN '北海道' WHEN 13 THEN '東京都' WHEN 20 THEN '長野県' WHEN 26 THEN '京都府'
+  WHEN 27 THEN '大阪府' WHEN 38 THEN '愛媛県' WHEN 47 THEN '沖縄県' WHEN 99 THEN '全国'
+  ELSE CASE WHEN feed_pref_id BETWEEN 1 AND 47 THEN '県' ELSE '不明' END END AS kind
 FROM registry""")
 def _(v: Views):
     name = prefecture_name(F.col("feed_pref_id"))
-    return v.registry.select("feed_id", F.when(name.isin("全国", "不明"), name).otherwise("県").alias("kind"))
+    return v.registry.select("feed_id", F.when(
+        name.isin("全国", "不明", "北海道", "東京都", "長野県", "京都府", "大阪府", "愛媛県", "沖縄県"), name).otherwise("県").alias("kind"))
 
 
 @query("src_aliases", "approved", "SELECT * FROM approved")
@@ -421,3 +424,23 @@ def _(v: Views):
         F.when(c % 4 == 1, "").when(c % 4 == 2, "愛媛県|").when(c % 4 == 3, "不明").alias("prefectures"),
         *[F.lit(False).alias(n) for n in ("matched", "transport_complete", "overview_present", "driver_complete", "history_2plus", "history_3plus")])
     return funnel.prefecture_summary(flags).where("gtfs_bus_operator_entities > 0").select("prefecture", "gtfs_bus_operator_entities")
+
+
+@query("pick_column_headers", "", """
+SELECT n_nationkey, CASE n_nationkey % 4 WHEN 0 THEN '事業者番号' WHEN 1 THEN '会社名' WHEN 2 THEN '事業者名' END AS operator_name,
+       CASE n_nationkey % 4 WHEN 0 THEN '住所' WHEN 1 THEN '都道府県名' WHEN 2 THEN '所在地' END AS prefecture_address,
+       CASE n_nationkey % 4 WHEN 0 THEN '対象年度' WHEN 1 THEN '年度' END AS year,
+       CASE n_nationkey % 4 WHEN 0 THEN '車両数' WHEN 2 THEN '車両数（両）' END AS vehicle_count,
+       CASE n_nationkey % 4 WHEN 0 THEN '延実在車両数' END AS extended FROM nation""")
+def _(v: Views):
+    n = F.col("n_nationkey") % 4
+    header = lambda *names: F.array(*[F.lit(x) for x in names])
+    columns = (
+        F.when(n == 0, header("都道府県名", "事業者番号", "住所", "延実在車両数", "対象年度", "車両数"))
+        .when(n == 1, header("会社名", "都道府県名", "年度", "備考"))
+        .when(n == 2, header("備考", "所在地", "事業者名", "車両数（両）")).otherwise(header("備考")))
+    picked, mapped = links.pick_column(columns), links.map_fields(columns)
+    first = lambda name: F.get(mapped[name], F.lit(0))
+    return v.table("nation").select(
+        "n_nationkey", picked["operator_name"].alias("operator_name"), picked["prefecture_address"].alias("prefecture_address"),
+        picked["year"].alias("year"), first("vehicle_count").alias("vehicle_count"), first("extended_actual_vehicle_count").alias("extended"))

@@ -174,7 +174,7 @@ def _(v: Views):
     folder = v.workspace.folder
     v.table("events").select(F.col("user_id").cast("string").alias("url"), F.col("event_type").alias("status")).write.csv(f"{folder}/log_csv", header=True)
     # The JSON form of the log is one document; the five regions make one.
-    document = v.table("region").agg(F.to_json(F.collect_list(F.struct(F.col("r_name").alias("status"), F.col("r_comment").alias("reason")))).alias("value"))
+    document = v.table("region").agg(F.to_json(F.collect_list(F.struct(F.col("r_name").alias("status"), F.col("r_regionkey").cast("string").alias("reason")))).alias("value"))
     document.write.text(f"{folder}/log_json")
     return tables.status_counts(tables.fetch_status_log(v.spark, f"{folder}/log_csv", f"{folder}/log_json"))
 

@@ -43,6 +43,11 @@ class Workspace:
         df.write.parquet(path)
         return self.spark.read.schema(df.schema).parquet(path)
 
+    def close(self) -> None:
+        """Remove the folder; nothing that reads its tables may run afterwards."""
+        path = self.spark._jvm.org.apache.hadoop.fs.Path(self.folder)
+        path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
+
 
 class Lazy:
     """Keeps nothing: every plan stays as it is and runs no action."""

@@ -9,7 +9,11 @@ shard large. Blocks are numpy arrays, compressed, and Spark shuffles them.
 
 from __future__ import annotations
 
+import ctypes
+import ctypes.util
+import gc
 import marshal
+import sys
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -26,6 +30,11 @@ SHARD_BYTES = 12 << 20  # raw keys that one shard sees, about
 MAX_ROWS = 1 << 15  # rows of a chunk from which it is closed
 BATCH_ROWS = 512  # rows per Arrow batch, for bounded memory with long texts
 
+BODY_LEVEL = 7  # zstd level of chunks, which are written once and shuffled several times
+
+_name = ctypes.util.find_library("c") if sys.platform == "linux" else None
+_libc = ctypes.CDLL(_name) if _name and _name.startswith("libc.so") else None
+
 CHUNK_SCHEMA = "chunk long, n_bytes long, n_rows long, body binary"
 BLOCK_SCHEMA = "chunk long, shard int, block binary"
 
@@ -45,20 +54,20 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 # --- packed arrays -------------------------------------------------------------------------------------------------
 
 
-def squeeze(raw: bytes) -> bytes:
+def squeeze(raw: bytes, level: int = 1) -> bytes:
     """zstd with the raw size in front."""
-    return len(raw).to_bytes(8, "little") + pa.Codec("zstd", 1).compress(raw, asbytes=True)
+    return len(raw).to_bytes(8, "little") + pa.Codec("zstd", level).compress(raw, asbytes=True)
 
 
 def unsqueeze(data: bytes) -> bytes:
     return pa.Codec("zstd").decompress(data[8:], int.from_bytes(data[:8], "little"), asbytes=True)
 
 
-def pack(*arrays: np.ndarray) -> bytes:
+def pack(*arrays: np.ndarray, level: int = 1) -> bytes:
     """Arrays in one compressed block, byte planes apart, because high bytes repeat."""
     head = marshal.dumps([(a.dtype.str, len(a)) for a in arrays])
     planes = [np.ascontiguousarray(a).view(np.uint8).reshape(len(a), a.dtype.itemsize).T.tobytes() for a in arrays]
-    return squeeze(len(head).to_bytes(4, "little") + head + b"".join(planes))
+    return squeeze(len(head).to_bytes(4, "little") + head + b"".join(planes), level)
 
 
 def unpack(block: bytes) -> list[np.ndarray]:
@@ -73,9 +82,9 @@ def unpack(block: bytes) -> list[np.ndarray]:
     return out
 
 
-def pack_keys(keys: np.ndarray, *values: np.ndarray) -> bytes:
+def pack_keys(keys: np.ndarray, *values: np.ndarray, level: int = 1) -> bytes:
     """Sorted unsigned keys as differences, with values beside them."""
-    return pack(np.diff(keys, prepend=keys.dtype.type(0)), *values)
+    return pack(np.diff(keys, prepend=keys.dtype.type(0)), *values, level=level)
 
 
 def unpack_keys(block: bytes) -> list[np.ndarray]:
@@ -89,7 +98,7 @@ def unpack_keys(block: bytes) -> list[np.ndarray]:
 def _freeze(batches: list[pa.RecordBatch]) -> bytes:
     whole = pa.Table.from_batches(batches).combine_chunks()
     sink = pa.BufferOutputStream()
-    with pa.ipc.new_stream(sink, whole.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as writer:
+    with pa.ipc.new_stream(sink, whole.schema, options=pa.ipc.IpcWriteOptions(compression=pa.Codec("zstd", BODY_LEVEL))) as writer:
         writer.write_table(whole)
     return sink.getvalue().to_pybytes()
 
@@ -134,6 +143,22 @@ def make_chunks(df: DataFrame, store: Workspace, text: str = "text", chunk_bytes
     return store.keep(df.mapInArrow(cut, CHUNK_SCHEMA), "chunks")
 
 
+def trim() -> None:
+    """Give freed memory of this Python worker back: it stays for later stages, and several share an executor."""
+    pa.default_memory_pool().release_unused()
+    if hasattr(_libc, "malloc_trim"):
+        _libc.malloc_trim(0)
+
+
+def release(spark: SparkSession) -> None:
+    """Let Spark remove the shuffle files of finished steps whose frames are gone.
+
+    It removes them when the driver's JVM collects its garbage, which may take half an hour by itself.
+    """
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 def shards_for(chunks: DataFrame, key_bytes: float, shard_bytes: int = SHARD_BYTES) -> int:
     """Shards so that one sees ``shard_bytes`` of keys; ``key_bytes``: bytes of keys per byte of text."""
     total = chunks.agg(F.sum("n_bytes")).first()[0] or 0
@@ -153,7 +178,7 @@ def split_shards(keys: np.ndarray, shards: int) -> list[tuple[int, slice]]:
     return [(int(of[a]), slice(int(a), int(b))) for a, b in zip(starts, ends)]
 
 
-def ask(chunks: DataFrame, emit: Callable[[pa.Table], tuple[np.ndarray, ...]], shards: int) -> DataFrame:
+def ask(chunks: DataFrame, emit: Callable[[pa.Table], tuple[np.ndarray, ...]], shards: int, level: int = 1) -> DataFrame:
     """One block per chunk and shard. ``emit`` gives sorted distinct 64-bit keys of a chunk and values beside them."""
 
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -162,8 +187,10 @@ def ask(chunks: DataFrame, emit: Callable[[pa.Table], tuple[np.ndarray, ...]], s
                 keys, *values = emit(rows_of(body.as_buffer()))
                 if not len(keys):
                     continue
-                parts = [(s, pack_keys(keys[r], *(v[r] for v in values))) for s, r in split_shards(keys, shards)]
+                parts = [(s, pack_keys(keys[r], *(v[r] for v in values), level=level)) for s, r in split_shards(keys, shards)]
                 yield blocks(chunk, parts)
+                del keys, values, parts
+                trim()
 
     return chunks.select("chunk", "body").mapInArrow(send, BLOCK_SCHEMA)
 
@@ -197,6 +224,8 @@ def answer(asked: DataFrame, reply: Callable[[np.ndarray, np.ndarray, list[np.nd
             a, b = bounds[i], bounds[i + 1]
             if b > a:
                 out.append(blocks(chunk, [(shard, pack_keys(kept[a:b], *(r[a:b] for r in results)))]))
+        del of, keys, values, back, kept, results
+        trim()
         return pa.Table.from_batches(out, schema=blocks(0, []).schema)
 
     return asked.groupBy("shard").applyInArrow(run, BLOCK_SCHEMA)
@@ -214,6 +243,7 @@ def meet(chunks: DataFrame, answers: DataFrame, use: Callable[..., pa.Table], sc
                 got = [unpack_keys(right.column("block")[int(i)].as_buffer()) for i in order]
                 found = [np.concatenate(x) for x in zip(*got)]
             made.append(use(*([key[0].as_py()] if with_chunk else []), rows_of(body.as_buffer()), found))
+        trim()
         return pa.concat_tables(made)
 
     return chunks.select("chunk", "body").groupBy("chunk").cogroup(answers.groupBy("chunk")).applyInArrow(run, schema)

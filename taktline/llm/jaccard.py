@@ -125,6 +125,7 @@ def verify(pairs: DataFrame, found: DataFrame, width: int, percent: int) -> Data
                 common = len(np.intersect1d(shingles(C.unsqueeze(r["body_a"]), width), last[1], assume_unique=True))
                 keep.append(links(common, n, m, percent))
             yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
+        C.trim()
 
     return pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", *(f"{c}_{k}" for c in ("n", "p", "tokens", "body") for k in ("a", "b"))).mapInArrow(run, "a long, b long")
 

@@ -16,6 +16,26 @@ from taktline.workspace import Workspace
 SHINGLE_WORDS = 5
 SIMILAR_PERCENT = 80
 
+_stores: list[Workspace] = []  # of stages before
+
+
+def _store(spark: SparkSession, docs: DataFrame) -> Workspace:
+    """A workspace for one stage; those that ``docs`` doesn't read from are removed.
+
+    A stage's result is written before the next stage begins, so that the intermediate tables of the one before are of
+    no more use then.
+    """
+    chunks.prepare(spark)
+    read = docs.inputFiles()
+    for old in list(_stores):
+        if not any(old.folder.split("/")[-1] in file for file in read):
+            _stores.remove(old)
+            if old.spark is spark:
+                old.close()
+    chunks.release(spark)
+    _stores.append(Workspace(spark))
+    return _stores[-1]
+
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the rules keep, without the lines that fail."""
@@ -25,26 +45,22 @@ def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 def line_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Lines that five documents share stay in the last of them."""
-    chunks.prepare(spark)
-    return lines.LineIndex.create(docs, Workspace(spark)).cleaned(docs.schema)
+    return lines.LineIndex.create(docs, _store(spark, docs)).cleaned(docs.schema)
 
 
 def near_copy_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near copies."""
-    chunks.prepare(spark)
-    return jaccard.one_of_each(docs, Workspace(spark), SHINGLE_WORDS, SIMILAR_PERCENT)
+    return jaccard.one_of_each(docs, _store(spark, docs), SHINGLE_WORDS, SIMILAR_PERCENT)
 
 
 def repeat_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Passages of 50 bytes that a smaller doc_id has are cut out."""
-    chunks.prepare(spark)
-    return repeats.without_repeats(docs, Workspace(spark))
+    return repeats.without_repeats(docs, _store(spark, docs))
 
 
 def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pieces of what is left, packed in sequences."""
-    chunks.prepare(spark)
-    return packing.pack_documents(docs, Workspace(spark))
+    return packing.pack_documents(docs, _store(spark, docs))
 
 
 STAGES = [

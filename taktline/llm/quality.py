@@ -8,8 +8,8 @@ Each line that has a word is held against three kinds of rules:
 * boilerplate: at most 30 words with a phrase of the fixed list below.
 
 Lines that fail are removed. A document is rejected if it fails the base rules, if more than ``MAX_LOST`` percent of its
-word characters stood in lines that failed for punctuation or navigation, or if nothing is left. Boilerplate lines don't
-count in that share, so that a short text under a licence stays.
+word characters stood in lines that failed, or if nothing is left. Only lines with a licence or copyright phrase
+(``LICENCE``) and no other boilerplate don't count in that share, so that a short text under a licence stays.
 
 Defined cases: a null or empty text has no words, fails the base (fewer than 10 words) and is not kept; a null doc_id is
 passed on; equal rows are judged alike, each on its own; other columns don't matter.
@@ -39,9 +39,11 @@ BOILERPLATE = (
     "cookie policy", "uses cookies", "use cookies", "enable javascript", "javascript is disabled", "lorem ipsum",
     "click here", "sign up for", "subscribe to our", "log in to", "back to top", "share this", "skip to content",
 )
+LICENCE = BOILERPLATE[:3]
 # Separators of navigation lines.
 SEPARATORS = ("|", "»", "›", "•", "·", ">", "::")
 _PHRASES = re.compile("|".join(map(re.escape, BOILERPLATE)))
+_WEB = re.compile("|".join(map(re.escape, BOILERPLATE[len(LICENCE) :])))
 _SYMBOLS = re.compile("[#*$%&|<>]")
 _SEPARATORS = frozenset(x.encode() for x in SEPARATORS)
 _MARKS = re.compile("[.!?…:;]")
@@ -111,7 +113,11 @@ def judge(text: bytes) -> tuple:
             lost += len(b"".join(own).decode())
             keep.append(False)
         elif boilerplate(line):
-            stock += len(b"".join(own).decode())
+            size = len(b"".join(own).decode())
+            if _WEB.search(line.lower().decode()):
+                lost += size
+            else:
+                stock += size
             keep.append(False)
         else:
             keep.append(True)

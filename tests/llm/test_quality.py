@@ -42,6 +42,13 @@ def test_lost_text_and_kept_text(spark):
     assert {r.doc_id: r.text for r in quality.keep_good(df).collect()} == {1: CLEAN, 3: CLEAN}
 
 
+def test_web_boilerplate_is_lost_text():
+    kept = lambda text: quality.judge(text.encode())[6]
+    web = [f"{x} number {i} of this long page" for i, x in enumerate(("Click here for", "Log in to see", "Please enable JavaScript for", "Share this with", "Sign up for", "This site uses cookies for") * 4)]
+    assert not kept("\n".join([*web, CLEAN])) and not kept(CLEAN + "\n" + "\n".join(f"All rights reserved, {x}" for x in web))
+    assert kept(CLEAN + "\n" + web[0]) and kept("A short text of ten words stands here, and no more.\nReleased under the terms of a licence that has a rather long name, all rights reserved by us.")
+
+
 def test_empty(spark):
     df = spark.createDataFrame([], SCHEMA)
     assert quality.quality_report(df).count() == 0 and quality.keep_good(df).count() == 0

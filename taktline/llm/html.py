@@ -2,7 +2,9 @@
 
 The page is cut into blocks at block-level tags. Each block has a zone from the elements around it: ``bad`` inside menus,
 sidebars, footers, forms, notices, adverts and comments (by element, role or class word), ``main`` inside article or
-main, otherwise open. If any block with text is ``main``, open blocks are left out.
+main, otherwise open. If any block with text is ``main``, open blocks are left out. Class words say nothing on article,
+main and body, nor with a modifier (``has-sidebar``, ``comments-open``). Where only a class word made a zone bad, main
+opens it again, and so does an article unless the word is of parts that have articles of their own (``OWN_ARTICLES``).
 
 Pass one decides blocks by link density, length and stop-word density: link-dense blocks are bad; long blocks and blocks
 rich in stop words are good in ``main``; open blocks have to be both to be good. Pass two gives undecided blocks the
@@ -47,6 +49,11 @@ BAD_WORDS = frozenset(
     "ad ads advert adverts advertisement advertising banner cookie cookies consent gdpr notice notices alert comment comments respond reply replies disqus "
     "sidebar menu nav navbar navigation footer breadcrumb breadcrumbs share sharing social related recommended promo promotion sponsor sponsored popup modal "
     "overlay newsletter subscribe subscription signup login widget pagination pager toolbar masthead copyright disclaimer".split())
+OWN_ARTICLES = frozenset(
+    "ad ads advert adverts advertisement advertising comment comments respond reply replies disqus sidebar related recommended promo promotion sponsor "
+    "sponsored widget newsletter".split())
+MODIFIERS = (frozenset("has no with without".split()), frozenset("open closed enabled disabled".split()))  # before and behind a word
+RAW = frozenset("script style noscript title iframe textarea".split())  # skipped elements that only their own end tag ends
 BAD_ROLES = frozenset("navigation banner contentinfo complementary search form alert alertdialog dialog menu menubar toolbar".split())
 
 _TOKEN = re.compile(
@@ -58,25 +65,72 @@ _TRIM = re.compile(r"^\W+|\W+$")
 _NAMED = re.compile(r"class|id|role|hidden|style|aria", re.I)
 
 
-def _zone(tag: str, attributes: str, parent: str, cause: str) -> str:
-    """Zone inside an element; ``cause``: the element that made the zone around it."""
+def _words_of(names: str) -> set[str]:
+    """Words of class and id names; a name with a modifier has none."""
+    out: set[str] = set()
+    for name in names.split():
+        words = _WORD.findall(_CAMEL.sub(" ", name).lower())
+        if len(words) < 2 or words[0] not in MODIFIERS[0] and words[-1] not in MODIFIERS[1]:
+            out.update(words)
+    return out
+
+
+def _zone(tag: str, attributes: str, parent: str, cause: str) -> tuple[str, str]:
+    """Zone inside an element, and the element that made it: its tag, ``*`` if only a class word of a wrapper did, or
+    ``**`` for a class word of ``OWN_ARTICLES``. ``parent``, ``cause``: those around it."""
+    named, role, words, hidden = {}, "", set(), False
     if attributes and _NAMED.search(attributes):
         named = {a.lower(): b or c or d for a, b, c, d in _ATTRIBUTE.findall(attributes)}
         role = named.get("role", "").lower()
-        words = set(_WORD.findall(_CAMEL.sub(" ", f"{named.get('class', '')} {named.get('id', '')}").lower()))
+        words = _words_of(f"{named.get('class', '')} {named.get('id', '')}")
         hidden = "hidden" in named or named.get("aria-hidden") == "true" or "display:none" in named.get("style", "").replace(" ", "").lower()
-        if words & BAD_WORDS and tag != "body" or role in BAD_ROLES or hidden and tag != "body":
-            return "bad"
-        if "header" in words and parent == "open" and not words & {"article", "post", "entry", "content", "page"}:
-            return "bad"
-        if role in ("main", "article") and parent != "bad":
-            return "main"
-    if tag in BAD_TAGS or tag == "header" and parent != "main":
-        return "bad"
-    if tag in ("article", "main"):
+    main = tag in ("article", "main") or role in ("main", "article")
+    made = ""
+    if role in BAD_ROLES or hidden and tag != "body":
+        made = tag
+    elif not main and tag != "body" and words & BAD_WORDS:
+        made = "**" if words & OWN_ARTICLES else "*"
+    elif not main and "header" in words and parent == "open" and not words & {"article", "post", "entry", "content", "page"}:
+        made = "*"
+    elif not main and (tag in BAD_TAGS or tag == "header" and parent != "main"):
+        made = tag
+    if made:
+        # The zone around it stays the cause, unless that was a class word and this is more.
+        return "bad", made if parent != "bad" or cause == "*" or cause == "**" and made not in ("*", "nav", "header", "footer") else cause
+    if main and parent == "bad":
         # An article inside a menu, header or footer means that their end tag is missing.
-        return "main" if parent != "bad" or cause in ("nav", "header", "footer") else "bad"
-    return parent
+        opens = cause == "*" or cause == "**" and "main" in (tag, role) or tag in ("article", "main") and cause in ("nav", "header", "footer")
+        return ("main", tag) if opens else ("bad", cause)
+    return ("main", tag if parent != "main" else cause) if main else (parent, cause)
+
+
+def _end_of_skipped(page: str, tag: str, at: int) -> int:
+    """Where a skipped element that begins before ``at`` ends: behind its end tag, or where the element around it ends."""
+    if tag in RAW:
+        stop = re.compile(f"</{tag}\\b[^>]*>", re.I).search(page, at)
+        return stop.end() if stop else len(page)
+    depth, inside = 1, dict.fromkeys(BLOCKS, 0)
+    while found := _TOKEN.search(page, at):
+        at = found.end()
+        end, name, attributes = (found[1], found[2], found[3]) if found[2] else (found[4], found[5], found[6])
+        name = name.lower() if name else ""
+        if name == tag:
+            if end:
+                depth -= 1
+                if not depth:
+                    return at
+            elif not attributes.endswith("/"):
+                depth += 1
+        elif name in RAW and not end and not attributes.endswith("/"):
+            at = _end_of_skipped(page, name, at)
+        elif name in inside:
+            if not end:
+                inside[name] += not attributes.endswith("/")
+            elif inside[name]:
+                inside[name] -= 1
+            else:
+                return found.start()
+    return len(page)
 
 
 def blocks_of(page: str) -> list[tuple[str, str, int]]:
@@ -113,8 +167,7 @@ def blocks_of(page: str) -> list[tuple[str, str, int]]:
         tag = tag.lower()
         if tag in SKIPPED:
             if not end and not attributes.endswith("/"):
-                stop = re.compile(f"</{tag}\\b[^>]*>", re.I).search(page, at)
-                at = stop.end() if stop else len(page)
+                at = _end_of_skipped(page, tag, at)
                 if tag not in ("svg", "math", "button"):
                     parts.append(" ")
             continue
@@ -136,17 +189,17 @@ def blocks_of(page: str) -> list[tuple[str, str, int]]:
                     if tag in VOID and stack[i][0] not in VOID:
                         break
             else:
-                zone = _zone(tag, attributes, stack[-1][1], stack[-1][2])
+                zone, cause = _zone(tag, attributes, stack[-1][1], stack[-1][2])
                 if tag in VOID:
                     if tag != "span":  # they close one another
                         while stack[-1][0] == tag:
                             stack.pop()
-                        zone = _zone(tag, attributes, stack[-1][1], stack[-1][2])
-                    if zone == stack[-1][1] and tag != "span":
+                        zone, cause = _zone(tag, attributes, stack[-1][1], stack[-1][2])
+                    if (zone, cause) == stack[-1][1:] and tag != "span":
                         continue
                     if tag == "span" and zone != stack[-1][1]:
                         close()
-                stack.append((tag, zone, stack[-1][2] if zone == stack[-1][1] else tag))
+                stack.append((tag, zone, cause))
     add(page[at:])
     close()
     return out

@@ -34,6 +34,28 @@ def test_broken_markup():
     assert main_text("<script>never ends") == "" and main_text("plain") in ("", "plain")
 
 
+def test_class_words_on_wrappers():
+    for page in (
+        f'<div class="has-sidebar"><main><p>{LONG}</p></main></div>', f'<article class="post comments-open"><p>{LONG}</p></article>',
+        f'<main id="content" class="no-sidebar"><p>{LONG}</p></main>', f'<div class="sidebar"><main><p>{LONG}</p></main></div>',
+        f'<div class="menu-wrap"><article><p>{LONG}</p></article></div>', f'<div class="layout sidebar"><div role="main"><p>{LONG}</p></div></div>',
+    ):
+        assert main_text(page) == LONG, page
+    for page in (
+        f'<div class="comments"><article>{LONG}</article></div>', f'<aside><main>{LONG}</main></aside>', f'<aside><div class="menu"><main>{LONG}</main></div></aside>',
+        f'<div class="menu"><aside><main>{LONG}</main></aside></div>', f'<div hidden><article>{LONG}</article></div>', f'<article hidden>{LONG}</article>',
+    ):
+        assert main_text(page) == "", page
+
+
+def test_skipped_elements_without_end():
+    for tag in ("button", "select", "svg", "object", "video", "audio", "canvas", "template", "math"):
+        assert main_text(f"<article><div><{tag} class=x>gone</div><p>{LONG}</p></article>") == LONG
+        assert main_text(f"<article><{tag}><p>gone</p>gone</{tag}><p>{LONG}</p></article>") == LONG
+    assert main_text(f"<article><object><object>a</object>gone</object><p>{LONG}</p></article>") == LONG
+    assert main_text(f"<article><svg><style>a > b </svg></style>gone</svg><p>{LONG}</p></article>") == LONG
+
+
 def test_neighbours():
     assert labels_of([("main", "x", 0), ("main", LONG, 0), ("main", "y", 1)]) == [True, True, False]
     assert labels_of([("open", "x", 0), ("open", "menu", 4), ("open", LONG, 0), ("open", "y", 0)]) == [False, False, True, True]

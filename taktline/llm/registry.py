@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-MODULES = ("quality", "lines", "warc", "html", "bpe", "packing", "simhash", "jaccard", "scoring", "repeats", "token_files", "turn_trie")
+MODULES = ("quality", "lines", "warc", "html", "bpe", "packing", "simhash", "jaccard", "scoring", "repeats", "token_files", "turn_trie", "turn_repair")
 
 QUERIES: dict = {}
 ORACLES: dict = {}

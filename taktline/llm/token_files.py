@@ -26,11 +26,11 @@ import re
 import struct
 import zlib
 from collections.abc import Iterator
+from functools import lru_cache
 from itertools import chain
 
 import numpy as np
 import pyarrow as pa
-import regex
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -41,8 +41,10 @@ from taktline.workspace import Workspace
 
 END_ID = 0
 SHARD_IDS = 4 << 20
-BUCKET_KEYS = 1 << 16
-CACHED = 200_000  # units of one generation kept with their ids in one Python worker; there are two
+BUCKET_KEYS = 1 << 12
+CACHED = 600_000  # units of one generation kept with their ids in one Python worker; there are two
+TOGETHER = 20_000  # new units in one text for the tokenizer
+BATCH_CHARS = 1 << 20  # of texts that are encoded together
 MAGIC = b"TOKENID1"
 HEAD = struct.Struct("<8sqqqq")
 END_MARK = "\n.tokens\n"
@@ -51,57 +53,70 @@ PLACES = "doc_id long, shard long, row long, offset long, n_rows long, n_runs lo
 INDEX = "bucket long, buckets long, levels binary, slots binary"
 DOCUMENTS = "shard long, row long, run_row long, doc_id long, offset long, n_tokens long"
 
-# A blank before a character that is no white space always begins a pre-token.
+# A blank before a character that is no white space always begins a pre-token of the tokenizer file.
 _UNIT = re.compile(r"(?<!^)(?= [^\s\x1c-\x1f\x85])")
 _WIDE = re.compile(r" (?:[\s\x1c-\x1f\x85]|\Z)")
-# Within these characters the classes of all regular-expression libraries agree.
-_ODD = re.compile("[^\\x09-\\x0d\\x20-\\x7e\\xa1-\\u017f\\u2010-\\u2027\\u2030-\\u205e]")
-_PRETOKEN = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+")  # of the tokenizer file
+_FIRST = "\x00"  # in front of what stands before the first unit of a text
 
 
 class UnitEncoder:
-    """Packed ids of texts. A text falls apart in units (a blank and what follows up to the next word), which are
-    remembered; a new unit falls apart in pre-tokens, which are remembered too; new pre-tokens go to the tokenizer."""
+    """Packed ids of texts by a byte-level tokenizer.
+
+    A text falls apart in units: a blank and what follows up to the next word. Pre-tokens never cross units, so that the
+    ids of a text are those of its units, which are remembered. New units of many texts go to the tokenizer as one text,
+    and the bytes behind each id tell where one unit ends.
+    """
 
     def __init__(self, path: str, kind: str):
         from tokenizers import Tokenizer
 
         self.tokenizer, self.kind = Tokenizer.from_file(path), kind
         self.tokenizer.encode_special_tokens = True
-        self.units: dict[str, bytes] = {}
+        vocabulary = self.tokenizer.get_vocab()
+        self.bytes_of = np.zeros(max(vocabulary.values()) + 1, np.int64)
+        self.bytes_of[list(vocabulary.values())] = [len(t) for t in vocabulary]  # one character per byte
+        self.known: dict[str, bytes] = {}
         self.older: dict[str, bytes] = {}
-        self.parts: dict[str, bytes] = {}
-
-    def _encode(self, texts: list[str]) -> list[bytes]:
-        return [np.array(e.ids, self.kind).tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
-
-    def _learn(self, missing: list[str]) -> None:
-        split = [[u] if _ODD.search(u) else _PRETOKEN.findall(u) for u in missing]
-        new = list(set(chain.from_iterable(split)) - self.parts.keys())
-        if len(self.parts) > 2 * CACHED:
-            self.parts, new = {}, list(set(chain.from_iterable(split)))
-        self.parts.update(zip(new, self._encode(new)))
-        get = self.parts.__getitem__
-        self.units.update((u, b"".join(map(get, s))) for u, s in zip(missing, split))
-
-    def encode(self, text: str) -> bytes:
-        if _WIDE.search(text):
-            units = _UNIT.split(text)
-        else:
-            first, *rest = text.split(" ")
-            units = [first, *(" " + w for w in rest)] if first else [" " + w for w in rest]
-        missing = set(units) - self.units.keys()
-        if missing:
-            old = [u for u in missing if u in self.older]
-            self.units.update((u, self.older[u]) for u in old)
-            if len(missing) > len(old):
-                self._learn([u for u in missing if u not in self.older])
-        out = b"".join(map(self.units.__getitem__, units))
-        if len(self.units) > CACHED:
-            self.units, self.older = {}, self.units
+
+    def _ids(self, texts: list[str]) -> list[np.ndarray]:
+        return [np.array(e.ids, self.kind) for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def _learn(self, new: list[str]) -> None:
+        firsts, rest = [u for u in new if u.startswith(_FIRST)], [u for u in new if not u.startswith(_FIRST)]
+        self.known.update((u, ids.tobytes()) for u, ids in zip(firsts, self._ids([u[1:] for u in firsts])))
+        for start in range(0, len(rest), TOGETHER):
+            some = rest[start : start + TOGETHER]
+            (ids,) = self._ids([" " + " ".join(some)])
+            ends, wanted = np.cumsum(self.bytes_of[ids]), np.cumsum([len(u.encode()) + 1 for u in some])
+            at = np.searchsorted(ends, wanted)
+            if at[-1] != len(ids) - 1 or (ends[at] != wanted).any():
+                raise ValueError("units and their ids don't match")
+            packed, cuts = ids.tobytes(), (np.append(0, at + 1) * ids.itemsize).tolist()
+            self.known.update((u, packed[a:b]) for u, a, b in zip(some, cuts, cuts[1:]))
+
+    def encode_all(self, texts: list[str]) -> list[bytes]:
+        split = []
+        for text in texts:
+            units = [u[i > 0 :] for i, u in enumerate(_UNIT.split(text))] if _WIDE.search(text) else text.split(" ")
+            units[0] = _FIRST + units[0]
+            split.append(units)
+        get = self.known.__getitem__
+        missing = [u for u in set(chain.from_iterable(split)) if u not in self.known]
+        self.known.update((u, self.older[u]) for u in missing if u in self.older)
+        if new := [u for u in missing if u not in self.older]:
+            self._learn(new)
+        out = [b"".join(map(get, units)) for units in split]
+        if len(self.known) > CACHED:
+            self.known, self.older = {}, self.known
         return out
 
 
+@lru_cache(maxsize=1)
+def encoder_of(path: str, kind: str) -> UnitEncoder:
+    """One for all tasks of a Python worker, so that units stay known."""
+    return UnitEncoder(path, kind)
+
+
 def id_kind(tokenizer: str) -> str:
     """Bytes of an id: two where all ids fit."""
     from tokenizers import Tokenizer
@@ -109,6 +124,21 @@ def id_kind(tokenizer: str) -> str:
     return "<u2" if Tokenizer.from_file(tokenizer).get_vocab_size() <= 1 << 16 else "<u4"
 
 
+def encoded(batches: Iterator[pa.RecordBatch], encoder: UnitEncoder) -> Iterator[tuple[int | None, bytes]]:
+    """doc_id and packed ids, some ``BATCH_CHARS`` of text or one document at a time."""
+    for batch in batches:
+        keys, texts, size = [], [], 0
+        for key, text in zip(batch.column("doc_id").to_pylist(), batch.column("text")):
+            keys.append(key)
+            texts.append(text.as_py() or "")
+            size += len(texts[-1])
+            if size > BATCH_CHARS:
+                yield from zip(keys, encoder.encode_all(texts))
+                keys, texts, size = [], [], 0
+        C.trim()
+        yield from zip(keys, encoder.encode_all(texts))
+
+
 def _shard_file(shard: int, kind: str, keys: list[int | None], parts: list[bytes]) -> bytes:
     width = np.dtype(kind).itemsize
     ends = np.cumsum([0, *map(len, parts)], dtype=np.uint64) // np.uint64(width)
@@ -149,7 +179,7 @@ class TokenFiles:
         kind = id_kind(tokenizer)
 
         def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            encoder, end = UnitEncoder(tokenizer, kind), np.array([end_id], kind).tobytes()
+            encoder, end = encoder_of(tokenizer, kind), np.array([end_id], kind).tobytes()
             keys, parts, size, shard = [], [], 0, TaskContext.get().partitionId() << 32
             limit = shard_ids * len(end)
 
@@ -157,15 +187,14 @@ class TokenFiles:
                 data = pa.array([_shard_file(shard, kind, keys, parts)], pa.binary())
                 return pa.RecordBatch.from_arrays([data], names=["value"])
 
-            for batch in batches:
-                for key, text in zip(batch.column("doc_id").to_pylist(), batch.column("text")):
-                    part = encoder.encode(text.as_py() or "") + end
-                    if keys and size + len(part) > limit:
-                        yield close()
-                        keys, parts, size, shard = [], [], 0, shard + 1
-                    keys.append(key)
-                    parts.append(part)
-                    size += len(part)
+            for key, part in encoded(batches, encoder):
+                part += end
+                if keys and size + len(part) > limit:
+                    yield close()
+                    keys, parts, size, shard = [], [], 0, shard + 1
+                keys.append(key)
+                parts.append(part)
+                size += len(part)
             if keys:
                 yield close()
 

@@ -8,8 +8,9 @@ Each line that has a word is held against three kinds of rules:
 * boilerplate: at most 30 words with a phrase of the fixed list below.
 
 Lines that fail are removed. A document is rejected if it fails the base rules, if more than ``MAX_LOST`` percent of its
-word characters stood in lines that failed, or if nothing is left. Only lines with a licence or copyright phrase
-(``LICENCE``) and no other boilerplate don't count in that share, so that a short text under a licence stays.
+word characters stood in lines that failed, or if nothing is left. The first line with a licence or copyright phrase
+(``LICENCE``) and no other boilerplate does not count in that share, so that a short text under a licence stays; a second
+such line counts.
 
 Defined cases: a null or empty text has no words, fails the base (fewer than 10 words) and is not kept; a null doc_id is
 passed on; equal rows are judged alike, each on its own; other columns don't matter.
@@ -46,8 +47,8 @@ _PHRASES = re.compile("|".join(map(re.escape, BOILERPLATE)))
 _WEB = re.compile("|".join(map(re.escape, BOILERPLATE[len(LICENCE) :])))
 _SYMBOLS = re.compile("[#*$%&|<>]")
 _SEPARATORS = frozenset(x.encode() for x in SEPARATORS)
-_MARKS = re.compile("[.!?…:;]")
-_SENTENCE = re.compile("[.!?…]")
+_SENTENCE = re.compile("[.!?…。！？]")
+_MARKS = re.compile("[.!?…。！？:;：；]")
 _UPPER = bytes(range(65, 91))
 
 
@@ -114,7 +115,7 @@ def judge(text: bytes) -> tuple:
             keep.append(False)
         elif boilerplate(line):
             size = len(b"".join(own).decode())
-            if _WEB.search(line.lower().decode()):
+            if stock or _WEB.search(line.lower().decode()):
                 lost += size
             else:
                 stock += size
@@ -173,7 +174,7 @@ def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 _WS = "' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)"
-_PHRASE_SQL = "|".join(BOILERPLATE)
+_PHRASE_SQL, _WEB_SQL = "|".join(BOILERPLATE), "|".join(BOILERPLATE[len(LICENCE) :])
 SQL = rf"""
 WITH d AS (SELECT row_number() OVER () AS r, doc_id, coalesce(text, '') AS t FROM documents),
 w AS (SELECT r, doc_id, t, regexp_extract_all(t, '[^\x20\x09-\x0D]+') AS ws FROM d),
@@ -191,13 +192,16 @@ lines AS (
     length(line) - length(regexp_replace(line, '[#*$%&|<>]', '', 'g')) AS symbols,
     length(line) - length(replace(line, '!', '')) AS marks,
     len(list_filter(lw, lambda x: x IN ({", ".join(repr(x) for x in SEPARATORS)}))) AS seps,
-    regexp_matches(line, '[.!?…]') AS sentence, regexp_matches(line, '[.!?…:;]') AS mark,
+    regexp_matches(line, '[.!?…。！？]') AS sentence, regexp_matches(line, '[.!?…。！？:;：；]') AS mark,
     regexp_matches(translate(line, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '{_PHRASE_SQL}') AS phrase,
+    regexp_matches(translate(line, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '{_WEB_SQL}') AS web,
     row_number() OVER (PARTITION BY r, line ORDER BY i) AS copy
   FROM l WHERE len(lw) > 0),
 judged AS (
   SELECT *, 10 * symbols > chars OR (marks >= 3 AND marks >= n) OR (n >= 60 AND NOT sentence) OR (n <= 2 AND NOT mark)
-    OR (seps >= 2 AND 3 * seps >= n) AS bad, NOT bad AND n <= 30 AND phrase AS stock, bad OR stock AS fails
+    OR (seps >= 2 AND 3 * seps >= n) AS bad, NOT bad AND n <= 30 AND phrase AND NOT web AS licence,
+    licence AND i = min(CASE WHEN licence THEN i END) OVER (PARTITION BY r) AS stock,
+    bad OR (n <= 30 AND phrase) AS fails
   FROM lines),
 per AS (
   SELECT r, sum(chars)::BIGINT AS word_chars, count_if(copy > 1)::BIGINT AS n_dup_lines,

@@ -47,6 +47,21 @@ def test_run_and_registration(spark):
     assert out.count() > 0 and {"doc_id", "piece", "sequence_id", "offset"} <= set(out.columns)
 
 
+def test_results_of_two_runs_stay(spark, tmp_path):
+    sf = str(tmp_path)
+    rows = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").limit(40).collect()
+    text = "A text of its own with some words that stand nowhere else in here, number {}."
+    # Nulls in every column, equal rows, repeated ids, columns with names that the stages use themselves.
+    more = [(None, "Rows without any number are kept if what they say is said by no other row of the table.", None, None, None), (10**6, None, "en", "a", 0), (10**6, "", "en", "a", 0), (10**6 + 1, text.format(1), "en", "a", 1), (10**6 + 1, text.format(1), "en", "a", 1)]
+    schema = "doc_id long, text string, lang string, source string, n_chars long, chunk long, shard string, block int"
+    made = [(r.doc_id, r.text, r.lang, r.source, r.n_chars) for r in rows]
+    spark.createDataFrame([(*r, 1, "s", 2) for r in made + more], schema).write.parquet(f"{sf}/documents.parquet")
+    first, second = corpus_pipeline.run(spark, sf), corpus_pipeline.run(spark, sf)
+    kept = sorted((r.doc_id is not None, r.doc_id or 0, r.piece) for r in first.collect())
+    assert kept == sorted((r.doc_id is not None, r.doc_id or 0, r.piece) for r in second.collect())
+    assert (False, 0, 0) in kept and [k[1] for k in kept].count(10**6) == 0
+
+
 def test_empty_table(spark):
     docs = chunks.table(spark, "/root/testdata/sf0.001", "documents").limit(0)
     for _, stage in corpus_pipeline.STAGES:

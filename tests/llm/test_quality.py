@@ -3,6 +3,8 @@
 import re
 from collections import Counter
 
+import duckdb
+
 from taktline.llm import chunks, quality
 
 SCHEMA = "doc_id long, text string, kept string"
@@ -49,6 +51,27 @@ def test_web_boilerplate_is_lost_text():
     assert kept(CLEAN + "\n" + web[0]) and kept("A short text of ten words stands here, and no more.\nReleased under the terms of a licence that has a rather long name, all rights reserved by us.")
 
 
+RULES = [
+    "All rights reserved by the owner of a rather long name here.\nReleased under the terms of some licence.\nok fine.",
+    "Released under the terms of some licence.\nA line of just ten words stands in the text here.",
+    "All rights reserved, click here to read on.\n" + CLEAN, "好的。\n" + CLEAN, "好的：\n" + CLEAN, "Home\n" + CLEAN]
+
+
+def test_one_licence_line_is_no_loss_and_wide_marks_end_a_line():
+    assert [quality.judge(t.encode())[6] for t in RULES] == [False, True, True, True, True, True]
+    assert [quality.judge(t.encode())[7] for t in RULES] == [2, 1, 1, 0, 0, 1]
+
+
+def test_sql_states_the_rules_that_given_rows_do_not_show(spark):
+    con = duckdb.connect()
+    con.sql("CREATE TABLE documents (doc_id BIGINT, text VARCHAR)")
+    con.executemany("INSERT INTO documents VALUES (?, ?)", list(enumerate(RULES)))
+    want = con.sql(quality.SQL).order("doc_id").project("doc_id, kept, n_lines_removed, lost_chars").fetchall()
+    df = spark.createDataFrame([(i, t, "x") for i, t in enumerate(RULES)], SCHEMA)
+    got = quality.quality_report(df).select("doc_id", "kept", "n_lines_removed", "lost_chars").orderBy("doc_id").collect()
+    assert [tuple(r) for r in got] == want
+
+
 def test_empty(spark):
     df = spark.createDataFrame([], SCHEMA)
     assert quality.quality_report(df).count() == 0 and quality.keep_good(df).count() == 0

@@ -8,6 +8,9 @@ share 80 percent of their runs of five words; the one with the least doc_id stay
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from contextvars import ContextVar
+
 from pyspark.sql import DataFrame, SparkSession
 
 from taktline.llm import chunks, jaccard, lines, packing, quality, repeats
@@ -16,25 +19,29 @@ from taktline.workspace import Workspace
 SHINGLE_WORDS = 5
 SIMILAR_PERCENT = 80
 
-_stores: list[Workspace] = []  # of stages before
+_direct: list[Workspace] = []  # of stages that are called one by one
+_stores: ContextVar[list[Workspace] | None] = ContextVar("stores of the stage that runs now", default=None)
 
 
 def _store(spark: SparkSession, docs: DataFrame) -> Workspace:
-    """A workspace for one stage; those that ``docs`` doesn't read from are removed.
+    """A workspace for one stage.
 
-    A stage's result is written before the next stage begins, so that the intermediate tables of the one before are of
-    no more use then.
+    ``run`` removes the workspaces of its own stages. Where stages are called one by one, their results are to be written
+    before the next one begins (that is what a stage is given); then those that ``docs`` doesn't read from are removed.
     """
     chunks.prepare(spark)
-    read = docs.inputFiles()
-    for old in list(_stores):
-        if not any(old.folder.split("/")[-1] in file for file in read):
-            _stores.remove(old)
-            if old.spark is spark:
-                old.close()
+    own = _stores.get()
+    if own is None:
+        read = docs.inputFiles()
+        for old in list(_direct):
+            if not any(old.folder.split("/")[-1] in file for file in read):
+                _direct.remove(old)
+                if old.spark is spark:
+                    old.close()
+        own = _direct
     chunks.release(spark)
-    _stores.append(Workspace(spark))
-    return _stores[-1]
+    own.append(Workspace(spark))
+    return own[-1]
 
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -76,8 +83,26 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over all documents; each result is written and read again."""
-    docs, store = chunks.table(spark, sf_dir, "documents"), Workspace(spark)
+    """All stages over all documents; each result is written and read again.
+
+    Intermediate tables go when the result that was made from them is written. The rows returned read the last written
+    result and the tables of the last stage; these stay, whatever runs later.
+    """
+    docs, before = chunks.table(spark, sf_dir, "documents"), None
     for name, stage in STAGES[:-1]:
-        docs = store.keep(stage(spark, docs, sf_dir), name.replace(" ", "-"))
-    return STAGES[-1][1](spark, docs, sf_dir)
+        kept = Workspace(spark)
+        result, used = _with_stores(lambda: kept.keep(stage(spark, docs, sf_dir), name.replace(" ", "-")))
+        for old in [*used, *([before] if before else [])]:
+            old.close()
+        docs, before = result, kept
+    return _with_stores(lambda: STAGES[-1][1](spark, docs, sf_dir))[0]
+
+
+def _with_stores(step: Callable[[], DataFrame]) -> tuple[DataFrame, list[Workspace]]:
+    """Result of a step, and the workspaces that its stage took."""
+    used: list[Workspace] = []
+    token = _stores.set(used)
+    try:
+        return step(), used
+    finally:
+        _stores.reset(token)

@@ -8,7 +8,7 @@ from taktline.functions.ids import (
 from taktline.functions.measures import (
     fmt_time, gtfs_seconds, haversine_km, is_bus_route, num, pct_change, safe_rate,
 )
-from taktline.functions.names import name_signals, nfkc, normalize_name, seq_ratio
+from taktline.functions.names import name_signals, nfkc, normalize_name, seq_ratio, seq_ratio_from
 from taktline.functions.text import (
     classify_dataset, disposition_filename, effective_date, has_value, infer_year, parse_date2,
     parse_date3, safe_slug, slug_pair, split_pairs, strip, truth, upload_datetime,
@@ -18,6 +18,6 @@ __all__ = [
     "canonical_operator", "classify_dataset", "disposition_filename", "effective_date", "fmt_time",
     "gtfs_seconds", "has_value", "haversine_km", "infer_year", "is_bus_route", "links_operator_id",
     "name_signals", "nfkc", "normalize_name", "num", "operator_id", "parse_date2", "parse_date3",
-    "pct_change", "prefecture_name", "safe_rate", "safe_slug", "selector_no", "seq_ratio",
+    "pct_change", "prefecture_name", "safe_rate", "safe_slug", "selector_no", "seq_ratio", "seq_ratio_from",
     "short_hash", "slug_pair", "split_pairs", "strip", "truth", "upload_datetime", "url_host",
 ]

@@ -27,6 +27,20 @@ def seq_ratio(left: pd.Series, right: pd.Series) -> pd.Series:
     )
 
 
+def seq_ratio_from(threshold: float):
+    """The similarity where it reaches ``threshold``; NULL where shared characters, counted once, already say no."""
+
+    @F.pandas_udf(DoubleType())
+    def ratio(left: pd.Series, right: pd.Series) -> pd.Series:
+        def one(a: str, b: str) -> float | None:
+            matcher = difflib.SequenceMatcher(None, a, b)
+            return matcher.ratio() if matcher.quick_ratio() >= threshold else None
+
+        return pd.Series([one(a, b) for a, b in zip(left, right)], dtype="float64")
+
+    return ratio
+
+
 def normalize_name(c: Column, remove_legal: bool = True, unicode_forms: bool = True) -> Column:
     """NFKC, no white space, no legal form; NULL becomes ''.
 

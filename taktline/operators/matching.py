@@ -12,7 +12,7 @@ from functools import cached_property
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from taktline.constants import FUZZY_THRESHOLD, FUZZY_TOP_K
-from taktline.functions import normalize_name, seq_ratio, strip
+from taktline.functions import normalize_name, seq_ratio_from, strip
 from taktline.workspace import Lazy, Workspace
 
 LINK = ("links_operator_id", "operator_name", "prefecture_address", "operator_number", "source_rows")
@@ -35,15 +35,8 @@ def unique_names(links: DataFrame, by: str) -> DataFrame:
 # -- similar names ------------------------------------------------------------
 
 
-def name_tokens(name: Column) -> Column:
-    """Characters with their occurrence number: a multiset as a set."""
-    chars = F.regexp_extract_all(name, F.lit("(?s)."), F.lit(0))
-    return F.transform(
-        chars,
-        lambda c, i: F.concat(
-            c, F.size(F.filter(F.slice(chars, F.lit(1), i), lambda x: x == c)).cast("string")
-        ),
-    )
+DEPTHS = (1, 3, 5)  # characters of a signature
+PAIR_COST = 8  # rows of longer signatures that a pair is worth
 
 
 def _least_overlap(a: Column, b: Column, threshold: float) -> Column:
@@ -51,62 +44,106 @@ def _least_overlap(a: Column, b: Column, threshold: float) -> Column:
     return F.ceil((a + b) * (threshold / 2) - 1e-9).cast("int")
 
 
-def _prefixes(ordered: DataFrame, side: str, own: str, other: str, threshold: float) -> DataFrame:
-    """Rarest tokens of a name, for each length the partner can have.
+def _by_rarity(keys: DataFrame, frequency: DataFrame, threshold: float) -> DataFrame:
+    """Per key its characters (c) and places (p), the rarest first, and the least overlap with any partner."""
+    spread = keys.select("key", F.length("key").alias("n"), F.posexplode(F.split("key", "")).alias("p", "c")).where("c <> ''")
+    order = F.sort_array(F.collect_list(F.struct("freq", "c", "p")))  # as long as the name
+    shortest = threshold / (2 - threshold)
+    return spread.join(frequency, "c").groupBy("key", "n").agg(order.alias("order")).withColumn(
+        "least", F.greatest(F.lit(1), _least_overlap(F.col("n"), F.ceil(F.col("n") * shortest - 1e-9), threshold)))
+
+
+def _room(n: Column | str, least: Column | str, depth: int) -> Column:
+    """Rarest characters among which ``depth`` shared ones stand, whatever the partner."""
+    return F.col(n) - F.greatest(F.col(least), F.lit(depth)) + depth
+
+
+def _longer(rows: DataFrame, ordered: DataFrame, depth: int, rest: int) -> DataFrame:
+    """Signatures with one more character, rarer than none before; ``rest`` more are to follow up to ``depth``."""
+    free = rows.select("key", "j", "marks").join(ordered, "key").withColumn("_room", _room("n", "least", depth) - rest).where("j < _room")
+    return free.select(
+        "key", "n", "least", F.explode(F.sequence(F.col("j") + 1, F.col("_room"))).alias("j"), "marks", "order"
+    ).withColumn("_mark", F.element_at("order", F.col("j"))).select(
+        "key", "n", "least", "j", F.array_sort(F.array_append("marks", F.struct("_mark.p", "_mark.c"))).alias("marks"))
+
+
+def _signed(rows: DataFrame) -> DataFrame:
+    """The signature: characters in the order of the name; and how many others stand between them."""
+    ends = F.concat(F.array(F.lit(-1)), F.transform("marks", lambda m: m["p"]), F.array("n"))
+    gaps = F.zip_with(F.slice(ends, 2, F.size(ends) - 1), F.slice(ends, 1, F.size(ends) - 1), lambda b, a: b - a - 1)
+    return rows.withColumns({"sign": F.array_join(F.transform("marks", lambda m: m["c"]), ""), "gaps": gaps})
+
+
+def _candidates(left: DataFrame, right: DataFrame, depth: int, following: int, threshold: float) -> DataFrame:
+    """Pairs with one signature whose lengths and places leave room for the overlap they need."""
+    sides = [x.select("sign", "crowded", *[F.col(c).alias(f"{s}_{c}") for c in ("key", "n", "j", "gaps")]) for s, x in (("l", left), ("r", right))]
+    need = _least_overlap(F.col("l_n"), F.col("r_n"), threshold)
+    between = F.aggregate(F.zip_with("l_gaps", "r_gaps", lambda a, b: F.least(a, b)), F.lit(0), lambda x, y: x + y)
+    fits = (need <= F.least("l_n", "r_n")) & (F.col("l_j") <= F.col("l_n") - need + depth) & (F.col("r_j") <= F.col("r_n") - need + depth)
+    turn = (need >= depth) & (~F.col("crowded") | (need < following))
+    return sides[0].join(sides[1], ["sign", "crowded"]).where(fits & turn & (between + depth >= need)).select(
+        F.col("l_key").alias("l"), F.col("r_key").alias("r"))
+
 
-    Two sets that share t tokens share one among the first ``size - t + 1``
-    tokens of either, in any common order.
+def candidate_keys(left: DataFrame, right: DataFrame, threshold: float = FUZZY_THRESHOLD, workspace: Workspace | Lazy = Lazy()) -> DataFrame:
+    """Pairs of distinct keys that may reach the ratio, some of them several times.
+
+    The blocks that the ratio counts are a common subsequence. So the ``d`` rarest characters of it, any ``d`` up to the
+    overlap that is needed, stand in both names in the same order and among the rarest characters of either. These
+    characters are a signature, by which names meet. A signature is short where few names have it; where joining its
+    names would cost more than longer signatures would, these take its place (``DEPTHS``). The steps are always written,
+    since each is read several times.
     """
-    shortest = threshold / (2 - threshold)
-    size = F.size("tokens")
-    lengths = F.sequence(
-        F.greatest(F.lit(1), F.ceil(size * shortest - 1e-9).cast("int")),
-        F.floor(size / shortest + 1e-9).cast("int"),
-    )
-    spread = ordered.select(F.col("key").alias(side), size.alias(own), "tokens", F.explode(lengths).alias(other))
-    keep = F.col(own) - _least_overlap(F.col(own), F.col(other), threshold) + 1
-    return spread.where(keep > 0).select(
-        side, own, other, F.posexplode(F.slice("tokens", F.lit(1), keep)).alias(f"{side}_pos", "token")
-    )
+    if isinstance(workspace, Lazy):
+        workspace = Workspace(left.sparkSession)
+    sides = {"l": left, "r": right}
+    keys = {s: workspace.keep(df.select("key").where("key <> ''").distinct(), f"keys-{s}") for s, df in sides.items()}
+    chars = [df.select(F.explode(F.array_distinct(F.split("key", ""))).alias("c")) for df in keys.values()]
+    frequency = chars[0].unionAll(chars[1]).groupBy("c").agg(F.count("*").alias("freq"))
+    ordered = {s: workspace.keep(_by_rarity(df, frequency, threshold), f"order-{s}") for s, df in keys.items()}
+    empty = F.array().cast("array<struct<p: int, c: string>>")
+    rows = {s: df.select("key", F.lit(0).alias("j"), empty.alias("marks")) for s, df in ordered.items()}
+    pairs, had = [], 0
+    for depth, following in zip(DEPTHS, (*DEPTHS[1:], None)):
+        for rest in reversed(range(depth - had)):
+            rows = {s: _longer(rows[s], ordered[s], depth, rest) for s in sides}
+        signed, had = {s: _signed(df) for s, df in rows.items()}, depth
+        if following:
+            free = _room("n", "least", following) - F.col("j")
+            more = F.when(free >= following - depth, free * (free - 1) / 2).otherwise(0)  # two characters are added
+            signed = {s: workspace.keep(df, f"signed-{depth}-{s}") for s, df in signed.items()}
+            size = {s: df.groupBy("sign").agg(F.count("*").alias(f"n_{s}"), F.sum(more).alias(f"more_{s}")) for s, df in signed.items()}
+            crowded = F.col("n_l") * F.col("n_r") * PAIR_COST > F.col("more_l") + F.col("more_r")
+            stats = size["l"].join(size["r"], "sign").select("sign", crowded.alias("crowded"))
+            signed = {s: df.join(stats, "sign") for s, df in signed.items()}
+            rows = {s: df.where("crowded") for s, df in signed.items()}
+            # Of a crowded signature only pairs that need fewer characters than the next ones have are taken here.
+            signed = {s: df.where(~F.col("crowded") | (F.col("least") < following)) for s, df in signed.items()}
+        else:
+            signed = {s: df.withColumn("crowded", F.lit(False)) for s, df in signed.items()}
+        pairs.append(_candidates(signed["l"], signed["r"], depth, following or 0, threshold))
+    out = pairs[0]
+    for more_pairs in pairs[1:]:
+        out = out.unionByName(more_pairs)
+    return out
 
 
-def similar_keys(left: DataFrame, right: DataFrame, threshold: float = FUZZY_THRESHOLD) -> DataFrame:
+def similar_keys(
+    left: DataFrame, right: DataFrame, threshold: float = FUZZY_THRESHOLD, workspace: Workspace | Lazy = Lazy()
+) -> DataFrame:
     """All pairs of distinct keys with a ratio of at least ``threshold``.
 
     Exact: each step before the ratio only removes pairs that cannot reach it.
-    Pairs meet on a rare shared character and both lengths, never all with all.
     """
-    sides = {"l": left, "r": right}
-    tokens = {
-        s: df.select("key").where("key <> ''").distinct().withColumn("tokens", name_tokens(F.col("key")))
-        for s, df in sides.items()
-    }
-    exploded = {s: df.select("key", F.explode("tokens").alias("token")) for s, df in tokens.items()}
-    frequency = exploded["l"].select("token").unionAll(exploded["r"].select("token")).groupBy("token").agg(
-        F.count("*").alias("freq")
-    )
-    # The list per key is as long as the name.
-    ordered = {
-        s: df.join(frequency, "token").groupBy("key").agg(
-            F.transform(F.array_sort(F.collect_list(F.struct("freq", "token"))), lambda t: t["token"]).alias("tokens")
-        )
-        for s, df in exploded.items()
-    }
-    a = _prefixes(ordered["l"], "l", "la", "lb", threshold)
-    b = _prefixes(ordered["r"], "r", "lb", "la", threshold)
-    need = _least_overlap(F.col("la"), F.col("lb"), threshold)
-    reach = F.least(F.col("la") - F.col("l_pos"), F.col("lb") - F.col("r_pos"))
-    pairs = a.join(b, ["token", "la", "lb"]).where(reach >= need).select("l", "r", need.alias("need")).distinct()
-    shared = F.size(F.array_intersect(name_tokens(F.col("l")), name_tokens(F.col("r"))))
+    pairs = candidate_keys(left, right, threshold, workspace).distinct()
     # Declared non-deterministic, or the filter would compute the ratio again.
-    ratio = seq_ratio.asNondeterministic()
-    return pairs.where(shared >= F.col("need")).select(
-        "l", "r", ratio(F.col("l"), F.col("r")).alias("score")
-    ).where(F.col("score") >= threshold)
+    ratio = seq_ratio_from(threshold).asNondeterministic()
+    return pairs.select("l", "r", ratio(F.col("l"), F.col("r")).alias("score")).where(F.col("score") >= threshold)
 
 
 def match_fuzzy(
-    operators: DataFrame, links: DataFrame, threshold: float = FUZZY_THRESHOLD, k: int = FUZZY_TOP_K
+    operators: DataFrame, links: DataFrame, threshold: float = FUZZY_THRESHOLD, k: int = FUZZY_TOP_K,
+    workspace: Workspace | Lazy = Lazy(),
 ) -> DataFrame:
     """The ``k`` most similar companies of an operator, for review only.
 
@@ -118,7 +155,7 @@ def match_fuzzy(
         F.col("_n") <= k
     ).select(F.col("key").alias("r"), *LINK, "row_ix")
     ranked = Window.partitionBy("l").orderBy(F.desc("score"), "operator_name", "row_ix")
-    top = similar_keys(operators, links, threshold).join(best_links, "r").withColumn(
+    top = similar_keys(operators, links, threshold, workspace).join(best_links, "r").withColumn(
         "rank", F.row_number().over(ranked)
     ).where(F.col("rank") <= k).withColumnRenamed("l", "key")
     return operators.join(top.drop("r", "row_ix"), "key")
@@ -210,7 +247,7 @@ class Matching:
     def similar(self) -> DataFrame:
         """Similar companies of the operators that names did not decide."""
         open_ones = self._named.where("name_class IS NULL AND key <> ''")
-        return self.workspace.keep(match_fuzzy(open_ones, self.links), "similar_names")
+        return self.workspace.keep(match_fuzzy(open_ones, self.links, workspace=self.workspace), "similar_names")
 
     @cached_property
     def classes(self) -> DataFrame:

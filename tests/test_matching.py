@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 
 from taktline.constants import LEGAL_FORMS
 from taktline.operators import funnel
-from taktline.operators.matching import Matching, similar_keys
+from taktline.operators.matching import Matching, candidate_keys, similar_keys
+from taktline.workspace import Workspace
 
 OPS = "operator_id STRING, agency_name STRING, agency_url STRING, prefectures STRING"
 LINKS = ("links_operator_id STRING, operator_name STRING, prefecture_address STRING, operator_number STRING, "
@@ -29,10 +30,19 @@ def test_similar_keys_finds_every_pair(spark):
             if score >= 0.55:
                 want[a, b] = score
     frames = [spark.createDataFrame([(x,) for x in s], "key STRING") for s in (left, right)]
-    got = {(r.l, r.r): r.score for r in similar_keys(*frames).collect()}
+    got = {(r.l, r.r): r.score for r in similar_keys(*frames, workspace=Workspace(spark)).collect()}
     assert got == pytest.approx(want) and len(want) > 50
 
 
+def test_few_candidates_and_their_growth(spark):
+    """Distinct random names: a small part of all pairs meets, and not the square of their number."""
+    rng, found = random.Random(5), {}
+    for n in (250, 1000):
+        frames = [spark.createDataFrame([("".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(12)),) for _ in range(n)], "key STRING") for _ in "lr"]
+        found[n] = candidate_keys(*frames, workspace=Workspace(spark)).count()
+    assert found[1000] < 0.05 * 1000**2 and found[1000] < 8 * found[250]
+
+
 def plain_cascade(ops, links, aliases):
     """The rules once more, row by row."""
     def norm(s):

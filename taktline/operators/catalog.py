@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from taktline.constants import ARCHIVE_KEYS, FEED_KEYS
 from taktline.functions import selector_no
+from taktline.sources.archives import file_name, path_key, same_file
 
 A = list(ARCHIVE_KEYS)
 FEED = list(FEED_KEYS)
@@ -48,9 +49,17 @@ def excluded_feeds(
 
 
 def successful_archives(manifest: DataFrame, listing: DataFrame | None = None) -> DataFrame:
-    """Rows fetched with status 200 whose file is in the listing of paths."""
+    """Rows fetched with status 200 whose file is in the listing of paths.
+
+    Listings have absolute paths, often with a scheme; the manifest may have relative ones.
+    """
     fetched = manifest.where(F.col("status") == OK)
-    return fetched if listing is None else fetched.join(listing.select("path"), "path", "left_semi")
+    if listing is None:
+        return fetched
+    there = listing.where("path <> ''").select(path_key(F.col("path")).alias("_there")).withColumn("_there_name", file_name(F.col("_there")))
+    own = fetched.where("path <> ''").withColumn("_key", path_key(F.col("path"))).withColumn("_name", file_name(F.col("_key")))
+    same = same_file(F.col("_key"), F.col("_there"))
+    return own.join(there, (F.col("_name") == F.col("_there_name")) & same, "left_semi").drop("_key", "_name")
 
 
 def anchor_select(registry: DataFrame, versions: DataFrame, anchor: dt.date) -> DataFrame:

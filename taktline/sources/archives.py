@@ -155,19 +155,27 @@ def path_key(path: Column) -> Column:
     return F.regexp_replace(F.regexp_replace(plain, r"/(\./)*/*", "/"), r"^(\./|/)+", "")
 
 
+def file_name(key: Column) -> Column:
+    """Last component of a path key."""
+    return F.element_at(F.split(key, "/"), -1)
+
+
+def same_file(a: Column, b: Column) -> Column:
+    """Two path keys name one file if one ends with the other, whole components only."""
+    slash = F.lit("/")
+    return (a == b) | F.endswith(F.concat(slash, a), F.concat(slash, b)) | F.endswith(F.concat(slash, b), F.concat(slash, a))
+
+
 def _keyed(df: DataFrame, manifest: DataFrame, how: str) -> DataFrame:
     """Rows with the keys of the manifest row of their file.
 
-    Readers give absolute paths; a manifest may have relative ones. They name
-    one file if one ends with the other, whole components only.
+    Readers give absolute paths; a manifest may have relative ones.
     """
-    last = F.element_at(F.split(F.col("_key"), "/"), -1)
-    own = df.drop(*A).withColumn("_key", path_key(F.col("path"))).withColumn("_name", last)
+    own = df.drop(*A).withColumn("_key", path_key(F.col("path"))).withColumn("_name", file_name(F.col("_key")))
     listed = (
         manifest.where("path <> ''").select(*A, path_key(F.col("path")).alias("_listed"))
-        .withColumn("_listed_name", F.element_at(F.split("_listed", "/"), -1)))
-    same = (F.col("_key") == F.col("_listed")) | F.endswith(F.concat(F.lit("/"), "_key"), F.concat(F.lit("/"), "_listed")) \
-        | F.endswith(F.concat(F.lit("/"), "_listed"), F.concat(F.lit("/"), "_key"))
+        .withColumn("_listed_name", file_name(F.col("_listed"))))
+    same = same_file(F.col("_key"), F.col("_listed"))
     return own.join(listed, (F.col("_name") == F.col("_listed_name")) & same, how).drop("_key", "_name", "_listed", "_listed_name")
 
 

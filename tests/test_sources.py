@@ -228,3 +228,14 @@ def test_damaged_archive_is_an_error_and_in_no_metric(spark, folder):
     versions = {r.version_selector: r for r in past["gtfs_history_versions"].collect()}
     assert versions["current"].classification == "analysis_error" and versions["current"].error
     assert versions["prev_1"].classification == "latest_distinct_generation" and versions["prev_1"].error is None
+
+
+def test_listing_with_schemes_meets_relative_paths(spark):
+    from taktline.operators.catalog import successful_archives
+
+    manifest = spark.createDataFrame(
+        [("a", "data/o/a.zip", "200"), ("b", "data\\o\\b.zip", "200"), ("c", "data/o/c.zip", "200"), ("d", "/abs/data/d.zip", "200"), ("e", "data/o/e.zip", "404"), ("f", "", "200")],
+        "feed_id string, path string, status string")
+    listing = spark.createDataFrame([(p,) for p in ("file:/srv/data/o/a.zip", "file:///srv/data/o/b.zip", "file:/srv/data/xo/c.zip", "/abs/data/d.zip", "file:/srv/data/o/e.zip", "file:/srv/data/o/a.zip", "")], "path string")
+    got = successful_archives(manifest, listing)
+    assert got.columns == manifest.columns and sorted(r.feed_id for r in got.collect()) == ["a", "b", "d"]

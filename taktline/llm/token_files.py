@@ -27,10 +27,10 @@ import struct
 import zlib
 from collections.abc import Iterator
 from functools import lru_cache
-from itertools import chain
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -44,7 +44,7 @@ SHARD_IDS = 4 << 20
 BUCKET_KEYS = 1 << 12
 CACHED = 600_000  # units of one generation kept with their ids in one Python worker; there are two
 TOGETHER = 20_000  # new units in one text for the tokenizer
-BATCH_CHARS = 1 << 20  # of texts that are encoded together
+BATCH_CHARS = 8 << 20  # of texts that are encoded together
 MAGIC = b"TOKENID1"
 HEAD = struct.Struct("<8sqqqq")
 END_MARK = "\n.tokens\n"
@@ -56,6 +56,7 @@ DOCUMENTS = "shard long, row long, run_row long, doc_id long, offset long, n_tok
 # A blank before a character that is no white space always begins a pre-token of the tokenizer file.
 _UNIT = re.compile(r"(?<!^)(?= [^\s\x1c-\x1f\x85])")
 _WIDE = re.compile(r" (?:[\s\x1c-\x1f\x85]|\Z)")
+UNITS = pa.large_list(pa.large_string())
 _FIRST = "\x00"  # in front of what stands before the first unit of a text
 
 
@@ -94,22 +95,34 @@ class UnitEncoder:
             packed, cuts = ids.tobytes(), (np.append(0, at + 1) * ids.itemsize).tolist()
             self.known.update((u, packed[a:b]) for u, a, b in zip(some, cuts, cuts[1:]))
 
-    def encode_all(self, texts: list[str]) -> list[bytes]:
-        split = []
-        for text in texts:
-            units = [u[i > 0 :] for i, u in enumerate(_UNIT.split(text))] if _WIDE.search(text) else text.split(" ")
-            units[0] = _FIRST + units[0]
-            split.append(units)
-        get = self.known.__getitem__
-        missing = [u for u in set(chain.from_iterable(split)) if u not in self.known]
-        self.known.update((u, self.older[u]) for u in missing if u in self.older)
-        if new := [u for u in missing if u not in self.older]:
-            self._learn(new)
-        out = [b"".join(map(get, units)) for units in split]
+    def _packed(self, units: list[str]) -> list[bytes]:
+        """Ids of distinct units."""
+        out = list(map(self.known.get, units))
+        if missing := [i for i, ids in enumerate(out) if ids is None]:
+            older = {u: ids for u in map(units.__getitem__, missing) if (ids := self.older.get(u)) is not None}
+            self.known.update(older)
+            if new := [u for u in map(units.__getitem__, missing) if u not in older]:
+                self._learn(new)
+            for i in missing:
+                out[i] = self.known[units[i]]
         if len(self.known) > CACHED:
             self.known, self.older = {}, self.known
         return out
 
+    def encode_all(self, texts: list[str]) -> list[bytes]:
+        """Units are named by a dictionary array, so that Python sees each of them once per call."""
+        wide = [bool(_WIDE.search(text)) for text in texts]
+        plain = pa.array([_FIRST + text for text, w in zip(texts, wide) if not w], pa.large_string())
+        split = [[u[i > 0 :] for i, u in enumerate(_UNIT.split(_FIRST + text))] for text, w in zip(texts, wide) if w]
+        lists = pa.concat_arrays([pc.split_pattern(plain, " ").cast(UNITS), pa.array(split, UNITS)])
+        named = lists.values.dictionary_encode()
+        packed = pa.array(self._packed(named.dictionary.to_numpy(zero_copy_only=False).tolist()), pa.large_binary()).take(named.indices)
+        data, ends = memoryview(packed.buffers()[2] or b""), np.frombuffer(packed.buffers()[1], np.int64, len(packed) + 1, 8 * packed.offset)
+        cuts = ends[lists.offsets.to_numpy()].tolist()
+        parts = [bytes(data[a:b]) for a, b in zip(cuts, cuts[1:])]
+        narrow, broad = iter(parts), iter(parts[len(plain) :])
+        return [next(broad if w else narrow) for w in wide]
+
 
 @lru_cache(maxsize=1)
 def encoder_of(path: str, kind: str) -> UnitEncoder:

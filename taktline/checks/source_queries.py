@@ -6,6 +6,7 @@ import io
 import zipfile
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import functions as F
 from pyspark.sql.types import BinaryType
 
@@ -18,7 +19,7 @@ from taktline.checks.views import text
 from taktline.constants import ARCHIVE_KEYS
 from taktline.plans.history import version_metrics
 from taktline.schemas import LINKS_OPERATORS, LINKS_ROWS
-from taktline.sources import archives as src, lists, registry as reg, tables
+from taktline.sources import archives as src, lists, members, registry as reg, tables
 
 A = list(ARCHIVE_KEYS)
 
@@ -347,6 +348,44 @@ def _(v: Views):
     return src.links_status(files).select(F.regexp_extract("path", "(f[0-9]+)[.]", 1).alias("name"), "status", "rows")
 
 
+# -- archives that are read member by member -------------------------------------
+
+ARCHIVE_ORDERS = 1000  # order keys in one archive
+
+
+def _zip_orders(group: pa.Table) -> pa.Table:
+    """One archive of the orders in a range of keys; a seventh of them is cut off in the middle."""
+    no = group.column("no")[0].as_py()
+    trips = sorted(zip(group.column("o_orderkey").to_pylist(), group.column("o_custkey").to_pylist()))
+    out = io.BytesIO()
+    with zipfile.ZipFile(out, "w", zipfile.ZIP_DEFLATED) as archive:
+        archive.writestr("Trips.txt", "trip_id,note,route_id,service_id\n" + "".join(f't{o},"a, ""b""\n",r{c},f{no}\n' for o, c in trips))
+        archive.writestr("stop_times.txt", "trip_id,stop_sequence,arrival_time\n" + "".join(f"t{o},{i},8:0{i}:00\n" for o, _ in trips for i in range(3)))
+    data = out.getvalue()
+    return pa.table({"value": pa.array([data[: len(data) // 2] if no % 7 == 0 else data], pa.binary())})
+
+
+@query("archive_member_rows", "", f"""
+SELECT 'trips' AS member, 't' || o_orderkey AS trip_id, 'r' || o_custkey AS detail FROM orders WHERE o_orderkey // {ARCHIVE_ORDERS} % 7 <> 0
+UNION ALL SELECT 'stop_times', 't' || o_orderkey, CAST(28800 + 60 * i AS VARCHAR) FROM orders, (SELECT unnest([0, 1, 2]) AS i)
+WHERE o_orderkey // {ARCHIVE_ORDERS} % 7 <> 0
+UNION ALL SELECT 'error', NULL, NULL FROM (SELECT DISTINCT o_orderkey // {ARCHIVE_ORDERS} AS no FROM orders) WHERE no % 7 = 0""")
+def _(v: Views):
+    folder = f"{v.workspace.folder}/archives"
+    grouped = v.table("orders").select("o_orderkey", "o_custkey", F.floor(F.col("o_orderkey") / ARCHIVE_ORDERS).alias("no")).groupBy("no")
+    # Spark's text writer puts files in any store; readers of ZIP files look for the directory from the end.
+    (grouped.applyInArrow(_zip_orders, "value binary").select(F.col("value").cast("string"))
+     .write.option("maxRecordsPerFile", 1).text(folder))
+    files = members.list_archives(v.spark, folder).select(
+        F.lit("o").alias("organization_id"), F.col("path").alias("feed_id"), F.lit("current").alias("version_selector"), "path")
+    archives = members.Archives(files, v.workspace)
+    tables_ = archives.tables()
+    trips = tables_["trips"].select(F.lit("trips").alias("member"), "trip_id", F.col("route_id").alias("detail"))
+    times = tables_["stop_times"].select(F.lit("stop_times"), "trip_id", F.col("arrival_sec").cast("string"))
+    none = F.lit(None).cast("string")
+    return trips.union(times).union(archives.errors().select(F.lit("error"), none, none))
+
+
 # -- tables of text with an order, and tables without rows ---------------------
 
 

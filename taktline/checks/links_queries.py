@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from taktline.checks.catalog_views import ANCHOR
 from taktline.checks.links_views import LinksViews as Views, permit_sql, rollup_sql, sql_norm, sql_valued
 from taktline.checks.registry import query
 from taktline.checks.views import text
@@ -314,13 +315,15 @@ def indicators_sql() -> str:
             rows.append(lead + f"""{n} AS operators_with_required_data,
   CASE WHEN {n} > 0 THEN 'partially_possible_GTFS_only' ELSE 'not_confirmed_in_downloaded_GTFS_history' END AS feasibility,
   CASE WHEN {n} > 0 THEN '一部可能（GTFS時刻表だけで供給量前年比を確認）' ELSE '今回の取得履歴では未確認' END AS requested_category,
-  'measured_from_GTFS_history' AS true_population_count_status FROM first_record""")
+  'measured_from_GTFS_history' AS true_population_count_status,
+  'Measured from distinct dated timetables in all component feeds; LINKs is not required for this GTFS-only change.' AS limitations FROM first_record""")
         else:
             n = rule[kind]
             rows.append("(" + lead + f"""{n} AS operators_with_required_data,
   CASE WHEN {n} > 0 THEN 'partially_possible; exact numerator/denominator matching must be checked' ELSE 'not_computable_from_measured_rows' END AS feasibility,
   CASE WHEN {n} > 0 THEN '一部可能' ELSE '不可能（今回実査した行では計算不可）' END AS requested_category,
-  'measured_from_source_rows' AS true_population_count_status FROM flags{' LIMIT 1' if kind == 'none' else ''})""")
+  'measured_from_source_rows' AS true_population_count_status,
+  'Computed count is a conservative row-availability count, not a claim that the ratio is comparable across permit classes.' AS limitations FROM flags{' LIMIT 1' if kind == 'none' else ''})""")
     return " UNION ALL ".join(rows)
 
 
@@ -349,20 +352,27 @@ COUNTS = {
     "history_3": "(SELECT count(*) FROM history_summary WHERE years_3plus_all_feeds)",
     None: "CAST(NULL AS BIGINT)",
 }
+
+
+def note_sql(text: str) -> str:
+    most = "(SELECT coalesce(max(feed_count), 0) FROM operators)"
+    return "'" + text.replace("'", "''").replace("{anchor}", str(ANCHOR)).replace("{max_feeds}", f"' || {most} || '") + "'"
+
+
 AUDIT = "registry selection agency_records operators history_summary"
 
 
 @query("data_gap_summary", AUDIT, " UNION ALL ".join(
     f"SELECT '{gap}' AS gap_or_grain, {COUNTS[n]} AS count, {COUNTS[d]} AS denominator, "
-    f"round({COUNTS[n]}::DOUBLE / nullif({COUNTS[d]}, 0), 4) AS rate, '{unit}' AS unit, '{status}' AS status"
+    f"round({COUNTS[n]}::DOUBLE / nullif({COUNTS[d]}, 0), 4) AS rate, '{unit}' AS unit, '{status}' AS status, {note_sql(funnel.GAP_NOTES[gap])} AS note"
     for gap, n, d, unit, status in funnel.GAPS))
 def _(v: Views):
-    return funnel.data_gap_summary(v.audit_counts)
+    return funnel.data_gap_summary(v.audit_counts, ANCHOR)
 
 
 @query("grain_summary", AUDIT, " UNION ALL ".join(
     f"SELECT '{grain}' AS grain, {COUNTS[n]} AS count, '{unit}' AS unit, "
-    + ("'Maximum feed count=' || (SELECT max(feed_count) FROM operators)" if n == "multi_feed" else "''") + " AS note"
+    f"{note_sql(funnel.GRAIN_NOTES[grain])} AS note"
     for grain, n, unit in funnel.GRAINS))
 def _(v: Views):
     return funnel.grain_summary(v.audit_counts)

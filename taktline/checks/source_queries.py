@@ -365,17 +365,31 @@ def _zip_orders(group: pa.Table) -> pa.Table:
     return pa.table({"value": pa.array([data[: len(data) // 2] if no % 7 == 0 else data], pa.binary())})
 
 
+def _order_archives(v: Views) -> str:
+    """A folder of archives made of all orders."""
+    folder = f"{v.workspace.folder}/archives"
+    grouped = v.table("orders").select("o_orderkey", "o_custkey", F.floor(F.col("o_orderkey") / ARCHIVE_ORDERS).alias("no")).groupBy("no")
+    # Spark's text writer puts files in any store; readers of ZIP files look for the directory from the end.
+    (grouped.applyInArrow(_zip_orders, "value binary").select(F.col("value").cast("string"))
+     .write.option("maxRecordsPerFile", 1).text(folder))
+    return folder
+
+
+@query("archive_member_names", "", f"""
+SELECT CASE WHEN no % 7 <> 0 THEN 'Trips.txt|stop_times.txt' END AS gtfs_members, no % 7 = 0 AS failed, count(*) AS archives
+FROM (SELECT DISTINCT o_orderkey // {ARCHIVE_ORDERS} AS no FROM orders) GROUP BY 1, 2""")
+def _(v: Views):
+    names = members.member_names(members.list_archives(v.spark, _order_archives(v)))
+    return names.groupBy("gtfs_members", F.col("error").isNotNull().alias("failed")).agg(F.count("*").alias("archives"))
+
+
 @query("archive_member_rows", "", f"""
 SELECT 'trips' AS member, 't' || o_orderkey AS trip_id, 'r' || o_custkey AS detail FROM orders WHERE o_orderkey // {ARCHIVE_ORDERS} % 7 <> 0
 UNION ALL SELECT 'stop_times', 't' || o_orderkey, CAST(28800 + 60 * i AS VARCHAR) FROM orders, (SELECT unnest([0, 1, 2]) AS i)
 WHERE o_orderkey // {ARCHIVE_ORDERS} % 7 <> 0
 UNION ALL SELECT 'error', NULL, NULL FROM (SELECT DISTINCT o_orderkey // {ARCHIVE_ORDERS} AS no FROM orders) WHERE no % 7 = 0""")
 def _(v: Views):
-    folder = f"{v.workspace.folder}/archives"
-    grouped = v.table("orders").select("o_orderkey", "o_custkey", F.floor(F.col("o_orderkey") / ARCHIVE_ORDERS).alias("no")).groupBy("no")
-    # Spark's text writer puts files in any store; readers of ZIP files look for the directory from the end.
-    (grouped.applyInArrow(_zip_orders, "value binary").select(F.col("value").cast("string"))
-     .write.option("maxRecordsPerFile", 1).text(folder))
+    folder = _order_archives(v)
     files = members.list_archives(v.spark, folder).select(
         F.lit("o").alias("organization_id"), F.col("path").alias("feed_id"), F.lit("current").alias("version_selector"), "path")
     archives = members.Archives(files, v.workspace)

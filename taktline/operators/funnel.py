@@ -170,10 +170,20 @@ INDICATORS = [
 ]
 
 
+# What the count of an indicator does not say.
+LIMITATIONS = {
+    "supply_without_links": "Computed only from dated distinct GTFS schedule generations; no LINKS values are implied.",
+    "supply": "Measured from distinct dated timetables in all component feeds; LINKs is not required for this GTFS-only change.",
+    "no_history": "GTFS history metrics have not been generated.",
+    "no_links": "0 confirmed computable from retrieved bytes; the true availability in the inaccessible LINKS CSV remains unknown.",
+    "rows": "Computed count is a conservative row-availability count, not a claim that the ratio is comparable across permit classes.",
+}
+
+
 def indicator_feasibility(
     flags: DataFrame, supply: DataFrame | None, available: bool = True
 ) -> DataFrame:
-    """For ten indicators: operators that have the data, and a status."""
+    """For ten indicators: operators that have the data, a status, and what the count does not say."""
     year = F.col("transport_complete") & F.col("overview_present")
     driver = F.col("transport_complete") & F.col("driver_complete")
     tagged = flags.select(year.alias("year"), driver.alias("driver"), F.lit(False).alias("supply"))
@@ -198,11 +208,12 @@ def indicator_feasibility(
             population = "measured_from_GTFS_history" if supply is not None else (
                 "measured_from_source_rows"
             )
+            limit = "no_history" if supply is None else "supply" if available else "supply_without_links"
         elif not available:
             count = _null("bigint")
             status = F.lit("not_computable_from_acquired_data_LINKS_source_unavailable")
             category = F.lit("不可能（今回取得データだけでは計算不可）")
-            population = "unknown_LINKS_source_unavailable"
+            population, limit = "unknown_LINKS_source_unavailable", "no_links"
         else:
             count = _null("bigint") if rule == "none" else F.col(rule)
             some = F.coalesce(count > 0, F.lit(False))
@@ -210,12 +221,13 @@ def indicator_feasibility(
                 some, "partially_possible; exact numerator/denominator matching must be checked"
             ).otherwise("not_computable_from_measured_rows")
             category = F.when(some, "一部可能").otherwise("不可能（今回実査した行では計算不可）")
-            population = "measured_from_source_rows"
+            population, limit = "measured_from_source_rows", "rows"
         rows.append(
             F.struct(
                 F.lit(code).alias("indicator"), F.lit(name).alias("name"), status.alias("feasibility"),
                 category.alias("requested_category"), count.alias("operators_with_required_data"),
                 F.lit(population).alias("true_population_count_status"), F.lit(needs).alias("required_data"),
+                F.lit(LIMITATIONS[limit]).alias("limitations"),
             )
         )
     return counts.select(F.inline(F.array(*rows)))
@@ -309,17 +321,58 @@ GRAINS = [
     ("LINKS source grain", None, "unknown"),
 ]
 
+# What a gap is and what it is not. ``{anchor}`` and ``{max_feeds}`` are filled in.
+GAP_NOTES = {
+    "gtfs_registry_records": "Registry rows are feed records, not operators.",
+    "gtfs_archive_valid_on_anchor": "Selected archives have an internal feed_info validity window containing {anchor}.",
+    "gtfs_marked_discontinued_excluded": "Discontinued on/before anchor or discontinuation date unknown.",
+    "gtfs_no_downloaded_archive_valid_on_anchor": "See anchor_feed_selection.csv for each feed's metadata and validity.",
+    "gtfs_selected_feed_with_bus_route_type": "A feed can contain multiple agency rows; this is not a bus-operator count.",
+    "gtfs_named_bus_agency_feed_pairs": "One agency/feed pair may yield multiple agency rows.",
+    "gtfs_selected_feed_without_bus_route_type": "No route with route_type 3, 11, or 700-799.",
+    "gtfs_feeds_with_multiple_bus_agency_rows": "Multiple distinct agency rows in one feed are preserved, not collapsed.",
+    "gtfs_bus_agency_entities_without_LINKS_comparison": "0 confirmed matches; true match count unknown, not Match E.",
+    "links_dataset_rows_or_operator_count": "Unknown, not zero; public CKAN API and resource URL returned HTTP 403.",
+    "links_driver_count_completeness": "The 2025 CSV column, year, nonblank count, and grain were not inspectable.",
+    "gtfs_entities_without_dated_schedule_metrics": "Missing/incomplete calendar validity yields blank metrics, not zero.",
+    "gtfs_agency_name_municipal_suffix_signal": "agency_name ends in 市/区/町/村; this is not proof of legal operator identity.",
+    "gtfs_agency_name_council_signal": "agency_name contains 協議会; actual operating company remains unverified.",
+    "gtfs_entities_with_multiple_feeds": "Maximum component feeds per entity={max_feeds}; feed rows are preserved; agency totals are raw feed sums.",
+    "gtfs_history_2plus_years_all_component_feeds": "GTFS-only history; does not imply LINKS or driver completeness.",
+    "gtfs_history_3plus_years_all_component_feeds": "GTFS-only history; does not imply LINKS or driver completeness.",
+}
+# What is counted at a grain.
+GRAIN_NOTES = {
+    "registry feed-pairs": "Official API rows; not operator count.",
+    "anchor-valid ZIP feed archives": "Current public ZIP with internal feed_info validity at anchor.",
+    "selected bus agency.txt rows": "Preserved at feed/agency grain.",
+    "selected bus feeds containing agency_name": "Distinct organization_id/feed_id pairs represented in agency-level output.",
+    "feeds with multiple bus agency rows": "These feeds contribute more than one agency row; examples remain in gtfs_agency_metrics.csv.",
+    "agency-derived entities": "Not legal-operator verified.",
+    "distinct raw agency_name strings": "A name may appear in multiple publisher-qualified entities.",
+    "entities with multiple component feeds": "Maximum feed count={max_feeds}; component feed IDs and per-feed rows remain in metrics.",
+    "municipal-suffix names": "Name signal only; not an entity type determination.",
+    "council-name signal": "Name signal only; actual operating company unresolved.",
+    "LINKS source grain": "Cannot distinguish operator/region/branch/permit repetition without CSV and specification.",
+}
+
+
+def _note(text: str, anchor: object = "") -> Column:
+    most = F.coalesce(F.col("m")["max_feeds"], F.lit(0)).cast("string")
+    return F.replace(F.lit(text.replace("{anchor}", str(anchor))), F.lit("{max_feeds}"), most)
+
 
 def _measure(name: str | None) -> Column:
     return _null("bigint") if name is None else F.col("m")[name]
 
 
-def data_gap_summary(counts: DataFrame) -> DataFrame:
-    """Seventeen gaps with count, denominator and rate."""
+def data_gap_summary(counts: DataFrame, anchor: object) -> DataFrame:
+    """Seventeen gaps with count, denominator, rate and a note; ``anchor`` is the date the archives were selected for."""
     rows = [
         F.struct(
             F.lit(gap).alias("gap_or_grain"), _measure(n).alias("count"), _measure(d).alias("denominator"),
             safe_rate(_measure(n), _measure(d)).alias("rate"), F.lit(unit).alias("unit"), F.lit(status).alias("status"),
+            _note(GAP_NOTES[gap], anchor).alias("note"),
         )
         for gap, n, d, unit, status in GAPS
     ]
@@ -328,13 +381,10 @@ def data_gap_summary(counts: DataFrame) -> DataFrame:
 
 def grain_summary(counts: DataFrame) -> DataFrame:
     """Eleven grains that must never be mixed, with their counts."""
-    note = {
-        "multi_feed": F.concat(F.lit("Maximum feed count="), F.col("m")["max_feeds"].cast("string")),
-    }
     rows = [
         F.struct(
             F.lit(grain).alias("grain"), _measure(n).alias("count"), F.lit(unit).alias("unit"),
-            note.get(n, F.lit("")).alias("note"),
+            _note(GRAIN_NOTES[grain]).alias("note"),
         )
         for grain, n, unit in GRAINS
     ]

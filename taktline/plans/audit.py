@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import datetime as dt
+
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from taktline.operators import funnel, links
@@ -21,9 +23,14 @@ NO_MATCH = "operator_id STRING, match_class STRING, links_operator_id STRING, li
 def audit_run(
     spark: SparkSession, operators: DataFrame, history: DataFrame, supply: DataFrame | None,
     records: DataFrame | None, registry: DataFrame, aliases: DataFrame | None = None,
-    workspace: Workspace | Lazy = Lazy(), blank_rule: str = "strict",
+    workspace: Workspace | Lazy = Lazy(), blank_rule: str = "strict", current: dict[str, DataFrame] | None = None,
+    anchor: dt.date | None = None, status: DataFrame | None = None,
 ) -> dict[str, DataFrame]:
-    """``records`` is None when the statistics were not obtained; ``blank_rule``: see ``transport_complete``."""
+    """``records`` is None when the statistics were not obtained; ``blank_rule``: see ``transport_complete``.
+
+    ``current`` (results of ``current_service`` on ``anchor``) adds the gap and grain tables, ``status`` the outcome of
+    each statistics file.
+    """
     available = records is not None
     if available:
         rows = workspace.keep(links.links_rows(records), "links_rows")
@@ -56,6 +63,14 @@ def audit_run(
         "indicator_feasibility": funnel.indicator_feasibility(flags, supply, available),
         "verdict": funnel.verdict(flags, available),
     }
+    if current is not None:
+        counts = workspace.keep(funnel.audit_counts(
+            registry, current["anchor_feed_selection"], current["gtfs_feed_metrics"], current["gtfs_agency_metrics"],
+            operators, history), "audit_counts")
+        results["data_gap_summary"] = funnel.data_gap_summary(counts, anchor)
+        results["grain_summary"] = funnel.grain_summary(counts)
+    if status is not None:
+        results["links_file_status"] = status
     results["normalized_gtfs_operators"] = links.normalized_operators(operators)
     if available:
         results["normalized_links_rows"] = links.row_normalization(records)

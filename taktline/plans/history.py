@@ -15,13 +15,22 @@ from taktline.workspace import Lazy, Workspace
 A = list(ARCHIVE_KEYS)
 
 
-def signed_versions(manifest: DataFrame, members: DataFrame, listing: DataFrame | None = None) -> DataFrame:
-    """Successful archives with signatures and the dates in their file names."""
+def signed_versions(
+    manifest: DataFrame, members: DataFrame, listing: DataFrame | None = None, names: DataFrame | None = None
+) -> DataFrame:
+    """Successful archives with signatures, the dates in their file names and the names of their members.
+
+    ``names``: archive keys and ``gtfs_members``. Without it, and where an archive has no signature, the names are NULL.
+    """
     signatures = digest.timetable_signature(digest.member_digests(members))
     name = disposition_filename(F.col("content_disposition"), F.col("path"))
-    return catalog.successful_archives(manifest, listing).join(signatures, A, "left").withColumns(
+    versions = catalog.successful_archives(manifest, listing).join(signatures, A, "left").withColumns(
         {"upload_utc": upload_datetime(name), "effective_start": effective_date(name)}
     )
+    if names is None:
+        return versions.withColumn("gtfs_members", F.lit(None).cast("string"))
+    one = names.groupBy(*A).agg(F.max("gtfs_members").alias("gtfs_members"))
+    return versions.join(one, A, "left").withColumn("gtfs_members", F.expr("if(timetable_signature IS NOT NULL, gtfs_members, NULL)"))
 
 
 def version_metrics(
@@ -42,17 +51,17 @@ def version_metrics(
 def history_run(
     registry: DataFrame, manifest: DataFrame, coverage: DataFrame, members: DataFrame,
     agency_metrics: DataFrame, workspace: Workspace | Lazy = Lazy(), listing: DataFrame | None = None,
-    operators: DataFrame | None = None,
+    operators: DataFrame | None = None, names: DataFrame | None = None,
 ) -> dict[str, DataFrame]:
     """All history results; ``agency_metrics`` are those of the current run.
 
     ``operators`` (those of the current run) give names, prefectures and feeds
-    to the operator tables. An archive that could not be read is a version with ``analysis_error`` and
+    to the operator tables; ``names`` (``members.member_names``) gives ``gtfs_members``. An archive that could not be read is a version with ``analysis_error`` and
     is left out of everything else.
     """
     members, errors = split_errors(members)
     errors = workspace.keep(errors.select(*A, "path", "error"), "version_errors")
-    signed = signed_versions(manifest, members, listing).join(errors.select(*A, "error"), A, "left")
+    signed = signed_versions(manifest, members, listing, names).join(errors.select(*A, "error"), A, "left")
     classified = workspace.keep(history.version_classify(signed), "versions")
     timetable = typed_timetable(members, classified)
     metrics = workspace.keep(

@@ -92,6 +92,26 @@ def _entries(path: str, wanted: frozenset[str]) -> Iterator[tuple[str, str, int]
                 yield member, info.filename, info.file_size
 
 
+def member_names(files: DataFrame) -> DataFrame:
+    """All member names of each archive (archive keys if known, path) in the order of its directory, joined by ``|``;
+    an archive whose directory cannot be read has NULL and an error."""
+    own = [*(k for k in A if k in files.columns), "path"]
+    schema = "".join(f"{k} string, " for k in own) + "gtfs_members string, error string"
+    arrow = pa.schema([(k, pa.string()) for k in (*own, "gtfs_members", "error")])
+
+    def names(path: str) -> tuple[str | None, str | None]:
+        try:
+            with _open(path) as file, zipfile.ZipFile(file) as archive:
+                return "|".join(archive.namelist()), None
+        except Exception as error:
+            return None, repr(error)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        return src._batches(((*row, *names(row[-1])) for batch in batches for row in zip(*(c.to_pylist() for c in batch.columns))), arrow)
+
+    return files.select(*own).repartition(files.sparkSession.sparkContext.defaultParallelism).mapInArrow(run, schema)
+
+
 def _lines(path: str, name: str, columns: tuple[str, ...]) -> Iterator[tuple]:
     """Number and wanted cells of each record."""
     with _open(path) as file, zipfile.ZipFile(file) as archive, archive.open(name) as binary:

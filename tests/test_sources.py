@@ -8,11 +8,12 @@ import pytest
 from pyspark.sql import functions as F
 
 from taktline.operators import links
+from taktline.plans import outputs
 from taktline.plans.audit import audit_run
 from taktline.plans.catalog import fetch_plan, record_fetch
 from taktline.plans.current import current_service
 from taktline.plans.history import history_run
-from taktline.sources import archives as src, lists, registry as reg, tables
+from taktline.sources import archives as src, lists, members as members_of, registry as reg, tables
 from taktline.workspace import Workspace
 
 FEED = {
@@ -166,7 +167,23 @@ def test_three_runs_from_end_to_end(spark, folder):
     full = {(r.source_file, r.field): r for r in audit["field_completeness"].collect()}
     row = full["yusoujisseki.csv", "passenger_count"]
     assert (row.rows_total, row.rows_nonblank, row.unique_operator_ids_nonblank) == (3, 2, 1)
-    none = audit_run(spark, now["gtfs_operator_metrics"], past["gtfs_history_summary"], None, None, feeds)
+    assert {r.limitations[:14] for r in audit["indicator_feasibility"].collect()} == {"Measured from ", "Computed count"}
+    none = audit_run(
+        spark, now["gtfs_operator_metrics"], past["gtfs_history_summary"], None, None, feeds, current=now, anchor=dt.date(2026, 9, 29))
+    notes = {r.gap_or_grain: (r["count"], r.note) for r in none["data_gap_summary"].collect()}
+    assert notes["gtfs_archive_valid_on_anchor"] == (1, "Selected archives have an internal feed_info validity window containing 2026-09-29.")
+    assert notes["gtfs_entities_with_multiple_feeds"][1].startswith("Maximum component feeds per entity=1;") and len(notes) == 17
+    assert all(r.note for r in none["grain_summary"].collect())
+    assert {r.limitations[:4] for r in none["indicator_feasibility"].collect()} == {"GTFS", "0 co"}
+    listed = members_of.member_names(members_of.list_archives(spark, f"file:{folder}/gtfs", "*.zip"))
+    named = history_run(feeds, log, coverage, members, now["gtfs_agency_metrics"], Workspace(spark),
+                        names=src.keyed_files(listed, log))["gtfs_history_versions"].collect()
+    for r in named:
+        assert r.gtfs_members == "|".join(zipfile.ZipFile(folder / "gtfs" / f"o__f__{r.version_selector}.zip").namelist())
+    outputs.write_current(spark, now, dt.date(2026, 9, 29), f"file:{folder}/out")
+    assert spark.read.json(f"file:{folder}/out/run_metadata").first().asDict(True) == {
+        **meta.asDict(True), "selected_archive_versions": {"current": 1}}
+    assert spark.read.parquet(f"file:{folder}/out/gtfs_agency_metrics").count() == 1
     assert {r.rows_total for r in none["field_completeness"].collect()} == {None}
     assert [r.operator_count for r in none["funnel_summary"].collect()] == [1] + [None] * 6
 

@@ -19,7 +19,7 @@ from taktline.checks.views import text
 from taktline.constants import ARCHIVE_KEYS
 from taktline.plans.history import version_metrics
 from taktline.schemas import LINKS_OPERATORS, LINKS_ROWS
-from taktline.sources import archives as src, lists, members, registry as reg, tables
+from taktline.sources import archives as src, csv_ranges, lists, members, registry as reg, tables
 
 A = list(ARCHIVE_KEYS)
 
@@ -365,6 +365,21 @@ def _zip_orders(group: pa.Table) -> pa.Table:
     return pa.table({"value": pa.array([data[: len(data) // 2] if no % 7 == 0 else data], pa.binary())})
 
 
+@query("src_links_ranges", "", """
+SELECT 'transport_performance' AS dataset, 'order' || o_orderkey AS name, 'a, "b"' || chr(10) || o_orderpriority AS permit,
+       row_number() OVER (ORDER BY o_orderkey) AS source_row FROM orders""")
+def _(v: Views):
+    folder = f"{v.workspace.folder}/transport"
+    v.table("orders").repartition(1).sortWithinPartitions("o_orderkey").select(
+        text("order", "o_orderkey").alias("事業者名"), F.concat(F.lit('a, "b"\n'), "o_orderpriority").alias("事業区分"),
+    ).write.option("escape", '"').csv(folder, header=True)
+    row = F.col("row")
+    # Records hold line ends, and ranges are short, so that most begin within a record.
+    found = csv_ranges.Statistics(v.spark, folder, v.workspace, range_bytes=1 << 16)
+    return found.records().where("row IS NOT NULL").select(
+        F.lit("transport_performance").alias("dataset"), row["事業者名"].alias("name"), row["事業区分"].alias("permit"), "source_row")
+
+
 def _order_archives(v: Views) -> str:
     """A folder of archives made of all orders."""
     folder = f"{v.workspace.folder}/archives"

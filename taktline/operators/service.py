@@ -37,6 +37,16 @@ class Timetable:
     feed_info: DataFrame
 
 
+def _service_set() -> list[Column]:
+    """Name of the set of services of a group: its size and two 64-bit hashes that do not depend on the order."""
+    service = F.col("service_id")
+    return [
+        F.count("*").alias("n"),
+        F.bit_xor(F.xxhash64(service)).alias("x1"),
+        F.bit_xor(F.xxhash64(F.lit("second"), service)).alias("x2"),
+    ]
+
+
 class ServiceModel:
     """The steps of the service metrics, shared by all results built on them.
 
@@ -50,6 +60,12 @@ class ServiceModel:
         self.workspace = workspace
         self._block_args = block_args
 
+    def _ahead(self, *names: str) -> None:
+        """Make steps that do not need each other side by side, those that are not made yet."""
+        missing = [n for n in names if n not in self.__dict__]
+        if missing and not isinstance(self.workspace, Lazy):
+            self.workspace.together(*(lambda n=n: getattr(self, n) for n in missing))
+
     @cached_property
     def _agency_ids(self) -> DataFrame:
         return rt.archive_agency_ids(self.timetable.agency)
@@ -71,11 +87,18 @@ class ServiceModel:
     def trip_lookup(self) -> DataFrame:
         return rt.trip_lookup(self.bus_trips)
 
+    @cached_property
+    def _blocks(self) -> tuple[DataFrame, DataFrame]:
+        return tr.trip_blocks(self.timetable.stop_times, workspace=self.workspace, **self._block_args)
+
+    @cached_property
+    def _stops(self) -> DataFrame:
+        return self.timetable.stops
+
     @cached_property
     def _trip_facts(self) -> tuple[DataFrame, DataFrame]:
-        return tr.trip_facts(
-            self.timetable.stop_times, self.trip_lookup, workspace=self.workspace, **self._block_args
-        )
+        self._ahead("bus_trips", "_blocks", "_stops")
+        return tr.trip_facts(self.timetable.stop_times, self.trip_lookup, blocks=self._blocks)
 
     @cached_property
     def spans(self) -> DataFrame:
@@ -153,12 +176,14 @@ class ServiceModel:
 
         Time is added up in whole seconds, so that its sums are exact.
         """
+        self._trip_facts
+        self._ahead("spans", "segments", "agency_services")
         hours = self.spans.groupBy(*AGENCY_SERVICE).agg(
             F.sum("seconds").alias("seconds"),
             F.min("first_sec").alias("first_sec"),
             F.max("last_sec").alias("last_sec"),
         )
-        measured = tr.join_segment_coords(self.segments, self.timetable.stops)
+        measured = tr.join_segment_coords(self.segments, self._stops)
         km = measured.groupBy(*AGENCY_SERVICE).agg(F.sum(F.col("km") * F.col("n")).alias("km"))
         # A service without timed trips adds nothing on a day it runs.
         totals = (
@@ -186,7 +211,9 @@ class ServiceModel:
         ``n``, ``x1`` and ``x2`` name the set of active services: its size and
         two 64-bit hashes that do not depend on the order.
         """
-        service = F.col("service_id")
+        self._trip_facts
+        self._ahead("spans", "segments", "agency_services")
+        self._ahead("service_totals", "service_days")
         days = self.join_service_calendar().select("*", F.explode("days").alias("day"))
         totals = days.groupBy(*AGENCY, "day").agg(
             F.sum("trips").alias("trips"),
@@ -194,12 +221,17 @@ class ServiceModel:
             F.sum("km").alias("km"),
             F.min("first_sec").alias("first_sec"),
             F.max("last_sec").alias("last_sec"),
-            F.count("*").alias("n"),
-            F.bit_xor(F.xxhash64(service)).alias("x1"),
-            F.bit_xor(F.xxhash64(F.lit("second"), service)).alias("x2"),
+            *_service_set(),
         )
         return self.workspace.keep(totals, "day_totals")
 
+    def day_sets(self) -> DataFrame:
+        """Set of active services per agency and day, without totals where nothing has asked for them."""
+        if "day_totals" in self.__dict__:
+            return self.day_totals.select(*AGENCY, "day", "n", "x1", "x2")
+        days = self.running_services().select(*AGENCY_SERVICE, F.explode("days").alias("day"))
+        return days.groupBy(*AGENCY, "day").agg(*_service_set())
+
     def agencies(self) -> DataFrame:
         """Agencies with at least one bus route."""
         return self.bus_routes.select(*AGENCY).distinct()
@@ -274,17 +306,28 @@ class ServiceModel:
     def route_headway(self) -> DataFrame:
         """Mean gap in minutes over all route-days with at least two start times.
 
-        Days with the same set of active services have the same gaps. Each such
-        day type is computed on one of its days and weighted by its days.
+        Days with the same set of active services have the same gaps, first for the agency and then, among what is left,
+        for the route: a route runs on few different sets of its own services, however many the agency has. Each such day
+        type is computed on one of its days and weighted by its days, so that departures are repeated once per set of
+        the route.
         """
-        day_types = self.day_totals.groupBy(*AGENCY, "n", "x1", "x2").agg(
+        day_types = self.day_sets().groupBy(*AGENCY, "n", "x1", "x2").agg(
             F.min("day").alias("sample_day"), F.count("*").alias("n_days")
         ).select(*AGENCY, "sample_day", "n_days")
         active = self.running_services().drop("trips").join(day_types, AGENCY).where(
             F.expr("array_contains(days, sample_day)")
         ).select(*AGENCY_SERVICE, "sample_day", "n_days")
+        route = [*AGENCY, "route_id"]
+        departures = self.departures()
+        on_route = active.join(departures.select(*AGENCY_SERVICE, "route_id").distinct(), AGENCY_SERVICE)
+        route_types = on_route.groupBy(*route, "sample_day").agg(
+            F.first("n_days").alias("n_days"), *_service_set()
+        ).groupBy(*route, "n", "x1", "x2").agg(
+            F.min("sample_day").alias("sample_day"), F.sum("n_days").alias("n_days")
+        ).select(*route, "sample_day", "n_days")
+        wanted = on_route.drop("n_days").join(route_types, [*route, "sample_day"])
         # Mean of the gaps between distinct sorted times: (max - min) / (n - 1).
-        per_route = active.join(self.departures(), AGENCY_SERVICE).groupBy(
+        per_route = wanted.join(departures, [*AGENCY_SERVICE, "route_id"]).groupBy(
             *AGENCY, "sample_day", "route_id", "sec"
         ).agg(F.first("n_days").alias("n_days")).groupBy(*AGENCY, "sample_day", "route_id").agg(
             F.count("*").alias("n"),
@@ -308,11 +351,19 @@ class ServiceModel:
         """
         archives = self.timetable.archives
         extra = [c for c in archives.columns if c not in A]
+        self._ahead("day_totals")
+        # One row per agency each: they are made side by side, and what follows is a join of small tables.
+        keep = self.workspace.keep
+        counts, averages, headway = self.workspace.together(
+            lambda: keep(self.agency_static_counts(), "agency_counts"),
+            lambda: keep(self.weekday_weekend_avg(), "agency_averages"),
+            lambda: keep(self.route_headway(), "agency_headway"),
+        )
         joined = (
-            self.agency_static_counts()
+            counts
             .join(self.agency_names.where(strip(F.col("agency_name")) != ""), AGENCY)
-            .join(self.weekday_weekend_avg(), AGENCY)
-            .join(self.route_headway(), AGENCY, "left")
+            .join(averages, AGENCY)
+            .join(headway, AGENCY, "left")
             .join(archives.select(*A, *extra), A)
             .join(feeds, ["organization_id", "feed_id"], "left")
         )

@@ -155,6 +155,17 @@ def trip_km(stop_times: DataFrame, stops: DataFrame, **block_args: int) -> DataF
     )
 
 
+def trip_blocks(
+    stop_times: DataFrame,
+    width: int = BLOCK_WIDTH,
+    hot_rows: int = HOT_BLOCK_ROWS,
+    piece_rows: int = PIECE_ROWS,
+    workspace: Workspace | Lazy = Lazy(),
+) -> tuple[DataFrame, DataFrame]:
+    """Stop times with their part of the trip, and one summary row per part."""
+    return _blocks(_rows(stop_times), width, hot_rows, piece_rows, workspace)
+
+
 def trip_facts(
     stop_times: DataFrame,
     lookup: DataFrame,
@@ -162,6 +173,7 @@ def trip_facts(
     hot_rows: int = HOT_BLOCK_ROWS,
     piece_rows: int = PIECE_ROWS,
     workspace: Workspace | Lazy = Lazy(),
+    blocks: tuple[DataFrame, DataFrame] | None = None,
 ) -> tuple[DataFrame, DataFrame]:
     """Both views of the stop times that the service metrics need.
 
@@ -169,8 +181,9 @@ def trip_facts(
     agency and service runs from a stop to the next one (``from_stop`` NULL:
     first stop of a part), so that coordinates are looked up once per distinct
     pair and not once per stop time. The stop times are shuffled once.
+    ``blocks``: result of ``trip_blocks`` for the same stop times, where it is known.
     """
-    parted, parts = _blocks(_rows(stop_times), width, hot_rows, piece_rows, workspace)
+    parted, parts = blocks or trip_blocks(stop_times, width, hot_rows, piece_rows, workspace)
     owned = parts.join(lookup, TRIP)
     owner = ["agency_id", "service_id"]
     spans = _span_of_parts(parts).join(lookup, TRIP)

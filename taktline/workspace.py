@@ -8,9 +8,13 @@ also cuts the lineage, and a lost executor costs no more than its own tasks.
 
 from __future__ import annotations
 
+import itertools
 import tempfile
 import uuid
+from collections.abc import Callable
+from concurrent.futures import ThreadPoolExecutor
 
+from pyspark import inheritable_thread_target
 from pyspark.sql import DataFrame, SparkSession
 
 CHECKPOINT_DIR = "spark.checkpoint.dir"
@@ -34,15 +38,24 @@ class Workspace:
     def __init__(self, spark: SparkSession):
         self.spark = spark
         self.folder = f"{shared_dir(spark).rstrip('/')}/run-{uuid.uuid4().hex}"
-        self.kept = 0
+        self._numbers = itertools.count(1)
 
     def keep(self, df: DataFrame, name: str) -> DataFrame:
         """Write ``df`` and read it back, with the schema it has now."""
-        self.kept += 1  # two models may use one name
-        path = f"{self.folder}/{self.kept:03d}-{name}"
+        # Two models may use one name, and tables are kept from several threads.
+        path = f"{self.folder}/{next(self._numbers):03d}-{name}"
         df.write.parquet(path)
         return self.spark.read.schema(df.schema).parquet(path)
 
+    def together(self, *steps: Callable[[], object]) -> list:
+        """Results of steps that do not need each other; their jobs share the executors.
+
+        A small step then costs no time of its own, and the last tasks of one leave no cores idle. All steps end before
+        a failure is raised.
+        """
+        with ThreadPoolExecutor(max(1, len(steps))) as pool:
+            return [f.result() for f in [pool.submit(inheritable_thread_target(self.spark)(step)) for step in steps]]
+
     def close(self) -> None:
         """Remove the folder; nothing that reads its tables may run afterwards."""
         path = self.spark._jvm.org.apache.hadoop.fs.Path(self.folder)
@@ -54,3 +67,6 @@ class Lazy:
 
     def keep(self, df: DataFrame, name: str) -> DataFrame:
         return df
+
+    def together(self, *steps: Callable[[], object]) -> list:
+        return [step() for step in steps]

@@ -97,7 +97,7 @@ class ServiceModel:
 
     @cached_property
     def _trip_facts(self) -> tuple[DataFrame, DataFrame]:
-        self._ahead("bus_trips", "_blocks", "_stops")
+        self._ahead("bus_trips", "_blocks")
         return tr.trip_facts(self.timetable.stop_times, self.trip_lookup, blocks=self._blocks)
 
     @cached_property
@@ -176,7 +176,7 @@ class ServiceModel:
 
         Time is added up in whole seconds, so that its sums are exact.
         """
-        self._trip_facts
+        self._ahead("_trip_facts", "_stops")
         self._ahead("spans", "segments", "agency_services")
         hours = self.spans.groupBy(*AGENCY_SERVICE).agg(
             F.sum("seconds").alias("seconds"),
@@ -211,7 +211,7 @@ class ServiceModel:
         ``n``, ``x1`` and ``x2`` name the set of active services: its size and
         two 64-bit hashes that do not depend on the order.
         """
-        self._trip_facts
+        self._ahead("_trip_facts", "_stops")
         self._ahead("spans", "segments", "agency_services")
         self._ahead("service_totals", "service_days")
         days = self.join_service_calendar().select("*", F.explode("days").alias("day"))

@@ -275,13 +275,15 @@ def feeds_zipped(orders: pd.Series) -> pd.Series:
     """Archives with several members and rows; some damaged in the middle, some with a member twice."""
     import zlib
 
+    times = "trip_id,stop_sequence\n" + "".join(f"t{i},{zlib.crc32(bytes([i % 256]))}\n" for i in range(STOP_TIMES))
+
     def one(key: int) -> bytes:
         out = io.BytesIO()
         with zipfile.ZipFile(out, "w", zipfile.ZIP_DEFLATED) as archive:
             archive.writestr("Routes.TXT", "route_id,route_type\n" + "".join(f"r{i},3\n" for i in range(key % 4)))
             if key % 5 == 0:
                 archive.writestr("routes.txt", "route_id,route_type\nother,3\n")
-            archive.writestr("stop_times.txt", "trip_id,stop_sequence\n" + "".join(f"t{i},{zlib.crc32(bytes([i % 256]))}\n" for i in range(STOP_TIMES)))
+            archive.writestr("stop_times.txt", times)
             archive.writestr("notes.csv", "x\n1\n")
         data = bytearray(out.getvalue())
         if key % 7 == 0:  # the last third of the stop times does not unpack
@@ -294,7 +296,7 @@ def feeds_zipped(orders: pd.Series) -> pd.Series:
 
 def _feeds(v: Views):
     key = F.col("o_orderkey")
-    return v.table("orders").select(
+    return v.spread("orders", "o_orderkey").select(
         F.lit("o").alias("organization_id"), text("f", key).alias("feed_id"), F.lit("current").alias("version_selector"),
         F.concat(F.lit("file:///data/"), text("f", key), F.lit(".zip")).alias("path"), feeds_zipped(key).alias("content"))
 

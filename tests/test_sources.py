@@ -256,3 +256,33 @@ def test_listing_with_schemes_meets_relative_paths(spark):
     listing = spark.createDataFrame([(p,) for p in ("file:/srv/data/o/a.zip", "file:///srv/data/o/b.zip", "file:/srv/data/xo/c.zip", "/abs/data/d.zip", "file:/srv/data/o/e.zip", "file:/srv/data/o/a.zip", "")], "path string")
     got = successful_archives(manifest, listing)
     assert got.columns == manifest.columns and sorted(r.feed_id for r in got.collect()) == ["a", "b", "d"]
+
+
+def test_archives_made_of_one_row_group_are_opened_by_many_tasks(spark, tmp_path):
+    from taktline.checks.links_views import LinksViews
+    from taktline.checks.source_queries import _feeds
+
+    spark.range(300).withColumnRenamed("id", "o_orderkey").coalesce(1).write.parquet(f"{tmp_path}/orders.parquet")
+    opened = src.unzip_members(_feeds(LinksViews(spark, str(tmp_path)))).select(F.spark_partition_id().alias("p"))
+    assert opened.distinct().count() >= spark.sparkContext.defaultParallelism
+
+
+def test_unzipped_rows_are_those_of_dict_reader(spark):
+    import csv
+
+    texts = ["a,b,a\n1,2,3\n\n4\n5,6,7,8\n", "a,b\n", "", "\nx\n", 'a,b\n"q\n,""",\n']
+    out = io.BytesIO()
+    names = sorted(src.TABLES)[: len(texts)]
+    with zipfile.ZipFile(out, "w") as archive:
+        for name, text in zip(names, texts):
+            archive.writestr(name, text)
+    files = spark.createDataFrame([("x.zip", out.getvalue())], "path string, content binary")
+    got = {(r.member, r.row_ix): (r.header, r.row) for r in src.unzip_members(files).collect()}
+    want = {}
+    for name, text in zip(names, texts):
+        reader = csv.DictReader(io.StringIO(text, newline=""))
+        header = list(reader.fieldnames or [])
+        want[name, 0] = (header, None)
+        for i, row in enumerate(reader, 1):
+            want[name, i] = (header, {k: v for k, v in row.items() if k is not None})
+    assert got == want

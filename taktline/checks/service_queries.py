@@ -95,12 +95,12 @@ def _(v: Views):
 @query("join_segment_coords", "pair_km", f"""
 SELECT {K}, trip_id, from_stop, to_stop, round(km, 6) AS km FROM pair_km""")
 def _(v: Views):
-    return rounded(tr.join_segment_coords(tr.stop_pairs(v.stop_times), v.stops), 6, "km")
+    return rounded(tr.join_segment_coords(tr.stop_pairs(v.stop_times, workspace=v.workspace), v.stops), 6, "km")
 
 
 @query("trip_km", "trip_km", f"SELECT {K}, trip_id, round(km, 6) AS km, valid_segments FROM trip_km")
 def _(v: Views):
-    return rounded(tr.trip_km(v.stop_times, v.stops), 6, "km")
+    return rounded(tr.trip_km(v.stop_times, v.stops, workspace=v.workspace), 6, "km")
 
 
 @query("service_totals", "service_totals", f"""

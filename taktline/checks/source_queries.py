@@ -367,18 +367,33 @@ def _zip_orders(group: pa.Table) -> pa.Table:
     return pa.table({"value": pa.array([data[: len(data) // 2] if no % 7 == 0 else data], pa.binary())})
 
 
+FILE_ORDERS = 1_000_000  # order rows in one file
+
+
+def _in_files(orders, rows: int = FILE_ORDERS):
+    """Orders in files that follow one another by key: a file is sorted by one task."""
+    return orders.repartitionByRange(max(1, -(-orders.count() // rows)), "o_orderkey").sortWithinPartitions("o_orderkey")
+
+
+def _numbered_on(records, status):
+    """Records with their numbers carried on from file to file, by the order of the paths."""
+    before = F.expr("sum(rows) OVER (ORDER BY path ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)")
+    offsets = status.select("path", F.coalesce(before, F.lit(0)).alias("before"))
+    return records.join(F.broadcast(offsets), "path").withColumn("source_row", F.col("source_row") + F.col("before"))
+
+
 @query("src_links_ranges", "", """
 SELECT 'transport_performance' AS dataset, 'order' || o_orderkey AS name, 'a, "b"' || chr(10) || o_orderpriority AS permit,
        row_number() OVER (ORDER BY o_orderkey) AS source_row FROM orders""")
 def _(v: Views):
     folder = f"{v.workspace.folder}/transport"
-    v.table("orders").repartition(1).sortWithinPartitions("o_orderkey").select(
+    _in_files(v.table("orders")).select(
         text("order", "o_orderkey").alias("事業者名"), F.concat(F.lit('a, "b"\n'), "o_orderpriority").alias("事業区分"),
     ).write.option("escape", '"').csv(folder, header=True)
     row = F.col("row")
     # Records hold line ends, and ranges are short, so that most begin within a record.
     found = csv_ranges.Statistics(v.spark, folder, v.workspace, range_bytes=1 << 16)
-    return found.records().where("row IS NOT NULL").select(
+    return _numbered_on(found.records().where("row IS NOT NULL"), found.status()).select(
         F.lit("transport_performance").alias("dataset"), row["事業者名"].alias("name"), row["事業区分"].alias("permit"), "source_row")
 
 

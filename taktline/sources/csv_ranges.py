@@ -230,8 +230,10 @@ class CsvFiles:
         before = F.expr("sum(n) OVER (PARTITION BY path ORDER BY start ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)")
         counts = self.kept.groupBy("path", "start").agg(F.count("row").alias("n"))
         offsets = counts.select("path", "start", F.coalesce(before, F.lit(0)).alias("before"))
-        whole = self.kept.where("error IS NULL").join(self.errors().select("path").distinct(), "path", "left_anti")
-        return whole.join(offsets, ["path", "start"]).select("path", "header", (F.col("number") + F.col("before")).alias("row_ix"), "row")
+        # One row per range at most, a few bytes for 16 MB: rows stay where they are, and a file is not one task's.
+        failed = F.broadcast(self.errors().select("path").distinct())
+        whole = self.kept.where("error IS NULL").join(failed, "path", "left_anti")
+        return whole.join(F.broadcast(offsets), ["path", "start"]).select("path", "header", (F.col("number") + F.col("before")).alias("row_ix"), "row")
 
 
 class Statistics:

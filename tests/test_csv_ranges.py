@@ -90,3 +90,16 @@ def test_spreadsheets_alone_are_unknown_not_zero(spark, tmp_path):
     found = cr.Statistics(spark, f"file:{tmp_path}", Workspace(spark))
     assert found.records_or_none() is None and found.records().count() == 0
     assert [r.status for r in found.status().collect()] == ["spreadsheet_not_decoded"]
+
+
+def test_rows_of_a_file_stay_where_they_are(spark, tmp_path):
+    from taktline.checks.source_queries import _in_files, _numbered_on
+
+    orders = spark.range(95).selectExpr("94 - id AS o_orderkey").coalesce(1)
+    _in_files(orders, 20).selectExpr("o_orderkey AS n").write.csv(f"{tmp_path}/x", header=True)
+    found = cr.Statistics(spark, f"{tmp_path}/x", Workspace(spark), range_bytes=16)
+    rows = found.records().where("row IS NOT NULL")
+    plan = rows._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" not in plan and "ShuffledHashJoin" not in plan
+    assert found.files.count() == 5
+    assert {r.source_row: int(r.row["n"]) for r in _numbered_on(rows, found.status()).collect()} == {i + 1: i for i in range(95)}

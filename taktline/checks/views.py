@@ -32,6 +32,7 @@ class Views:
     def __init__(self, spark: SparkSession, sf_dir: str):
         self.spark = spark
         self.sf_dir = sf_dir
+        self._spread: dict[tuple[str, str], DataFrame] = {}
 
     @cached_property
     def workspace(self) -> Workspace:
@@ -45,8 +46,14 @@ class Views:
         return self.spark.read.schema(_SCHEMAS[path]).parquet(path)
 
     def spread(self, name: str, key: str) -> DataFrame:
-        """A given table dealt over all cores, for work that takes long per row: one task reads a file of one row group."""
-        return self.table(name).repartition(4 * self.spark.sparkContext.defaultParallelism, key)
+        """A given table dealt over all cores, for work that takes long per row: one task reads a file of one row group.
+
+        It is written, because filters would move in front of a shuffle, with all the work that they depend on.
+        """
+        if (name, key) not in self._spread:
+            dealt = self.table(name).repartition(4 * self.spark.sparkContext.defaultParallelism, key)
+            self._spread[name, key] = self.workspace.keep(dealt, f"{name}-spread")
+        return self._spread[name, key]
 
     # -- archives -------------------------------------------------------------
 

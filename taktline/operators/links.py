@@ -9,7 +9,7 @@ single file may leave it out.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from taktline.constants import FIELD_TERMS, VEHICLE_COUNT_EXCLUDED_MARKS
 from taktline.functions import (
@@ -141,10 +141,11 @@ def links_operator_rollup(rows: DataFrame) -> DataFrame:
 def field_completeness(records: DataFrame) -> DataFrame:
     """Per file, year and field: rows and companies with a value.
 
-    Only fields with a value are expanded, and they are counted per company
-    first, so that a very large file is not counted by one task.
+    The rows are read once. They are counted per company and set of fields with
+    a value before these are expanded, so that a very large file is not counted
+    by one task; what is left per file are its years and fields.
     """
-    records = _with_path(records)
+    records = _with_path(records).where("path IS NOT NULL AND source_file IS NOT NULL")
     file = ["path", "source_file"]
     columns, row = F.col("columns"), F.col("row")
     fields, picked = map_fields(columns), pick_column(columns)
@@ -153,7 +154,7 @@ def field_completeness(records: DataFrame) -> DataFrame:
         name, _cell(row, picked["operator_number"]), _cell(row, picked["prefecture_address"])
     )
     typed = records.select(
-        *file, classify_dataset(F.col("source_file")).alias("dataset"), "row",
+        *file, classify_dataset(F.col("source_file")).alias("dataset"), "columns", "row",
         infer_year(_cell(row, picked["year"])).alias("year"),
         F.filter(
             F.array(*[
@@ -164,28 +165,32 @@ def field_completeness(records: DataFrame) -> DataFrame:
         F.when(has_value(name), oid).alias("oid"),
     )
     group = [*file, "dataset", "year"]
-    totals = typed.groupBy(*group).agg(F.count("row").alias("rows_total"))
-    headers = records.select(*file, "columns").distinct().groupBy(*file).agg(
-        F.max("columns").alias("columns")
-    ).select(
-        *file,
-        F.create_map(*[x for f, c in fields.items() for x in (F.lit(f), F.array_join(c, "|"))]).alias("names"),
+    # The field '' stands for the row itself.
+    counted = (
+        typed.groupBy(*group, "columns", "oid", "valued").agg(F.count("row").alias("n"))
+        .select(*group, "columns", "oid", "n", F.explode_outer(F.array_union(F.array(F.lit("")), "valued")).alias("field"))
+        .groupBy(*group, "field", "oid").agg(F.sum("n").alias("n"), F.max("columns").alias("columns"))
+        .groupBy(*group, "field").agg(F.sum("n").alias("n"), F.count("oid").alias("ids"), F.max("columns").alias("columns"))
+    )
+    totals = counted.groupBy(*group).agg(
+        F.max(F.when(F.col("field") == "", F.col("n"))).alias("rows_total"), F.max("columns").alias("_columns"),
+        F.map_from_entries(F.collect_list(F.struct("field", F.struct("n", "ids")))).alias("_counts"),
     )
     # A file with any year is reported by year, and its rows without one are
     # left out; a file without years is reported as a whole.
-    dated = totals.groupBy(*file).agg(F.max("year").alias("_last_year"))
-    grid = totals.join(dated, file).where((F.col("year") != "") | (F.col("_last_year") == "")).join(
-        headers, file
-    ).select(*group, "rows_total", F.explode("names").alias("field", "columns"))
-    counted = (
-        typed.where("row IS NOT NULL").select(*group, "oid", F.explode("valued").alias("field"))
-        .groupBy(*group, "field", "oid").agg(F.count("*").alias("n"))
-        .groupBy(*group, "field").agg(F.sum("n").alias("n"), F.count("oid").alias("ids"))
+    whole = Window.partitionBy(*file)
+    header = map_fields(F.col("_columns"))
+    grid = totals.withColumns({"_last_year": F.max("year").over(whole), "_columns": F.max("_columns").over(whole)}).where(
+        (F.col("year") != "") | (F.col("_last_year") == "")
+    ).select(
+        *group, "rows_total", "_counts",
+        F.explode(F.create_map(*[x for f, c in header.items() for x in (F.lit(f), F.array_join(c, "|"))])).alias("field", "columns"),
     )
-    return grid.join(counted, [*group, "field"], "left").select(
+    found = F.col("_counts")[F.col("field")]
+    return grid.select(
         "path", "dataset", "source_file", "year", "field", "columns", "rows_total",
-        F.coalesce("n", F.lit(0)).alias("rows_nonblank"),
-        F.coalesce("ids", F.lit(0)).alias("unique_operator_ids_nonblank"),
+        F.coalesce(found["n"], F.lit(0)).alias("rows_nonblank"),
+        F.coalesce(found["ids"], F.lit(0)).alias("unique_operator_ids_nonblank"),
         F.when(F.col("columns") != "", "measured_from_csv").otherwise("column_not_present").alias("status"),
         F.lit(GRAIN_NOTE).alias("grain_note"),
     )

@@ -47,3 +47,9 @@ def _customers(spark, tmp_path):
 
 def test_no_filter_goes_back_to_the_one_task_of_a_small_table(spark, tmp_path):
     assert len(_customers(spark, tmp_path).records.inputFiles()) > 1
+
+
+def test_rows_of_statistics_are_made_once(spark, tmp_path):
+    views = _customers(spark, tmp_path)
+    assert not any("customer" in f for f in views.links_rows.inputFiles())
+    assert views.links_rows.count() == 500

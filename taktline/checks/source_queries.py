@@ -442,7 +442,7 @@ SELECT 'org' || o_custkey AS organization_id, 'f' || o_orderkey AS feed_id, '' A
 def _(v: Views):
     key = F.col("o_orderkey")
     path = f"{v.workspace.folder}/manifest"
-    v.table("orders").repartition(1).sortWithinPartitions("o_orderkey").select(
+    v.table("orders").repartitionByRange("o_orderkey").sortWithinPartitions("o_orderkey").select(
         text("org", "o_custkey").alias("organization_id"), text("f", key).alias("feed_id"), F.lit("").alias("version_selector"),
         F.concat(F.lit('a, "b"\n'), "o_orderpriority").alias("source_url"),
         F.when(key % 3 == 0, "none").otherwise(F.col("o_custkey").cast("string")).alias("bytes"),

@@ -236,6 +236,61 @@ class CsvFiles:
         return whole.join(F.broadcast(offsets), ["path", "start"]).select("path", "header", (F.col("number") + F.col("before")).alias("row_ix"), "row")
 
 
+def _undivided(path: str, start: int, stop: int, state: int) -> Iterator[str]:
+    """Text of the records that begin in a range, without line ends, blank lines and the first record of the file."""
+    with _open(path) as file:
+        head = _head(file)
+        offset = first_record(_read_range(file, start, stop, head), state)
+        if offset is None:
+            return
+        lines = _Lines(file, max(start, head) + offset)
+        following, header = iter(lines), start == 0
+        while lines.at < stop:
+            held, state = [], OUT
+            for line in following:
+                held.append(line)
+                if state != OUT or '"' in line:
+                    state = _walk(b"\n" + line.encode(), state)[0]
+                if state != IN:
+                    break
+            if not held:
+                return
+            text = "".join(held)
+            text = text[: -2 if text.endswith("\r\n") else -1] if text.endswith(("\r", "\n")) else text
+            if text and not header:
+                yield text
+            header &= not text
+
+
+class CsvText(CsvFiles):
+    """Records of the listed CSV files as text, in the order of paths and places; a file that cannot be read is an error."""
+
+    def _parsed(self) -> DataFrame:
+        arrow = pa.schema([("path", pa.string()), ("start", pa.int64()), ("number", pa.int64()), ("value", pa.string())])
+
+        def records(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
+            for batch in batches:
+                for path, start, stop, state, error in zip(*(c.to_pylist() for c in batch.columns)):
+                    if error is not None:
+                        raise OSError(f"{path}: {error}")
+                    for number, text in enumerate(_undivided(path, start, stop, state)):
+                        yield path, start, number, text
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            return src._batches(records(batches), arrow)
+
+        return self._spread(self.ranges.select("path", "start", "stop", "state", "error")).mapInArrow(
+            run, "path string, start long, number long, value string")
+
+    def numbered(self) -> DataFrame:
+        """Number of the record among those of all files, from 0, and its text."""
+        # One row per range: a few bytes for 16 MB.
+        counts = self.kept.groupBy("path", "start").agg(F.count("*").alias("n"))
+        before = F.expr("coalesce(sum(n) OVER (ORDER BY path, start ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)")
+        offsets = F.broadcast(counts.select("path", "start", before.alias("before")))
+        return self.kept.join(offsets, ["path", "start"]).select((F.col("before") + F.col("number")).alias("row_ix"), "value")
+
+
 class Statistics:
     """Operator statistics in a folder: every file opened once, records and the outcome per file.
 

@@ -7,7 +7,11 @@ from pyspark.sql.types import LongType, StringType, StructField, StructType
 
 from taktline.functions import strip
 from taktline.schemas import COVERAGE, MANIFEST
+from taktline.sources.csv_ranges import RANGE_BYTES, CsvText
 from taktline.sources.tables import conform, read_csv
+from taktline.workspace import Workspace
+
+COMPRESSED = r"(?i)\.(gz|gzip|bz2|deflate|lz4|snappy|zst|zstd|xz)$"
 
 ALIAS_SCHEMA = StructType(
     [
@@ -55,13 +59,20 @@ def write_feed_pairs(agency_metrics: DataFrame, path: str) -> None:
     feed_pair_lines(agency_metrics).write.mode("overwrite").text(path)
 
 
-def read_numbered(spark: SparkSession, path: str) -> DataFrame:
-    """A CSV table with ``row_ix``, the order of its rows.
+def read_numbered(spark: SparkSession, path: str, range_bytes: int = RANGE_BYTES) -> DataFrame:
+    """A CSV table with ``row_ix``, the order of its rows, from 0 through all files by name.
 
-    Cells may hold line feeds, so that one task reads one file; numbers ascend
-    within a file and differ between files.
+    Cells may hold line feeds, so that records are found in byte ranges first; Spark then parses them one by one.
+    Compressed files cannot be cut: one task reads one of these, and numbers only differ between them.
     """
-    return read_csv(spark, path).withColumn("row_ix", F.monotonically_increasing_id())
+    files = spark.read.format("binaryFile").load(path).select("path", "length")
+    if files.where(F.col("path").rlike(COMPRESSED)).limit(1).count():
+        return read_csv(spark, path).withColumn("row_ix", F.monotonically_increasing_id())
+    named = read_csv(spark, path).columns
+    cells = ", ".join(f"c{i} STRING" for i in range(len(named)))
+    records = CsvText(files, Workspace(spark), range_bytes).numbered()
+    parsed = records.select(F.from_csv("value", cells, {"escape": '"', "multiLine": "true"}).alias("cells"), "row_ix")
+    return parsed.select("cells.*", "row_ix").toDF(*named, "row_ix").fillna("", [f"`{c}`" for c in named])
 
 
 def read_manifest(spark: SparkSession, path: str) -> DataFrame:

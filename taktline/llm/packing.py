@@ -111,6 +111,7 @@ def cut_pieces(docs: DataFrame, vocabulary: str | None = None, capacity: int = C
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         make = word_encoder(vocabulary)
+        C.hold(word_encoder.cache_clear)
         end = np.array([END_ID], "<u4").tobytes()
         for batch in batches:
             rows = []

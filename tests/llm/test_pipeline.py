@@ -1,7 +1,9 @@
 """Every stage of the pipeline against brute force on the rows that it gets."""
 
+import pyarrow as pa
+
 import corpus_pipeline
-from taktline.llm import chunks, quality
+from taktline.llm import chunks, packing, quality
 from tests.llm import test_jaccard, test_lines, test_packing, test_repeats
 from tokenizers import Tokenizer
 import public_tokenizers
@@ -67,3 +69,21 @@ def test_empty_table(spark):
     for _, stage in corpus_pipeline.STAGES:
         out = spark.createDataFrame(stage(spark, docs, "").collect(), docs.schema) if stage is not corpus_pipeline.packing_stage else stage(spark, docs, "")
         assert out.count() == 0
+
+
+def test_words_of_the_packing_do_not_stay_in_a_worker():
+    packing.word_encoder.cache_clear()
+    batch = pa.RecordBatch.from_pydict({"doc_id": [1], "text": ["some words"]})
+    made = []
+
+    class Docs:
+        def selectExpr(self, *_):
+            return self
+
+        def mapInArrow(self, run, _):
+            made.extend(run(iter([batch])))
+
+    packing.cut_pieces(Docs())
+    assert made[0].num_rows == 1 and packing.word_encoder.cache_info().currsize == 1
+    chunks.trim()
+    assert packing.word_encoder.cache_info().currsize == 0

@@ -169,7 +169,7 @@ class LineIndex:
                     rows = C.rows_of(row["body"])
                     out = pc.is_in(rows.column("doc_id").cast(pa.int64()), pa.array(row["gone"], pa.int64()))
                     rows = rows.filter(pc.invert(out.fill_null(False)))
-                    kept.append({"chunk": row["chunk"], "n_bytes": sum(map(len, C.texts_of(rows))), "n_rows": rows.num_rows, "body": C._freeze(rows.to_batches() or [pa.RecordBatch.from_pylist([], rows.schema)])})
+                    kept.append({"chunk": row["chunk"], "n_bytes": sum(map(len, C.texts_of(rows))), "n_rows": rows.num_rows, "body": C._freeze([rows.combine_chunks()])})
                 yield pa.RecordBatch.from_pylist(kept, pa.schema([("chunk", pa.int64()), ("n_bytes", pa.int64()), ("n_rows", pa.int64()), ("body", pa.binary())]))
 
         changed = self.store.keep(self.chunks.join(gone, "chunk").mapInArrow(drop, C.CHUNK_SCHEMA), "chunks-after-delete")

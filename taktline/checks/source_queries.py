@@ -273,25 +273,27 @@ STOP_TIMES = 100  # rows of stop_times.txt in each archive
 @F.pandas_udf(BinaryType())
 def feeds_zipped(orders: pd.Series) -> pd.Series:
     """Archives with several members and rows; some damaged in the middle, some with a member twice."""
+    import functools
     import zlib
 
     times = "trip_id,stop_sequence\n" + "".join(f"t{i},{zlib.crc32(bytes([i % 256]))}\n" for i in range(STOP_TIMES))
 
-    def one(key: int) -> bytes:
+    @functools.cache
+    def made(routes: int, twice: bool, damaged: bool, cut: bool) -> bytes:
         out = io.BytesIO()
         with zipfile.ZipFile(out, "w", zipfile.ZIP_DEFLATED) as archive:
-            archive.writestr("Routes.TXT", "route_id,route_type\n" + "".join(f"r{i},3\n" for i in range(key % 4)))
-            if key % 5 == 0:
+            archive.writestr("Routes.TXT", "route_id,route_type\n" + "".join(f"r{i},3\n" for i in range(routes)))
+            if twice:
                 archive.writestr("routes.txt", "route_id,route_type\nother,3\n")
             archive.writestr("stop_times.txt", times)
             archive.writestr("notes.csv", "x\n1\n")
         data = bytearray(out.getvalue())
-        if key % 7 == 0:  # the last third of the stop times does not unpack
+        if damaged:  # the last third of the stop times does not unpack
             at = data.rindex(b"notes.csv", 0, data.rindex(b"PK\x01\x02")) - 200
             data[at : at + 60] = bytes(60)
-        return bytes(data[: len(data) // 2] if key % 11 == 0 else data)
+        return bytes(data[: len(data) // 2] if cut else data)
 
-    return pd.Series([one(k) for k in orders], dtype=object)
+    return pd.Series([made(k % 4, k % 5 == 0, k % 7 == 0, k % 11 == 0) for k in orders], dtype=object)
 
 
 def _feeds(v: Views):

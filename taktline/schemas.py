@@ -36,6 +36,7 @@ MEMBER = StructType(
         StructField("row_ix", LongType()),
         StructField("row", MapType(StringType(), StringType())),
         *strings("error"),
+        StructField("whole", BooleanType()),
     ]
 )
 
